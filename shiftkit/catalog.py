@@ -1,0 +1,3 @@
+"""Every registered query of the library, with its SQL."""
+
+QUERIES, SQL = {}, {}
