@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media_ts, packing, token_store, url_filter
+from . import html_tree, media_ts, packing, token_store, url_filter
 from .common import scratch, table
 from .tokens import tokenizer_path
 
@@ -57,3 +57,8 @@ f as (
 select u.page_id, u.host, u.path, f.rule, coalesce(f.v, 'allow') as verdict
 from u left join f on u.i = f.i and f.k = 1
 """
+
+
+@query
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.main_text(table(spark, sf_dir, "pages"))
