@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html_tree, media_ts, packing, token_store, url_filter
+from . import ann, html_tree, media_ts, packing, token_store, url_filter
 from .common import scratch, table
 from .tokens import tokenizer_path
 
@@ -62,3 +63,8 @@ from u left join f on u.i = f.i and f.k = 1
 @query
 def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_tree.main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
