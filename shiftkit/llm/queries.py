@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_tree, media_ts, packing, token_store, url_filter
-from .common import scratch, table
+from . import ann, html_tree, langid, media_ts, mixing, packing, token_store, url_filter
+from .common import crc_mod, materialize, scratch, table
 from .tokens import tokenizer_path
 
 QUERIES, SQL = {}, {}
@@ -68,3 +68,17 @@ def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_mod("doc_id", 4) == 2
+    found = langid.predict(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words("text").alias("n"))
+    return mixing.placements(materialize(rows, "mix-rows"))
