@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_tree, langid, media_ts, mixing, packing, token_store, url_filter
+from . import ann, html_tree, jaccard, langid, media_ts, mixing, packing, token_store, url_filter
 from .common import crc_mod, materialize, scratch, table
 from .tokens import tokenizer_path
 
@@ -82,3 +82,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words("text").alias("n"))
     return mixing.placements(materialize(rows, "mix-rows"))
+
+
+@query
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
