@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_tree, jaccard, langid, media_ts, mixing, packing, token_store, url_filter
+from . import ann, html_tree, jaccard, langid, lm, media_ts, mixing, packing, token_store, url_filter
 from .common import crc_mod, materialize, scratch, table
 from .tokens import tokenizer_path
 
@@ -87,3 +87,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+@query
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, m = table(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod("doc_id", 10)
+    part = F.when(m == 0, lm.TEST).when(m == 1, lm.HELD).otherwise(lm.EST)
+    scored = lm.score(docs, part)
+    return scored.select("doc_id", (F.col("part") == lm.TEST).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
