@@ -5,17 +5,15 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 
-import numpy as np
-
-#: Chunks longer than this, and the rest beyond so many chunks, aren't kept.
-CHUNK_CHARS, KEPT = 40, 400_000
+#: Chunks longer than this aren't kept; a worker keeps up to twice so many.
+CHUNK_CHARS, KEPT = 40, 600_000
 #: Where the byte-level pattern starts a new piece whatever precedes: before a space that stands
 #: between visible characters, and around runs of white space.
 _SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: White space to Python, but not to the tokenizers.
 _ODD = re.compile("[\x1c-\x1f]")
-_BLANKS = str.maketrans("\n\t\r", "   ")
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,41 +35,27 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.drops, self.kept = Tokenizer.from_file(path), drops_space, {"": b""}
+        self.tok, self.drops, self.young, self.old = Tokenizer.from_file(path), drops_space, {"": b""}, {}
 
     def _chunks(self, text: str) -> list[str]:
         if self.drops:
-            return text.translate(_BLANKS).split(" ")
+            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return [text] if _ODD.search(text) else _SPACED.findall(text)
 
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
-
     def encode(self, texts: list[str | None]):
         for lo in range(0, len(texts), 64):
             parts = [self._chunks(t or "") for t in texts[lo : lo + 64]]
-            if len(self.kept) > KEPT:
-                self.kept = {"": b""}
-            new = list(set().union(*parts).difference(self.kept))
-            known = self.kept
-            if new:
-                found = dict(zip(new, self._ids(new), strict=True))
-                self.kept.update((k, v) for k, v in found.items() if len(k) <= CHUNK_CHARS)
-                if any(len(k) > CHUNK_CHARS for k in new):
-                    known = self.kept | found if len(self.kept) < 1000 else _Both(self.kept, found)
+            if new := set().union(*parts).difference(self.young):
+                fresh = list(new.difference(self.old))
+                self.young.update((c, self.old[c]) for c in new.intersection(self.old))
+                self.young.update(zip(fresh, (array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
             for p in parts:
-                yield b"".join(map(known.__getitem__, p))
-
-
-class _Both(dict):
-    """Kept chunks, and those of this call."""
-
-    def __init__(self, kept: dict, found: dict):
-        super().__init__(found)
-        self.kept = kept
-
-    def __missing__(self, key):
-        return self.kept[key]
+                yield b"".join(map(self.young.__getitem__, p))
+            for c in new:
+                if len(c) > CHUNK_CHARS:
+                    del self.young[c]
+            if len(self.young) > KEPT:  # what is used again moves on, the rest is forgotten with the next turn
+                self.old, self.young = self.young, {"": b""}
 
 
 @functools.lru_cache(4)
