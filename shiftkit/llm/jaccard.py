@@ -151,7 +151,7 @@ _POP = np.array([bin(i).count("1") for i in range(256)], np.uint16)  # bits set
 
 
 def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """id, n, node, map, keys, kinds; keys only where this task has not lately seen the same set."""
+    """id, h (hash of the text), n, node, map, keys, kinds; keys only where this task has not lately seen the same set."""
 
     def run(batches):
         bands, seen = Bands(num, den), set()
@@ -172,9 +172,9 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     seen.add(f)
                     a, c = signatures(h, bands)
                     maps.append(bitmap(h, bands.bitmap_bits(len(h))).tobytes()), keys.append(a.view(np.int64)), kinds.append(c.astype(np.int8))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int8()))], ["id", "n", "node", "map", "keys", "kinds"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int8()))], ["id", "h", "n", "node", "map", "keys", "kinds"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, node long, map binary, keys array<long>, kinds array<byte>")
+    return docs.select("id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, "id long, h long, n long, node long, map binary, keys array<long>, kinds array<byte>")
 
 
 def _probed(x: str, y: str) -> F.Column:
@@ -280,11 +280,16 @@ def _remaining(many: DataFrame, nodes: DataFrame, roots: DataFrame, num: int, de
     return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
-def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id of every row: documents link when den * intersection >= num * union."""
+def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", firsts: bool = False) -> DataFrame:
+    """id_col, n_shingles, component_id of every row: documents link when den * intersection >= num * union.
+
+    ``firsts``: also __hash (xxhash64 of the text) and __first, whether the row is its component's one with the smallest
+    (id, hash), null ids last; rows alike in both are all first, and so is every row with an empty set.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(_sets(rows, k, num, den), "jac-sets")
-    owner = sets.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
+    place = F.struct(F.col("id").isNull().alias("z"), "id", "h")
+    owner = sets.where("node is not null").groupBy("node").agg(F.min(place).alias("least"))
     nodes = sets.where("keys is not null").groupBy("node").agg(F.first("n").alias("n"), F.min("id").alias("id"), F.first("map").alias("map"))
     entries = sets.where("keys is not null").select("node", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("keys", "kinds")).alias("e")).select(F.col("e.keys").alias("key"), "node", "n", F.col("e.kinds").alias("kind"))
     # Keys of one entry end here; so the shuffle of all entries is the only one.
@@ -313,7 +318,8 @@ def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         links = links.unionByName(found)
         roots = components(links)
     rooted = owner.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(lowest, "root").select("node", "component_id")
-    out = sets.select("id", "n", "node").join(labels, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    lowest = rooted.groupBy("root").agg(F.min("least").alias("head"))
+    labels = rooted.join(lowest, "root").select("node", "head")
+    out = sets.select("id", "h", "n", "node").join(labels, "node", "left")
+    own = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("head.id", "id").alias("component_id")]
+    return out.select(*own, F.col("h").alias("__hash"), (F.col("head").isNull() | (F.col("head") == place)).alias("__first")) if firsts else out.select(*own)
