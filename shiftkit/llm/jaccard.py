@@ -56,7 +56,7 @@ class _Hashes(dict):
 
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 40:
-            if len(self) >= 500_000:
+            if len(self) >= 300_000:
                 self.clear()
             self[word] = h
         return h

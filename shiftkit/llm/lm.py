@@ -26,15 +26,17 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import materialize
 from .jaccard import _hashes
 
-VOCABULARY, DENSE, SAMPLE = (1 << 20) - 2, 256, 2000
-BATCH_BYTES, BATCH_DOCS, BUCKET_TOKENS = 4 << 20, 4096, 4_000_000
+VOCABULARY, DENSE, SAMPLE = (1 << 19) - 2, 256, 2000
+BATCH_BYTES, BATCH_DOCS, BUCKET_TOKENS, KEPT_WORDS = 2 << 20, 1024, 1_000_000, 1_000_000
 START, END = np.uint64(1), np.uint64(2)  # pseudo words
 EST, HELD, TEST = 0, 1, 2
 BUCKETS = 24
@@ -44,14 +46,15 @@ KEY, DOC, N = np.uint64(24), np.uint64(12), np.uint64(4)  # shifts: 40 bits of p
 def _batches(batches):
     """(ids, parts, word hashes of all texts with their ends, first position of each text) in bounded batches."""
     for b in batches:
-        texts, lo = b.column(2).to_pylist(), 0
-        while lo < len(texts):
-            hi, size = lo, 0
-            while hi < len(texts) and hi - lo < BATCH_DOCS and (hi == lo or size < BATCH_BYTES):
-                size += len(texts[hi] or "")
+        lo = 0
+        while lo < b.num_rows:
+            hi, size, texts = lo, 0, b.column(2)[lo : lo + BATCH_DOCS]
+            lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+            while hi - lo < len(lengths) and (hi == lo or size < BATCH_BYTES):
+                size += lengths[hi - lo]
                 hi += 1
             known = _hashes().__getitem__
-            words = [(t or "").encode().lower().split() for t in texts[lo:hi]]
+            words = [(t or "").encode().lower().split() for t in texts[: hi - lo].to_pylist()]
             sizes = np.array([len(w) + 1 for w in words])
             at = np.concatenate([[0], np.cumsum(sizes)])
             h = np.empty(at[-1], np.uint64)
@@ -102,7 +105,7 @@ def count_words(rows: DataFrame, hot: np.ndarray) -> DataFrame:
                 for f in (EST, HELD):
                     x = both & (p == f)
                     dense[f] += np.bincount(i[x] * DENSE + j[x], minlength=DENSE * DENSE)
-            if size > 3_000_000:
+            if size > KEPT_WORDS:
                 yield from out(0, *_summed(*map(np.concatenate, zip(*kept, strict=True))))
                 kept, size = [], 0
         if kept:
@@ -205,7 +208,10 @@ def _pack_pairs(rows: DataFrame, model, buckets: int) -> DataFrame:
             yield _row(1, batch % buckets, batch, _documents(ids, part, np.diff(np.append(at, len(h))), base, seen))
             rare = ~known | (v_i < 0)
             if rare.any():
-                yield _row(2, batch % buckets, batch, np.column_stack([v[rare].view(np.int64), h[rare].view(np.int64), doc[rare], part[doc[rare]]]).astype("<i8").tobytes())
+                by = np.lexsort((h[rare], v[rare], doc[rare]))
+                x = np.column_stack([v[rare][by].view(np.int64), h[rare][by].view(np.int64), doc[rare][by], part[doc[rare][by]]])
+                new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]).any(1)]))
+                yield _row(2, batch % buckets, batch, np.column_stack([x[new], np.diff(np.append(new, len(x)))]).astype("<i8").tobytes())
             d_w, d_v = (order[np.minimum(np.searchsorted(hot[order], x), len(order) - 1)] for x in (w_i, v_i))
             both = (hot[d_w] == w_i) & (hot[d_v] == v_i) & ~rare
             for kind, x, key in ((3, both, d_v * DENSE + d_w), (0, ~rare & ~both, v_i << 20 | w_i)):
@@ -308,11 +314,10 @@ def score(docs: DataFrame, part: Column, id_col: str = "doc_id", text_col: str =
     def unpack(batches):
         for b in batches:
             for batch, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(data, "<i8").reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), batch)), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(4))], ["batch", "v", "w", "doc", "part"])
+                x = np.frombuffer(data, "<i8").reshape(-1, 5)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), batch)), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(5))], ["batch", "v", "w", "doc", "part", "n"])
 
-    rare = kept.where("kind = 2").select("batch", "data").mapInArrow(unpack, "batch long, v long, w long, doc long, part long")
-    each = rare.groupBy("batch", "doc", "part", "v", "w").agg(F.count("*").alias("n"))
+    each = kept.where("kind = 2").select("batch", "data").mapInArrow(unpack, "batch long, v long, w long, doc long, part long, n long")
 
     @F.pandas_udf("struct<est:long,all:long>")
     def counts_of(h: pd.Series) -> pd.DataFrame:
@@ -328,8 +333,9 @@ def score(docs: DataFrame, part: Column, id_col: str = "doc_id", text_col: str =
         found = F.when(F.col(f"{c}_c.all") < 0, F.struct(F.coalesce("__e", F.lit(0)).alias("est"), F.coalesce("__a", F.lit(0)).alias("all"), F.lit(True).alias("rare"))).otherwise(F.struct(f"{c}_c.est", f"{c}_c.all", F.lit(False).alias("rare")))
         return joined.withColumn(f"{c}_c", found).drop("__k", "__e", "__a")
 
-    of_pair = each.groupBy("v", "w").agg(F.sum(F.when(F.col("part") == EST, F.col("n")).otherwise(0)).alias("e12"), F.sum(F.when(F.col("part") != TEST, F.col("n")).otherwise(0)).alias("a12"))
-    rare_rows = materialize(with_count(with_count(each.join(of_pair, ["v", "w"]), "v"), "w"), "lm-rare")
+    pair = W.partitionBy("v", "w")
+    of_pair = [F.sum(F.when(ok, F.col("n")).otherwise(0)).over(pair).alias(c) for c, ok in (("e12", F.col("part") == EST), ("a12", F.col("part") != TEST))]
+    rare_rows = materialize(with_count(with_count(each.select("*", *of_pair), "v"), "w"), "lm-rare")
 
     def held_cells(batches):
         m = shared.value
