@@ -14,12 +14,15 @@ from ..functions.numeric import finite
 # Texts that mean a missing cell (fixed values); "?" only on demand.
 MISSING = ["", "NA", "N/A", "n/a", "nan", "NaN", "-nan", "-NaN", "NULL", "null", "None", "<NA>", "#N/A", "#NA"]
 
-RESULT_SCHEMA = T.StructType.fromDDL(
-    "dataset string, seed int, fold int, condition string, pipeline string, model string, status string, train_time_s double, infer_time_s double,"
-    "autofe_gen_time_s double, autofe_cache_hit boolean, n_generated int, n_retained int, ram_used_mb double, wasserstein double, ks_stat double,"
-    "train_auc double, test_auc double, accuracy double, balanced_accuracy double, mcc double, precision double, recall double, f1 double,"
-    "log_loss double, brier_score double, roc_auc double, pr_auc double"
-)
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+RESULT_SCHEMA = T.StructType()
+for _kind, _names in (
+    ("string", "dataset"), ("int", "seed fold"), ("string", "condition pipeline model status"), ("double", "train_time_s infer_time_s autofe_gen_time_s"),
+    ("boolean", "autofe_cache_hit"), ("int", "n_generated n_retained"), ("double", "ram_used_mb wasserstein ks_stat train_auc test_auc"),
+    ("double", "accuracy balanced_accuracy mcc precision recall f1 log_loss brier_score roc_auc pr_auc"),
+):
+    for _name in _names.split():
+        RESULT_SCHEMA.add(_name, _KINDS[_kind])
 TASK_KEY = ["dataset", "seed", "fold", "condition", "pipeline", "model"]
 
 
