@@ -19,29 +19,37 @@ NAMES = ("logistic_regression", "random_forest", "gradient_boosting", "linear_sv
 def naive_bayes(df: DataFrame, keys: list[str], cols: list[str], target: str, unit: list[str], role: str = "role", smoothing: float = 1e-9) -> DataFrame:
     """T6, T10. (unit..., keys..., role, y_true, y_pred, proba): fitted on each unit's training rows, in one plan.
 
-    Class statistics (units x classes rows) are joined to the rows by unit as one array, so no row is multiplied.
+    A unit's class statistics are one wide row (its size is classes x columns), so likelihoods are plain arithmetic on
+    each row and no row is multiplied. Ties go to the smaller label; a class absent from a unit can't win there.
     """
+    labels = sorted(str(r[0]) for r in df.where(F.col(target).isNotNull()).select(target).distinct().collect())
     x = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    y = F.col(target).cast("string")
     train = df.where((F.col(role) == "train") & F.col(target).isNotNull())
-    spread = train.groupBy(*unit).agg(F.greatest(*[F.var_pop(x[c]) for c in cols], F.lit(0.0)).alias("__eps"))
-    stats = train.groupBy(*unit, target).agg(F.count("*").alias("n"), *[F.avg(x[c]).alias(f"m{i}") for i, c in enumerate(cols)], *[F.var_pop(x[c]).alias(f"v{i}") for i, c in enumerate(cols)])
-    stats = stats.join(spread, unit).withColumn("__total", F.sum("n").over(W.partitionBy(*unit)))
-    floor = F.greatest(F.lit(1e-300), F.lit(smoothing) * F.col("__eps"))
-    each = F.struct(F.col(target).cast("string").alias("label"), F.log(F.col("n") / F.col("__total")).alias("prior"), F.array(*[F.col(f"m{i}") for i in range(len(cols))]).alias("m"), F.array(*[F.col(f"v{i}") + floor for i in range(len(cols))]).alias("v"))
-    models = stats.groupBy(*unit).agg(F.sort_array(F.collect_list(each)).alias("__classes"))  # one array of classes a unit
-    joined = df.join(F.broadcast(models), unit).withColumn("__x", F.array(*[x[c] for c in cols]))
-
-    def log_likelihood(c):
-        terms = F.zip_with(F.zip_with("__x", c["m"], lambda a, m: (a - m) * (a - m)), c["v"], lambda d, v: F.log(v * (2 * math.pi)) / 2 + d / (2 * v))
-        return F.struct((c["prior"] - F.aggregate(terms, F.lit(0.0), lambda a, t: a + F.coalesce(t, F.lit(0.0)))).alias("ll"), c["label"].alias("label"))
-
-    scored = joined.withColumn("__ll", F.transform("__classes", log_likelihood))
-    best = F.array_max(F.transform("__ll", lambda c: c["ll"]))
+    stats = [F.count("*").alias("__n"), F.greatest(F.lit(0.0), *[F.var_pop(x[c]) for c in cols]).alias("__eps")]
+    for k, label in enumerate(labels):
+        stats.append(F.count_if(y == label).alias(f"__n{k}"))
+        for i, c in enumerate(cols):
+            own = F.when(y == label, x[c])
+            stats += [F.avg(own).alias(f"__m{k}_{i}"), F.var_pop(own).alias(f"__v{k}_{i}")]
+    models = train.groupBy(*unit).agg(*stats)
+    joined = df.join(F.broadcast(models), unit)  # one row a unit
+    eps = F.greatest(F.lit(1e-300), F.lit(smoothing) * F.col("__eps"))
+    likely = []
+    for k in range(len(labels)):
+        ll = F.log(F.when(F.col(f"__n{k}") > 0, F.col(f"__n{k}") / F.col("__n")))
+        for i, c in enumerate(cols):
+            v, d = F.col(f"__v{k}_{i}") + eps, x[c] - F.col(f"__m{k}_{i}")
+            ll = ll - F.coalesce(F.log(v * (2 * math.pi)) / 2 + d * d / (2 * v), F.lit(0.0))
+        likely.append(F.coalesce(ll, F.lit(-1e300)).alias(f"__l{k}"))
+    scored = joined.select(*unit, *keys, role, y.alias("y_true"), *likely)
+    names = [f"__l{k}" for k in range(len(labels))]
+    best = F.greatest(*names) if len(names) > 1 else F.col(names[0])
     scored = scored.withColumn("__best", best)
-    weight = F.aggregate("__ll", F.lit(0.0), lambda a, c: a + F.exp(c["ll"] - F.col("__best")))
-    label = F.element_at(F.filter("__ll", lambda c: c["ll"] == F.col("__best")), 1)["label"]
-    proba = F.map_from_arrays(F.transform("__ll", lambda c: c["label"]), F.transform("__ll", lambda c: F.exp(c["ll"] - F.col("__best")) / F.col("__w")))
-    return scored.withColumn("__w", weight).select(*unit, *keys, role, F.col(target).cast("string").alias("y_true"), label.alias("y_pred"), proba.alias("proba"))
+    total = sum((F.exp(F.col(n) - F.col("__best")) for n in names), F.lit(0.0))
+    label = F.coalesce(*[F.when(F.col(n) == F.col("__best"), F.lit(v)) for n, v in zip(names, labels, strict=True)])
+    proba = F.create_map(*[e for n, v in zip(names, labels, strict=True) for e in (F.lit(v), F.exp(F.col(n) - F.col("__best")) / F.col("__total"))])
+    return scored.withColumn("__total", total).select(*unit, *keys, role, "y_true", label.alias("y_pred"), proba.alias("proba"))
 
 
 def knn(df: DataFrame, keys: list[str], cols: list[str], target: str, k: int = 5, role: str = "role", blocks: int = 16, most: int = 200_000) -> DataFrame:
