@@ -50,13 +50,13 @@ def ranking_metrics(scores: DataFrame, unit: list[str]) -> DataFrame:
     """E9, E10. (unit..., auc, ap) from (unit..., score, y in 0/1); tied scores count as one step, null where a class is missing."""
     steps = scores.groupBy(*unit, "score").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
     run = running_sums(steps.withColumn("__neg", -F.col("score")), F.col("__neg"), {"tp": "pos", "all": "n"}, unit)
-    totals = steps.groupBy(*unit).agg(F.sum("pos").alias("P"), F.sum("n").alias("N"))
+    totals = steps.groupBy(*unit).agg(F.sum("pos").alias("all_pos"), F.sum("n").alias("all_n"))
     j = run.join(totals, unit) if unit else run.crossJoin(F.broadcast(totals))
-    neg_step, neg_total = F.col("n") - F.col("pos"), F.col("N") - F.col("P")
+    neg_step, neg_total = F.col("n") - F.col("pos"), F.col("all_n") - F.col("all_pos")
     # A negative at this step is beaten by the positives before it, and half by those tied with it.
     beaten = neg_step * (F.col("tp") - F.col("pos") / 2)
-    area = j.groupBy(*unit, "P", "N").agg(F.sum(beaten).alias("b"), F.sum(F.col("pos") * F.col("tp") / F.col("all")).alias("a"))
-    return area.select(*unit, ratio(F.col("b"), F.col("P") * neg_total).alias("auc"), F.when(neg_total > 0, ratio(F.col("a"), F.col("P"))).alias("ap"))
+    area = j.groupBy(*unit, "all_pos", "all_n").agg(F.sum(beaten).alias("b"), F.sum(F.col("pos") * F.col("tp") / F.col("all")).alias("a"))
+    return area.select(*unit, ratio(F.col("b"), F.col("all_pos") * neg_total).alias("auc"), F.when(neg_total > 0, ratio(F.col("a"), F.col("all_pos"))).alias("ap"))
 
 
 def probability_metrics(pred: DataFrame, unit: list[str], positive: str = "1") -> DataFrame:
