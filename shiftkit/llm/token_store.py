@@ -50,7 +50,11 @@ def train_dictionary(samples: list[bytes]) -> bytes:
 def _dictionary(data: bytes):
     import zstandard
 
-    return zstandard.ZstdCompressionDict(data) if data else None
+    if not data:
+        return None
+    shared = zstandard.ZstdCompressionDict(data)
+    shared.precompute_compress(level=LEVEL)  # else it is digested anew for each document
+    return shared
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
@@ -75,10 +79,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
             return pa.RecordBatch.from_pydict({"part": [part], "block": [block], "start_in_part": [start], "dict_hash": [digest], "doc_ids": [ids_], "ends": [ends], "sizes": [sizes], "frames": [b"".join(frames)]}, schema=to_arrow)
 
         to_arrow = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("start_in_part", pa.int64()), ("dict_hash", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("frames", pa.binary())])
-        end = np.array([end_id], "<u4")
+        end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             for doc_id, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
-                ids = np.concatenate([np.frombuffer(raw, "<u4"), end])
+                ids = np.frombuffer(raw + end, "<u4")
                 frames.append(make.compress(serialize(ids)))
                 at += len(frames[-1])
                 ids_.append(doc_id)

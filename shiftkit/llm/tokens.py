@@ -14,6 +14,17 @@ CHUNK_CHARS, KEPT = 40, 600_000
 _SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: White space to Python, but not to the tokenizers.
 _ODD = re.compile("[\x1c-\x1f]")
+#: What makes a text's gaps other than single spaces and line ends.
+_GAPS = ("\0", "  ", " \n", "\n ", "\n\n", *(chr(c) for c in range(1, 0x3001) if chr(c).isspace() and chr(c) not in " \n"))
+#: One piece of letters, perhaps with a space before and a mark behind: the model alone gives its ids.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies write for each byte: itself where it is printable, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,21 +47,38 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok, self.drops, self.young, self.old = Tokenizer.from_file(path), drops_space, {"": b""}, {}
+        self.model, self.letters = self.tok.model, _byte_letters()
+        self.marks = {m: array("I", self.tok.encode(m, add_special_tokens=False).ids).tobytes() for m in ("", ".", ",")}
+
+    def _ids(self, chunks: list[str]) -> dict[str, bytes]:
+        out, rest = {}, []
+        for c in chunks:
+            if m := _PLAIN.fullmatch(c):
+                word, mark = m.groups()
+                word = (word.lower() if self.drops else word).encode().decode("latin-1").translate(self.letters)
+                out[c] = array("I", [t.id for t in self.model.tokenize(word)]).tobytes() + self.marks[mark]
+            else:
+                rest.append(c)
+        out.update(zip(rest, (array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        return out
 
     def _chunks(self, text: str) -> list[str]:
         if self.drops:
             return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return [text] if _ODD.search(text) else _SPACED.findall(text)
+        if any(g in text for g in _GAPS):
+            return [text] if _ODD.search(text) else _SPACED.findall(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")  # the same, of texts with single gaps only
 
     def encode(self, texts: list[str | None]):
         for lo in range(0, len(texts), 64):
             parts = [self._chunks(t or "") for t in texts[lo : lo + 64]]
-            if new := set().union(*parts).difference(self.young):
-                fresh = list(new.difference(self.old))
-                self.young.update((c, self.old[c]) for c in new.intersection(self.old))
-                self.young.update(zip(fresh, (array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
+            seen = set().union(*parts)
+            if new := seen.difference(self.young):
+                self.young.update([(c, self.old[c]) for c in new if c in self.old])
+                self.young.update(self._ids([c for c in new if c not in self.old]))
+            here = {c: self.young[c] for c in seen}  # small, so that it stays in the processor's cache
             for p in parts:
-                yield b"".join(map(self.young.__getitem__, p))
+                yield b"".join(map(here.__getitem__, p))
             for c in new:
                 if len(c) > CHUNK_CHARS:
                     del self.young[c]
