@@ -32,10 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize
-from .jaccard import _hashes
+from .common import materialize, release
+from .jaccard import word_hashes
 
-VOCABULARY, DENSE, SAMPLE = (1 << 19) - 2, 256, 2000
+VOCABULARY, DENSE, SAMPLE = (1 << 20) - 2, 256, 2000
 BATCH_BYTES, BATCH_DOCS, BUCKET_TOKENS, KEPT_WORDS = 2 << 20, 1024, 1_000_000, 1_000_000
 START, END = np.uint64(1), np.uint64(2)  # pseudo words
 EST, HELD, TEST = 0, 1, 2
@@ -53,14 +53,10 @@ def _batches(batches):
             while hi - lo < len(lengths) and (hi == lo or size < BATCH_BYTES):
                 size += lengths[hi - lo]
                 hi += 1
-            known = _hashes().__getitem__
-            words = [(t or "").encode().lower().split() for t in texts[: hi - lo].to_pylist()]
-            sizes = np.array([len(w) + 1 for w in words])
+            words, edge = word_hashes(texts[: hi - lo].to_pylist())
+            sizes = np.diff(edge) + 1
             at = np.concatenate([[0], np.cumsum(sizes)])
-            h = np.empty(at[-1], np.uint64)
-            for a, w in zip(at, words, strict=False):
-                h[a : a + len(w)] = np.fromiter(map(known, w), np.uint64, len(w))
-            h[at[1:] - 1] = END
+            h = np.insert(words, edge[1:], END)
             yield b.column(0)[lo:hi], b.column(1)[lo:hi].to_numpy(zero_copy_only=False).astype(np.int64), h, at[:-1]
             lo = hi
 
@@ -118,19 +114,32 @@ def count_words(rows: DataFrame, hot: np.ndarray) -> DataFrame:
 
 
 def _flat(x: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers with their like bytes side by side, which compress well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Numbers with their like bytes side by side, compressed."""
+    return _squeezed(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
 
 
-def _unflat(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
+def _unflat(raw: bytes, kind: str = "<u8") -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(_opened(raw), np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def _squeezed(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _opened(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(raw)
 
 
 class Model:
     """Word counts of the vocabulary, totals, and the mixture weights."""
 
     def __init__(self, words, est, held, hot, dense, totals):
-        self.words, self.est, self.all, self.hot, self.dense = words, est, est + held, hot, dense
+        self.words, self.est, self.all, self.hot, self.dense = words, est.astype(np.uint32), (est + held).astype(np.uint32), hot, dense  # a word's count beyond 2^32 needs wider numbers
         self.n_est, self.v_est, self.n_all, self.v_all = totals
         self.start_est, self.start_all = (int(x[np.searchsorted(words, END)]) if len(words) and END in words else 0 for x in (est, self.all))
         self.weights, self.unigram, self.unigram_est = np.zeros(BUCKETS), 0.5, 0.5
@@ -143,8 +152,10 @@ class Model:
         return np.where(h == START, len(self.words), np.where(self.words[i] == h, i, -1))
 
     def count(self, place: np.ndarray, every: bool) -> np.ndarray:
-        x = np.append(self.all if every else self.est, self.start_all if every else self.start_est)
-        return x[place]
+        x, start = (self.all, self.start_all) if every else (self.est, self.start_est)
+        if not len(x):
+            return np.full(np.shape(place), start)
+        return np.where(place == len(x), start, x[np.minimum(place, len(x) - 1)]).astype(np.int64)
 
     def p1(self, c: np.ndarray, every: bool) -> np.ndarray:
         n, v = (self.n_all, self.v_all) if every else (self.n_est, self.v_est)
@@ -211,7 +222,7 @@ def _pack_pairs(rows: DataFrame, model, buckets: int) -> DataFrame:
                 by = np.lexsort((h[rare], v[rare], doc[rare]))
                 x = np.column_stack([v[rare][by].view(np.int64), h[rare][by].view(np.int64), doc[rare][by], part[doc[rare][by]]])
                 new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]).any(1)]))
-                yield _row(2, batch % buckets, batch, np.column_stack([x[new], np.diff(np.append(new, len(x)))]).astype("<i8").tobytes())
+                yield _row(2, batch % buckets, batch, _squeezed(np.column_stack([x[new], np.diff(np.append(new, len(x)))]).astype("<i8").tobytes()))
             d_w, d_v = (order[np.minimum(np.searchsorted(hot[order], x), len(order) - 1)] for x in (w_i, v_i))
             both = (hot[d_w] == w_i) & (hot[d_v] == v_i) & ~rare
             for kind, x, key in ((3, both, d_v * DENSE + d_w), (0, ~rare & ~both, v_i << 20 | w_i)):
@@ -261,7 +272,7 @@ def _count_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     k, est, held = _summed(key, n * (part == EST), n * (part == HELD))
     at = np.searchsorted(k, key)
     cut = np.cumsum([len(x) for x in e])[:-1]
-    out = plain.assign(est=[x.astype("<u4").tobytes() for x in np.split(est[at], cut)], held=[x.astype("<u4").tobytes() for x in np.split(held[at], cut)])
+    out = plain.assign(est=[_flat(x.astype("<u4")) for x in np.split(est[at], cut)], held=[_flat(x.astype("<u4")) for x in np.split(held[at], cut)])
     return pd.concat([out, pdf[pdf.kind != 0].assign(est=b"", held=b"")])[["kind", "batch", "data", "est", "held"]]
 
 
@@ -273,7 +284,7 @@ def _entries(m: Model, kind: int, data: bytes, est: bytes, held: bytes):
     if kind == 3:
         hot = m.place(m.hot)
         return hot[key // DENSE], hot[key % DENSE], doc, n, part, m.dense[0][key], m.dense[0][key] + m.dense[1][key]
-    a, b = np.frombuffer(est, "<u4").astype(np.int64), np.frombuffer(held, "<u4").astype(np.int64)
+    a, b = _unflat(est, "<u4").astype(np.int64), _unflat(held, "<u4").astype(np.int64)
     return key >> 20, key & ((1 << 20) - 1), doc, n, part, a, a + b
 
 
@@ -285,12 +296,10 @@ def score(docs: DataFrame, part: Column, id_col: str = "doc_id", text_col: str =
     spark, kind_of = docs.sparkSession, dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), part.cast("int").alias("part"), F.col(text_col).cast("string").alias("text"))
     sample = rows.select("id", F.substring("text", 1, 20_000).alias("text"), F.xxhash64("id", "text").alias("h")).orderBy("h").limit(SAMPLE)
-    often: dict[bytes, int] = {}  # which words are hot is a guess of the sample; their counts are not
-    for r in sample.select("text").collect():
-        for w in (r.text or "").encode().lower().split():
-            often[w] = often.get(w, 0) + 1
-    hot = [_hashes()[w] for w in sorted(often, key=lambda w: (-often[w], w))[: DENSE - 2]]
-    hot = np.unique(np.array([*hot, START, END], np.uint64))
+    words, _ = word_hashes([r.text for r in sample.select("text").collect()])
+    found, n = np.unique(words, return_counts=True)  # which words are hot is a guess of the sample; their counts are not
+    hot = found[np.lexsort((found, -n))][: DENSE - 2]
+    hot = np.unique(np.concatenate([hot, [START, END]]).astype(np.uint64))
     counted = count_words(rows, hot)
     words = counted.where("kind = 0").select("h", "est", "held")
     total = words.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("est"), F.when(F.col("est") > 0, 1).otherwise(0), F.col("est") + F.col("held"), F.lit(1))]).first()
@@ -310,32 +319,30 @@ def score(docs: DataFrame, part: Column, id_col: str = "doc_id", text_col: str =
     packed = _pack_pairs(rows, shared, buckets)
     counted_pairs = packed.groupBy("slot").applyInPandas(_count_pairs, "kind int, batch long, data binary, est binary, held binary")
     kept = materialize(counted_pairs, "lm-pairs")
+    del packed, counted_pairs
+    release(spark)
 
     def unpack(batches):
+        m = shared.value
         for b in batches:
             for batch, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(data, "<i8").reshape(-1, 5)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), batch)), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(5))], ["batch", "v", "w", "doc", "part", "n"])
-
-    each = kept.where("kind = 2").select("batch", "data").mapInArrow(unpack, "batch long, v long, w long, doc long, part long, n long")
-
-    @F.pandas_udf("struct<est:long,all:long>")
-    def counts_of(h: pd.Series) -> pd.DataFrame:
-        m = shared.value
-        i = m.place(h.to_numpy(np.int64).view(np.uint64))
-        return pd.DataFrame({"est": np.where(i < 0, -1, m.count(i, False)), "all": np.where(i < 0, -1, m.count(i, True))})
-
-    def with_count(df: DataFrame, c: str) -> DataFrame:
-        """Counts of column ``c``: numbered words have them at hand, only rare ones are joined."""
-        df = df.withColumn(f"{c}_c", counts_of(c))
-        key = F.when(F.col(f"{c}_c.all") < 0, F.col(c)).otherwise(F.xxhash64("batch", "doc", "v", "w"))
-        joined = df.withColumn("__k", key).join(words.where(F.col("est") + F.col("held") < floor).select(F.col("h").alias("__k"), F.col("est").alias("__e"), (F.col("est") + F.col("held")).alias("__a")), "__k", "left")
-        found = F.when(F.col(f"{c}_c.all") < 0, F.struct(F.coalesce("__e", F.lit(0)).alias("est"), F.coalesce("__a", F.lit(0)).alias("all"), F.lit(True).alias("rare"))).otherwise(F.struct(f"{c}_c.est", f"{c}_c.all", F.lit(False).alias("rare")))
-        return joined.withColumn(f"{c}_c", found).drop("__k", "__e", "__a")
-
-    pair = W.partitionBy("v", "w")
-    of_pair = [F.sum(F.when(ok, F.col("n")).otherwise(0)).over(pair).alias(c) for c, ok in (("e12", F.col("part") == EST), ("a12", F.col("part") != TEST))]
-    rare_rows = materialize(with_count(with_count(each.select("*", *of_pair), "v"), "w"), "lm-rare")
+                x = np.frombuffer(_opened(data), "<i8").reshape(-1, 5)
+                v, w, doc, p, n = (np.ascontiguousarray(x[:, i]) for i in range(5))
+                place_v, place_w = (m.place(y.view(np.uint64)) for y in (v, w))
+                counts = [np.where(at < 0, -1, m.count(at, every)) for at in (place_v, place_w) for every in (False, True)]
+                key = np.where(place_w < 0, w, v)  # a rare word of the pair, so no key is hot
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), batch)), *map(pa.array, (v, w, doc.astype(np.int32), p.astype(np.int32), n.astype(np.int32), key, *counts))], names)
+
+    names = ["batch", "v", "w", "doc", "part", "n", "key", "v_est", "v_all", "w_est", "w_all"]
+    each = kept.where("kind = 2").select("batch", "data").mapInArrow(unpack, "batch long, v long, w long, doc int, part int, n int, key long, v_est long, v_all long, w_est long, w_all long")
+    # All pairs with a rare second word meet at its key, so that its count is theirs.
+    est, every = (F.when(ok, F.col("n")).otherwise(0) for ok in (F.col("part") == EST, F.col("part") != TEST))
+    at_key, of_pair = W.partitionBy("key", F.col("w_all") < 0), W.partitionBy("key", F.col("w_all") < 0, "v", "w")
+    summed = each.select("batch", "doc", "part", "n", "v", "v_est", "v_all", F.sum(est).over(of_pair).alias("e12"), F.sum(every).over(of_pair).alias("a12"), (F.col("w_all") < 0).alias("rare"),
+                         *[F.when(F.col("w_all") < 0, F.sum(x).over(at_key)).otherwise(F.col(c)).alias(c) for c, x in (("w_est", est), ("w_all", every))])
+    known = words.where(F.col("est") + F.col("held") < floor).select(F.col("h").alias("v"), F.col("est").alias("v_est"), (F.col("est") + F.col("held")).alias("v_all"))
+    first_rare = summed.where("v_all < 0").drop("v_est", "v_all").join(known, "v", "left").fillna(0, ["v_est", "v_all"])
+    rare_rows = materialize(summed.where("v_all >= 0").unionByName(first_rare).drop("v"), "lm-rare")
 
     def held_cells(batches):
         m = shared.value
@@ -354,16 +361,16 @@ def score(docs: DataFrame, part: Column, id_col: str = "doc_id", text_col: str =
 
     of_cell = "cell long, n double, s2 double, s1 double"
     seen = kept.where("kind in (0, 3)").select("kind", "data", "est", "held").mapInArrow(held_cells, of_cell)
-    seen = seen.unionByName(rare_rows.where(F.col("part") == HELD).select("v_c.est", "e12", "w_c.est", "n").toDF("c1", "c12", "c2", "n").mapInArrow(rare_cells, of_cell))
+    seen = seen.unionByName(rare_rows.where(F.col("part") == HELD).select("v_est", "e12", "w_est", "n").mapInArrow(rare_cells, of_cell))
     model.weights = learn(seen.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("s2").alias("s2"), F.sum("s1").alias("s1")).orderBy("cell").toPandas())
-    final = spark.sparkContext.broadcast(model)
+    weights = model.weights
 
     def log_p(m: Model, c1, c12, c2) -> np.ndarray:
-        w = m.weights[bucket_of(c1)]
+        w = weights[bucket_of(c1)]
         return np.log10(w * c12 / np.maximum(c1, 1) + (1 - w) * m.p1(c2, True))
 
     def parts(batches):
-        m = final.value
+        m = shared.value
         for b in batches:
             out = []
             for kind, batch, data, est, held in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -374,15 +381,15 @@ def score(docs: DataFrame, part: Column, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["batch", "sums"])
 
     def rare_parts(batches):
-        m = final.value
+        m = shared.value
         for b in batches:
             batch, doc, n, c1, c12, c2, is_rare = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             base = np.where(is_rare, n * np.log10((c2 + 0.1) / (m.n_all + 0.1 * (m.v_all + 1))), 0.0)
-            yield pa.RecordBatch.from_arrays([pa.array(batch), pa.array(doc), pa.array(n * log_p(m, c1, c12, c2)), pa.array(base), pa.array(np.where(is_rare & (c2 > 0), n, 0))], ["batch", "doc", "s", "base", "seen"])
+            yield pa.RecordBatch.from_arrays([pa.array(batch), pa.array(doc), pa.array(n * log_p(m, c1, c12, c2)), pa.array(base), pa.array(np.where(is_rare & (c2 > 0), n, 0).astype(np.int64))], ["batch", "doc", "s", "base", "seen"])
 
     sums = kept.where("kind in (0, 3)").select("kind", "batch", "data", "est", "held").mapInArrow(parts, "batch long, sums binary")
-    of_rare = rare_rows.select("batch", "doc", "n", "v_c.all", "a12", "w_c.all", "w_c.rare").toDF("batch", "doc", "n", "c1", "c12", "c2", "rare")
-    of_rare = of_rare.mapInArrow(rare_parts, "batch long, doc long, s double, base double, seen long").groupBy("batch", "doc").agg(F.sum("s").alias("s"), F.sum("base").alias("base"), F.sum("seen").alias("seen"))
+    of_rare = rare_rows.select("batch", "doc", "n", "v_all", "a12", "w_all", "rare")
+    of_rare = of_rare.mapInArrow(rare_parts, "batch long, doc int, s double, base double, seen long").groupBy("batch", "doc").agg(F.sum("s").alias("s"), F.sum("base").alias("base"), F.sum("seen").alias("seen"))
     of_rare = of_rare.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("doc", "s", "base", "seen"))).alias("rare"))  # a batch's documents at most
     listed = kept.where("kind = 1").select("batch", "data").join(of_rare, "batch", "left").select("batch", "data", "rare")
     train = int(model.n_all)
