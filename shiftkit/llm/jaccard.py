@@ -22,8 +22,6 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -34,7 +32,7 @@ from .common import materialize
 from .components import components
 
 RATIO, RESERVE, THIN, FULL = 1.4, 24, 2, 4  # size bands; one reserved segment in so many; sizes not probed, and probed with one difference
-FEW, BLOCK, NEAREST = 8, 2048, 4
+FEW, BLOCK, NEAREST = 8, 2048, 8
 BROADCAST_IDS = 1_000_000
 SEEN = 200_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -48,36 +46,59 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, kept."""
+def _byte_values() -> np.ndarray:
+    """A 64-bit number for each byte, A-Z as a-z; white space is 0."""
+    v = _mixed(np.arange(1, 257, dtype=np.uint64) * _BASE) | np.uint64(1)
+    v[65:91] = v[97:123]
+    v[[9, 10, 11, 12, 13, 32]] = 0
+    return v
+
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+_BYTE = _byte_values()
 
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 40:
-            if len(self) >= 300_000:
-                self.clear()
-            self[word] = h
-        return h
 
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts, and at which one each text begins (with the end).
 
-@functools.lru_cache(1)
-def _hashes() -> _Hashes:
-    return _Hashes()
+    Words are runs of bytes between ASCII white space, A-Z in lower case; a hash is a polynomial of the bytes' numbers.
+    """
+    raw = [(t or "").encode() for t in texts]
+    v = _BYTE[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
+    seen = v != 0
+    first = np.flatnonzero(seen & ~np.concatenate([[False], seen[:-1]]))
+    edge = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
+    if not len(first):
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    size = np.flatnonzero(seen & ~np.concatenate([seen[1:], [False]])) - first + 1
+    power = np.multiply.accumulate(np.concatenate([[1], np.full(int(size.max()) - 1, 0x2545F4914F6CDD1D)]).astype(np.uint64))
+    start = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(start, size)
+    total = np.add.reduceat(v[seen] * power[place], start)
+    return _mixed(total + size.astype(np.uint64) * _BASE), np.searchsorted(first, edge)
+
+
+def shingles_of(texts: list[str | None], k: int) -> list[np.ndarray]:
+    """For each text the sorted hashes of its distinct k-word shingles."""
+    h, at = word_hashes(texts)
+    part = np.full(len(h), k, np.uint64)
+    for i in range(k):
+        part[: len(h) - i] = _mixed(part[: len(h) - i] * _BASE + h[i:])
+    out = []
+    for a, b in zip(at, at[1:], strict=False):
+        if b - a >= k:
+            out.append(np.unique(part[a : b - k + 1]))
+        elif a < b:  # fewer words than k: the whole sequence is one
+            one = np.full(1, b - a, np.uint64)
+            for x in h[a:b]:
+                one = _mixed(one * _BASE + x)
+            out.append(one)
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
-    """Sorted hashes of the distinct k-word shingles; words are bytes between ASCII white space, A-Z in lower case."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes().__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - k + 1)
-    out = np.full(n, len(h[:k]), np.uint64)
-    for i in range(min(k, len(h))):
-        out = _mixed(out * _BASE + h[i : i + n])
-    return np.unique(out)
+    return shingles_of([text], k)[0]
 
 
 class Bands:
@@ -112,7 +133,7 @@ def signatures(h: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """Keys of a set and their kinds: 4 for a deletion, plus 0, 1, 2 for not probed, probed exactly, with one difference."""
     keys, kinds = [], []
     for band, reach in bands.params(len(h)):
-        m, salt = reach + 1, np.uint64(band + 1) * _BASE
+        m, salt = reach + 1, np.uint64((band + 1) * int(_BASE) % (1 << 64))
         g = _mixed(h ^ salt)
         seg = (g >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
         seg = seg.astype(np.int64)
@@ -156,11 +177,10 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def run(batches):
         bands, seen = Bands(num, den), set()
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            for lo in range(0, b.num_rows, 128):
+                part = b.slice(lo, 128)
                 n, node, maps, keys, kinds = [], [], [], [], []
-                for text in part.column(1).to_pylist():
-                    h = shingles(text, k)
+                for h in shingles_of(part.column(1).to_pylist(), k):
                     f = int(_mixed(h).sum(dtype=np.uint64).astype(np.int64)) if len(h) else None
                     n.append(len(h))
                     node.append(f)
@@ -216,9 +236,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num:
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                raw = [shingles(t, k) for t in part.column(1).to_pylist()]
+            for lo in range(0, b.num_rows, 128):
+                part = b.slice(lo, 128)
+                raw = shingles_of(part.column(1).to_pylist(), k)
                 same = [bool(len(h)) and int(_mixed(h).sum(dtype=np.uint64).astype(np.int64)) == f for h, f in zip(raw, part.column(0).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h.tobytes() for h in raw], pa.binary()), pa.array(same)], ["node", "hs", "same"])
 
@@ -240,13 +260,21 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num:
     return materialize(both.where(links("ha", "hb")).select("a", "b"), f"{label}-links")
 
 
+def _distances(maps: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Bits in which the bitmaps of rows lo..hi differ from those of all rows, by products of slices of signs."""
+    out = np.zeros((hi - lo, len(maps)), np.float32)
+    for at in range(0, maps.shape[1], 256):
+        bits = np.unpackbits(maps[:, at : at + 256], axis=1).astype(np.float32) * 2 - 1
+        out += (bits.shape[1] - bits[lo:hi] @ bits.T) / 2
+    return out
+
+
 def _remaining(many: DataFrame, nodes: DataFrame, roots: DataFrame, num: int, den: int, every: bool) -> DataFrame:
-    """Pairs (a, b) of many-member keys that lie in different components and may link by their bitmaps.
+    """(a, b, more): pairs of many-member keys that lie in different components and may link by their bitmaps.
 
-    ``every``: all of them; else for each member its NEAREST by bitmap. Keys with more than BLOCK members are dealt
-    out in pairs of blocks.
+    ``every``: all of them; else for each member its NEAREST by bitmap, and a row (key, 0, true) for a key where a member
+    has more. Keys with more than BLOCK members are dealt out in pairs of blocks.
     """
-    bands = Bands(num, den)
     rooted = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c")).where("r0 != r1").select("key", "c")
     rows = rooted.join(open_, "key").join(nodes.select("node", "map"), "node")
@@ -258,26 +286,40 @@ def _remaining(many: DataFrame, nodes: DataFrame, roots: DataFrame, num: int, de
         size = min(len(x) for x in pdf["map"])
         maps = np.stack([_folded(x, size) for x in pdf["map"]])
         node, n, root, kind, own = (pdf[c].to_numpy() for c in ("node", "n", "root", "kind", "own"))
+        gone, allow, n = kind >= 4, kind % 4, n.astype(np.int64)
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        out_a, out_b = [], []
-        for x in range(len(pdf)):
-            y = slice(x + 1, None) if every else slice(None)
-            allowed = np.where((n[x] > n[y]) | ((n[x] == n[y]) & (node[x] > node[y])), kind[x] % 4, kind[y] % 4)
-            gone = (kind[x] >= 4) * 1 + (kind[y] >= 4)
-            ok = (root[y] != root[x]) & (gone < 2) & (allowed >= 1 + gone) & (den * np.minimum(n[y], n[x]) >= num * np.maximum(n[y], n[x]))
+        out_x, out_y, more = [], [], False
+        for lo in range(0, len(pdf), 512):
+            t = slice(lo, lo + 512)
+            col = lambda v: v[t, None]  # noqa: B023, E731
+            larger = (col(n) > n) | ((col(n) == n) & (col(node) > node))
+            ok = (col(root) != root) & ~(col(gone) & gone) & (np.where(larger, col(allow), allow) >= 1 + (col(gone) | gone))
+            ok &= den * np.minimum(col(n), n) >= num * np.maximum(col(n), n)
             if i != j:
-                ok &= own[y] != own[x]
-            at = np.flatnonzero(ok) + (x + 1 if every else 0)
-            apart = _POP[maps[at] ^ maps[x]].sum(1)
-            fits = apart <= np.array([bands.reach(int(n[x] + n[z])) for z in at])
-            at, apart = at[fits], apart[fits]
-            if not every:
-                at = at[np.argsort(apart, kind="stable")[:NEAREST]]
-            out_a.append(np.minimum(node[at], node[x]))
-            out_b.append(np.maximum(node[at], node[x]))
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
-
-    return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+                ok &= col(own) != own
+            if not ok.any():
+                continue
+            apart = _distances(maps, lo, min(lo + 512, len(pdf)))
+            ok &= apart <= (den - num) * (col(n) + n) // (den + num)
+            if every:
+                x, y = np.nonzero(ok)
+                keep = y > x + lo
+                x, y = x[keep], y[keep]
+            else:
+                full = np.flatnonzero(ok.sum(1) > NEAREST)
+                more |= bool(len(full))
+                for r in full:
+                    at = np.flatnonzero(ok[r])
+                    ok[r] = False
+                    ok[r, at[np.argsort(apart[r, at], kind="stable")[:NEAREST]]] = True
+                x, y = np.nonzero(ok)
+            out_x.append(x + lo)
+            out_y.append(y)
+        x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (out_x, out_y))
+        out = pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y]), "more": False})
+        return pd.concat([out, pd.DataFrame({"a": [pdf["key"].iloc[0]], "b": [0], "more": [True]})]) if more else out
+
+    return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long, more boolean").distinct()
 
 
 def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", firsts: bool = False) -> DataFrame:
@@ -305,18 +347,16 @@ def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     tried = materialize(pairs.unionByName(stars).distinct(), "jac-pairs")
     links = _verified(tried, nodes, rows, k, num, den, "jac0")
     roots = components(links)
-    has_many = bool(many.limit(1).count())
-    for turn in (1, 2) if has_many else ():
-        more = _remaining(many.select("key", "node", "n", "kind"), nodes, roots, num, den, every=turn == 2).join(tried, ["a", "b"], "left_anti")
-        more = materialize(more, f"jac-pairs{turn}")
-        if not more.limit(1).count():
-            if turn == 1:
-                break
-            continue
-        found = _verified(more, nodes, rows, k, num, den, f"jac{turn}")
-        tried = tried.unionByName(more)
-        links = links.unionByName(found)
-        roots = components(links)
+    for turn in (1, 2) if many.limit(1).count() else ():
+        found = materialize(_remaining(many.select("key", "node", "n", "kind"), nodes, roots, num, den, every=turn == 2), f"jac-pairs{turn}")
+        new = materialize(found.where("not more").select("a", "b").join(tried, ["a", "b"], "left_anti"), f"jac-new{turn}")
+        if new.limit(1).count():
+            links = links.unionByName(_verified(new, nodes, rows, k, num, den, f"jac{turn}"))
+            tried = tried.unionByName(new)
+            roots = components(links)
+        many = many.join(found.where("more").select(F.col("a").alias("key")).distinct(), "key", "left_semi")
+        if not many.limit(1).count():
+            break
     rooted = owner.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("head"))
     labels = rooted.join(lowest, "root").select("node", "head")
