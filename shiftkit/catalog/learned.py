@@ -43,7 +43,7 @@ def _(spark, d):
     return view(spark, d, "v_li").limit(1).select(F.explode(F.array(*[F.lit(c) for c in names])).alias("feature"))
 
 
-@query("f2_f5_synthesis", f"with {duck('v_li')} select k, " + ", ".join(f'round({e}, 5) + 0.0 as "{n}"' for n, e in _all(["qty", "price", "tax"])) + " from v_li")
+@query("f2_f5_synthesis", f"with {duck('v_li')} select k, " + ", ".join(f'round({e}, 4) + 0.0 as "{n}"' for n, e in _all(["qty", "price", "tax"])) + " from v_li")
 def _(spark, d):
     made = X.generated(["qty", "price", "tax"])
     w = X.synthesise(view(spark, d, "v_li"), ["k"], made)

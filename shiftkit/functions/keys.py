@@ -31,9 +31,11 @@ def z(tag: str, *keys: str, seed: int = SEED) -> Column:
     return F.sqrt(-2 * F.log(1 - _unit(h, 1))) * F.cos(2 * math.pi * _unit(h, 14))
 
 
-def _bucketed(df: DataFrame, part: list[str], by: Column, buckets: int) -> DataFrame:
-    """Adds __v (the sort value) and __b: its place among approximate quantiles, for each part."""
+def _bucketed(df: DataFrame, part: list[str], by: Column, buckets: int, uniform: bool = False) -> DataFrame:
+    """Adds __v (the sort value) and __b: its place among approximate quantiles, for each part; known for uniform values."""
     valued = df.withColumn("__v", by.cast("double"))
+    if uniform:
+        return valued.withColumn("__b", F.floor(F.col("__v") * buckets).cast("int"))
     at = [(i + 1) / buckets for i in range(buckets - 1)]
     edges = valued.groupBy(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(part)]).agg(F.percentile_approx("__v", at, 1000).alias("__e"))
     on = [F.col(p).eqNullSafe(F.col(f"__p{i}")) for i, p in enumerate(part)]
@@ -57,10 +59,13 @@ def _clean(df: DataFrame, keep: list[str], new: list[str]) -> DataFrame:
     return df.select(*keep, *new)
 
 
-def dist_rank(df: DataFrame, by: Column, tie: list[str], part: list[str] | None = None, out: str = "rank", buckets: int = BUCKETS) -> DataFrame:
-    """row_number() over (partition by part order by by, tie), dealt to ``buckets`` tasks a part."""
+def dist_rank(df: DataFrame, by: Column, tie: list[str], part: list[str] | None = None, out: str = "rank", buckets: int = BUCKETS, uniform: bool = False) -> DataFrame:
+    """row_number() over (partition by part order by by, tie), dealt to ``buckets`` tasks a part.
+
+    ``uniform``: ``by`` is uniform in [0, 1), so no quantiles are needed.
+    """
     part, columns = part or [], df.columns
-    b = _bucketed(df, part, by, buckets)
+    b = _bucketed(df, part, by, buckets, uniform)
     inner = F.row_number().over(W.partitionBy(*part, "__b").orderBy("__v", *tie))
     ranked = _with_offsets(b.withColumn("__r", inner), part, _offsets(b, part, {"n": F.lit(1)}))
     return _clean(ranked.withColumn(out, (F.col("__r") + F.col("__o_n")).cast("long")), columns, [out])

@@ -16,13 +16,13 @@ from ..functions.keys import u
 NAMES = ("logistic_regression", "random_forest", "gradient_boosting", "linear_svm", "knn", "naive_bayes", "mlp")
 
 
-def naive_bayes(df: DataFrame, keys: list[str], cols: list[str], target: str, unit: list[str], role: str = "role", smoothing: float = 1e-9) -> DataFrame:
+def naive_bayes(df: DataFrame, keys: list[str], cols: list[str], target: str, unit: list[str], role: str = "role", smoothing: float = 1e-9, labels: list[str] | None = None) -> DataFrame:
     """T6, T10. (unit..., keys..., role, y_true, y_pred, proba): fitted on each unit's training rows, in one plan.
 
     A unit's class statistics are one wide row (its size is classes x columns), so likelihoods are plain arithmetic on
     each row and no row is multiplied. Ties go to the smaller label; a class absent from a unit can't win there.
     """
-    labels = sorted(str(r[0]) for r in df.where(F.col(target).isNotNull()).select(target).distinct().collect())
+    labels = labels or sorted(str(r[0]) for r in df.where(F.col(target).isNotNull()).select(target).distinct().collect())
     x = {c: F.col(f"`{c}`").cast("double") for c in cols}
     y = F.col(target).cast("string")
     train = df.where((F.col(role) == "train") & F.col(target).isNotNull())
@@ -32,7 +32,7 @@ def naive_bayes(df: DataFrame, keys: list[str], cols: list[str], target: str, un
         for i, c in enumerate(cols):
             own = F.when(y == label, x[c])
             stats += [F.avg(own).alias(f"__m{k}_{i}"), F.var_pop(own).alias(f"__v{k}_{i}")]
-    models = train.groupBy(*unit).agg(*stats)
+    models = train.groupBy(*unit).agg(*stats).persist()  # one row a unit, asked for with each use of the predictions
     joined = df.join(F.broadcast(models), unit)  # one row a unit
     eps = F.greatest(F.lit(1e-300), F.lit(smoothing) * F.col("__eps"))
     likely = []

@@ -79,7 +79,7 @@ def class_prior_shift(df: DataFrame, keys: list[str], target: str, share: float
     if len(counts) < 2:
         return df
     top, n, rest = counts[0][0], counts[0][1], sorted(r[0] for r in counts[1:])
-    ranked = dist_rank(df.where(F.col(target) == F.lit(top)), u("prior", *keys, seed=seed), keys, None, "__rank")
+    ranked = dist_rank(df.where(F.col(target) == F.lit(top)), u("prior", *keys, seed=seed), keys, None, "__rank", uniform=True)
     to = F.element_at(F.array(*[F.lit(c) for c in rest]), (F.floor(u("minor", *keys, seed=seed) * len(rest)) + 1).cast("int"))
     moved = ranked.withColumn(target, F.when(F.col("__rank") <= int(share * n), to).otherwise(F.col(target))).drop("__rank")
     return moved.select(*df.columns).unionByName(df.where(F.col(target).isNull() | (F.col(target) != F.lit(top))))
@@ -157,7 +157,7 @@ def all_conditions(df: DataFrame, keys: list[str], target: str, chosen: DataFram
         top = top.select("unit_fold", F.col("t.top").alias("__top"), F.floor(F.col("t.n") * 0.5).alias("__move"))
         scaled = scaled.join(F.broadcast(top), "unit_fold")
         major = scaled.where((F.col("role") == "train") & (F.col(target) == F.col("__top"))).select("unit_fold", *keys)
-        ranks = dist_rank(major, u("prior", *keys, seed=seed), keys, ["unit_fold"], "__rank")
+        ranks = dist_rank(major, u("prior", *keys, seed=seed), keys, ["unit_fold"], "__rank", uniform=True)
         scaled = scaled.join(ranks, ["unit_fold", *keys], "left")
     out = scaled.crossJoin(F.broadcast(chosen))  # the conditions: 14 rows at most
     hit = lambda f: (F.col("role") == "train") & (F.col("family") == f)

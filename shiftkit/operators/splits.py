@@ -21,7 +21,7 @@ def holdout(df: DataFrame, keys: list[str], target: str, share: float = 0.2, see
     counts = df.where(F.col(target).isNotNull()).groupBy(target).count()
     c = counts.agg(F.count("*").alias("k"), F.min("count").alias("m")).first()
     part = [target] if c.k > 1 and c.m > 1 else []
-    ranked = dist_rank(df, u("holdout", *keys, seed=seed), keys, part, "__rank")
+    ranked = dist_rank(df, u("holdout", *keys, seed=seed), keys, part, "__rank", uniform=True)
     sizes = df.groupBy(*part).agg(F.count("*").alias("__n"))
     sized = ranked.join(F.broadcast(sizes.withColumnRenamed(target, "__t")), F.col(target).eqNullSafe(F.col("__t"))).drop("__t") if part else ranked.crossJoin(F.broadcast(sizes))
     return sized.withColumn("side", F.when(F.col("__rank") <= F.ceil(F.lit(share) * F.col("__n")), "test").otherwise("train")).drop("__rank", "__n")
@@ -29,7 +29,7 @@ def holdout(df: DataFrame, keys: list[str], target: str, share: float = 0.2, see
 
 def plain_folds(df: DataFrame, keys: list[str], k: int = 5, seed: int = 42) -> DataFrame:
     """X3. Adds ``fold`` 1..k by the rank of a hash."""
-    return dist_rank(df, u("fold", *keys, seed=seed), keys, None, "__rank").withColumn("fold", ((F.col("__rank") - 1) % k + 1).cast("int")).drop("__rank")
+    return dist_rank(df, u("fold", *keys, seed=seed), keys, None, "__rank", uniform=True).withColumn("fold", ((F.col("__rank") - 1) % k + 1).cast("int")).drop("__rank")
 
 
 def stratified_folds(df: DataFrame, keys: list[str], target: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -39,7 +39,7 @@ def stratified_folds(df: DataFrame, keys: list[str], target: str, k: int = 5, se
     if least is None or least < k:
         return plain_folds(df, keys, k, seed)
     before = counts.withColumn("__o", F.coalesce(F.sum("__n").over(W.orderBy(F.asc_nulls_last(target)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    ranked = dist_rank(df, u("fold", *keys, seed=seed), keys, [target], "__rank")
+    ranked = dist_rank(df, u("fold", *keys, seed=seed), keys, [target], "__rank", uniform=True)
     offset = F.broadcast(before.select(F.col(target).alias("__t"), "__o"))  # one row a class
     joined = ranked.join(offset, F.col(target).eqNullSafe(F.col("__t")))
     return joined.withColumn("fold", ((F.col("__rank") + F.col("__o") - 1) % k + 1).cast("int")).drop("__rank", "__o", "__t")
