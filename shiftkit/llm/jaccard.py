@@ -32,7 +32,7 @@ from .common import materialize
 from .components import components
 
 RATIO, RESERVE, THIN, FULL = 1.4, 24, 2, 4  # size bands; one reserved segment in so many; sizes not probed, and probed with one difference
-FEW, BLOCK, NEAREST = 8, 2048, 8
+FEW, BLOCK, NEAREST = 8, 2048, 2
 BROADCAST_IDS = 1_000_000
 SEEN = 200_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
