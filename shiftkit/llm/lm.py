@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from .common import materialize, release
 from .jaccard import word_hashes
 
-VOCABULARY, DENSE, SAMPLE = (1 << 20) - 2, 256, 2000
+VOCABULARY, DENSE, SAMPLE = 600_000, 256, 2000
 BATCH_BYTES, BATCH_DOCS, BUCKET_TOKENS, KEPT_WORDS = 2 << 20, 1024, 1_000_000, 1_000_000
 START, END = np.uint64(1), np.uint64(2)  # pseudo words
 EST, HELD, TEST = 0, 1, 2
@@ -139,7 +139,7 @@ class Model:
     """Word counts of the vocabulary, totals, and the mixture weights."""
 
     def __init__(self, words, est, held, hot, dense, totals):
-        self.words, self.est, self.all, self.hot, self.dense = words, est.astype(np.uint32), (est + held).astype(np.uint32), hot, dense  # a word's count beyond 2^32 needs wider numbers
+        self.words, self.est, self.all, self.hot, self.dense = words, est, est + held, hot, dense
         self.n_est, self.v_est, self.n_all, self.v_all = totals
         self.start_est, self.start_all = (int(x[np.searchsorted(words, END)]) if len(words) and END in words else 0 for x in (est, self.all))
         self.weights, self.unigram, self.unigram_est = np.zeros(BUCKETS), 0.5, 0.5
@@ -306,12 +306,16 @@ def score(docs: DataFrame, part: Column, id_col: str = "doc_id", text_col: str =
     by_count = words.groupBy((F.col("est") + F.col("held")).alias("c")).agg(F.count("*").alias("k")).orderBy(F.desc("c")).toPandas()
     few = by_count[by_count.k.cumsum() <= VOCABULARY]
     floor = int(few.c.min()) if len(few) else 1 << 62
-    vocabulary = words.where((F.col("est") + F.col("held") >= floor) | F.col("h").isin([int(x) for x in hot.view(np.int64)])).toPandas()
-    vocabulary = vocabulary.assign(u=vocabulary.h.to_numpy(np.int64).view(np.uint64)).sort_values("u")
+    numbered = words.where((F.col("est") + F.col("held") >= floor) | F.col("h").isin([int(x) for x in hot.view(np.int64)]))
+    got = numbered.select("h", "est", "held").toArrow()
+    h, est, held = (got.column(c).to_numpy() for c in ("h", "est", "held"))
+    order = np.argsort(h.view(np.uint64))
+    vocabulary = tuple(x[order] for x in (h.view(np.uint64), est, held))
+    del got, h, est, held, order
     pairs = counted.where("kind = 1").toPandas()
     dense = np.zeros((2, DENSE * DENSE), np.int64)
     dense[0][pairs.h.to_numpy(np.int64)], dense[1][pairs.h.to_numpy(np.int64)] = pairs.est, pairs.held
-    model = Model(vocabulary.u.to_numpy(), vocabulary.est.to_numpy(np.int64), vocabulary.held.to_numpy(np.int64), hot, dense, tuple(total))
+    model = Model(*vocabulary, hot, dense, tuple(total))
     model.unigram = learn_unigram(words.groupBy("est").agg(F.sum("held").alias("held")).where("held > 0").toPandas(), model.n_est, model.v_est)
 
     shared = spark.sparkContext.broadcast(model)
