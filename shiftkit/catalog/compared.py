@@ -59,9 +59,8 @@ def _(spark, d):
 
 @query("c5_benjamini_hochberg", f"with {duck('v_pred')}, t as (select k, case when k % 7 = 0 then null else p end as p from v_pred where k < 500), r as (select k, p, p * count(p) over () / row_number() over (order by p, k) as q from t where p is not null), c as (select k, p, min(q) over (order by p desc, q desc rows between unbounded preceding and current row) as q from r) select t.k, case when t.p is not null then round(least(1.0, min(q) over (partition by t.p)), 6) end as p_corrected from t left join c using (k)")
 def _(spark, d):
-    t = view(spark, d, "v_pred").where("k < 500").select("k", F.when(F.col("k") % 7 != 0, F.col("p")).alias("p"))
-    got = C.benjamini_hochberg(t, "p").withColumn("m", F.expr("min(p_corrected) over (partition by p)"))
-    return got.select("k", r6(F.col("m")).alias("p_corrected"))
+    t = view(spark, d, "v_pred").select("k", F.when(F.col("k") % 7 != 0, F.col("p")).alias("p"))
+    return C.benjamini_hochberg(t, "p").select("k", r6(F.col("p_corrected")).alias("p_corrected"))
 
 
 _BLOCKS = f"{duck('v_res')}, m as (select dataset, seed, fold, condition, model || '_' || pipeline as g, avg(f1) as v from v_res where status = 'success' and model in ('knn', 'svm', 'mlp') group by all), f as (select dataset, seed, fold, condition from m group by all having count(*) = (select count(distinct g) from m)), r as (select m.*, rank() over (partition by dataset, seed, fold, condition order by v desc) + (count(*) over (partition by dataset, seed, fold, condition, v) - 1) / 2 as r from m join f using (dataset, seed, fold, condition))"

@@ -79,3 +79,13 @@ def running_sums(df: DataFrame, by: Column, sums: dict[str, str], part: list[str
     run = b.select("*", *[F.sum(c).over(inner).alias(f"__s_{k}") for k, c in sums.items()])
     joined = _with_offsets(run, part, _offsets(b, part, {k: F.col(c) for k, c in sums.items()}))
     return _clean(joined.select("*", *[(F.col(f"__s_{k}") + F.col(f"__o_{k}")).alias(k) for k in sums]), columns, list(sums))
+
+
+def least_from(df: DataFrame, by: Column, value: str, out: str, buckets: int = BUCKETS) -> DataFrame:
+    """Adds the least ``value`` over all rows from this one's ``by`` upwards (``by`` is distinct)."""
+    columns, b = df.columns, _bucketed(df, [], by, buckets)
+    inner = W.partitionBy("__b").orderBy(F.desc("__v")).rowsBetween(W.unboundedPreceding, 0)
+    above = W.orderBy(F.desc("__b")).rowsBetween(W.unboundedPreceding, -1)  # one row a bucket
+    rest = b.groupBy("__b").agg(F.min(value).alias("__t")).select(F.col("__b").alias("__ob"), F.min("__t").over(above).alias("__o"))
+    joined = _with_offsets(b.withColumn("__r", F.min(value).over(inner)), [], rest)
+    return _clean(joined.withColumn(out, F.least("__r", "__o")), columns, [out])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..functions.keys import least_from, running_sums
 from ..functions.numeric import chi2_tail, finite, normal_two_sided, ratio, signed_rank_exact, studentized_range_tail
 from .metrics import two_samples
 from .relational import average_rank, family_of, mean_pivot, severity
@@ -81,18 +82,28 @@ def compare(results: DataFrame, a: str = "Raw", b: str = "AutoFE_Baseline", metr
     delta = cliffs_delta(both, F.col("v"), F.col("f"), ["dataset"])
     tested = signed_ranks(pairs, ["dataset"]).withColumn("p_value", signed_rank_p("n_pairs", "n", "w_plus", "w_minus", "ties", "close"))
     out = tested.join(means, "dataset").join(delta, "dataset", "left").withColumn("mean_diff", F.col("mean_b") - F.col("mean_a"))
-    out = benjamini_hochberg(out, "p_value", alpha)
+    out = benjamini_hochberg(out, "p_value", alpha, few=True)  # one row a dataset
     winner = F.when(F.col("mean_diff").isNull(), "undetermined").when(F.abs("mean_diff") < 1e-12, "tie").when(F.col("mean_diff") > 0, b).otherwise(a)
     return out.select("dataset", "n_pairs", "mean_a", "mean_b", "mean_diff", "delta", "w_plus", "w_minus", "p_value", "p_corrected", "significant", winner.alias("winner"))
 
 
-def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
-    """C5. Adds p_corrected and significant; missing p stay missing and not significant. One row a comparison."""
-    up, valid = W.partitionBy(F.col(p).isNull()).orderBy(p), W.partitionBy(F.col(p).isNull())
-    raw = df.withColumn("__q", F.col(p) * F.count(p).over(valid) / F.row_number().over(up))
-    down = W.partitionBy(F.col(p).isNull()).orderBy(F.desc(p), F.desc("__q")).rowsBetween(W.unboundedPreceding, 0)
-    out = raw.withColumn("p_corrected", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("__q").over(down))))
-    return out.withColumn("significant", F.coalesce(F.col("p_corrected") < alpha, F.lit(False))).drop("__q")
+def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05, few: bool = False) -> DataFrame:
+    """C5. Adds p_corrected and significant; missing p stay missing and not significant. One row a comparison.
+
+    Values are counted first, so only distinct ones are ranked and equal p share the least correction. ``few``: so few
+    rows that windows in one task do.
+    """
+    if few:
+        up, valid = W.partitionBy(F.col(p).isNull()).orderBy(p), W.partitionBy(F.col(p).isNull())
+        down = valid.orderBy(F.desc(p)).rangeBetween(W.unboundedPreceding, 0)
+        out = df.withColumn("__q", F.col(p) * F.count(p).over(valid) / F.row_number().over(up)).withColumn("__least", F.min("__q").over(down)).drop("__q")
+    else:
+        steps = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__n")).persist()
+        run = running_sums(steps, F.col("__p"), {"__c": "__n"}).crossJoin(F.broadcast(steps.agg(F.sum("__n").alias("__m"))))
+        least = least_from(run.withColumn("__q", F.col("__p") * F.col("__m") / F.col("__c")), F.col("__p"), "__q", "__least").select("__p", "__least")
+        out = df.join(least, F.col(p) == F.col("__p"), "left").drop("__p")
+    out = out.withColumn("p_corrected", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), "__least")))
+    return out.withColumn("significant", F.coalesce(F.col("p_corrected") < alpha, F.lit(False))).drop("__least")
 
 
 def complete_blocks(df: DataFrame, value: str, group: str, block: list[str]) -> DataFrame:
