@@ -67,7 +67,7 @@ _BLOCKS = f"{duck('v_res')}, m as (select dataset, seed, fold, condition, model
 
 
 def _methods(spark, d):
-    return view(spark, d, "v_res").where("status = 'success' and model in ('knn', 'svm', 'mlp')").withColumn("method", F.concat_ws("_", "model", "pipeline"))
+    return view(spark, d, "v_res").where("status = 'success'").withColumn("method", F.concat_ws("_", "model", "pipeline"))
 
 
 @query("c9_mean_ranks", f"with {_BLOCKS} select g as method, round(avg(r), 6) as mean_rank, count(*) as n from r group by 1")
@@ -140,7 +140,7 @@ def _(spark, d):
 
 @query("c17_drop_from_clean", f"with {duck('v_res')} select dataset, seed, fold, pipeline, model, r.condition, round(c.f1 - r.f1, 6) + 0.0 as drop from v_res r join (select dataset, seed, fold, pipeline, model, f1 from v_res where condition = 'clean') c using (dataset, seed, fold, pipeline, model) where r.condition <> 'clean' and seed = 42")
 def _(spark, d):
-    return _six(C.drop_from_clean(view(spark, d, "v_res").where("seed = 42"), "f1", ["dataset", "seed", "fold", "pipeline", "model"]), "drop")
+    return _six(C.drop_from_clean(view(spark, d, "v_res"), "f1", ["dataset", "seed", "fold", "pipeline", "model"]), "drop")
 
 
 @query("g1_grid", f"with {duck('v_res')} select dataset, count(*) as n from v_res where seed in (42, 123) group by 1")
@@ -170,7 +170,7 @@ def _(spark, d):
 @query("s9_s10_results_round_trip", f"with {duck('v_res')} select dataset, model, count(*) as n, round(avg(f1), 6) as f1 from v_res where seed = 42 group by all")
 def _(spark, d):
     path = f"{_scratch(spark)}/results-{uuid.uuid4().hex}"
-    S.append_results(view(spark, d, "v_res").where("seed = 42"), path)
+    S.append_results(view(spark, d, "v_res"), path)
     return S.read_results(spark, path).groupBy("dataset", "model").agg(F.count("*").alias("n"), r6(F.avg("f1")).alias("f1"))
 
 
@@ -183,7 +183,7 @@ def _(spark, d):
 
 @query("s19_streaming_ingest", f"with {duck('v_res')} select status, count(*) as n, round(sum(f1), 3) as f1 from v_res where seed = 42 group by 1")
 def _(spark, d):
-    base, v = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}", view(spark, d, "v_res").where("seed = 42")
+    base, v = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}", view(spark, d, "v_res")
     S.append_results(v.where("fold <= 3").withColumn("status", F.lit("old")), f"{base}/in")
     I.ingest(spark, f"{base}/in", f"{base}/out", f"{base}/at").awaitTermination()
     S.append_results(v, f"{base}/in")  # the first rows of some tasks are written again, with their final state

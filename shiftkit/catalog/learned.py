@@ -151,8 +151,9 @@ d as (select q.k as k, q.target as y, t.target as c, t.k as tk, round(list_sum(l
 r as (select *, row_number() over (partition by k order by d, tk) as r from d), v as (select k, y, c::varchar as c, count(*) as n from r where r <= 5 group by all)
 select k, y::varchar as y_true, c as y_pred, n / 5 as share from (select *, row_number() over (partition by k order by n desc, c) as r from v) where r = 1""")
 def _(spark, d):
-    v = view(spark, d, "v_emb").select("k", "target", *[F.col("e")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    return T.knn(_with_role(v), ["k"], [f"e{i}" for i in range(8)], "target")
+    v = view(spark, d, "v_emb")
+    cols = [f"e{i}" for i in range(v.agg(F.max(F.size("e"))).first()[0] or 0)]
+    return T.knn(_with_role(v.select("k", "target", *[F.col("e")[i].cast("double").alias(c) for i, c in enumerate(cols)])), ["k"], cols, "target")
 
 
 def _fitted(name: str):
@@ -170,7 +171,7 @@ for _name in ("logistic_regression", "random_forest", "gradient_boosting", "line
 
 @query("t10_over_units")
 def _(spark, d):
-    v = _with_role(view(spark, d, "v_ev").where("target in ('click', 'view')")).withColumn("unit", F.col("user_id") % 2)
+    v = _with_role(view(spark, d, "v_ev")).withColumn("unit", F.col("user_id") % 2)
     return T.over_units(v, ["unit"], ["k"], ["value", "user_id"], "target", "logistic_regression").groupBy("unit", "role", "y_true").agg(F.count("*").alias("n"))
 
 

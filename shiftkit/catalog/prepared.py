@@ -190,7 +190,7 @@ x as (select unit_fold, family, role, case when role = 'test' or family in ('cle
   case when role = 'train' and family = 'label_noise' and {duck_u('flip')} < severity then 1 - target else target end as target from u, c)
 select unit_fold, family, role, count(*) as n, count(qty) as there, round(avg(qty), 6) as qty, sum(target)::bigint as positive from x group by all""")
 def _(spark, d):
-    folded = X.stratified_folds(view(spark, d, "v_li").select("k", "qty", "target"), ["k"], "target")
-    chosen = H.conditions(spark).where("condition in ('clean', 'gaussian_noise_0.05', 'label_noise_0.1', 'missing_values_0.1')")
-    got = H.all_conditions(folded, ["k"], "target", chosen)
-    return got.groupBy("unit_fold", "family", "role").agg(F.count("*").alias("n"), F.count("qty").alias("there"), r6(F.avg("qty")).alias("qty"), F.sum("target").alias("positive"))
+    folded = X.stratified_folds(view(spark, d, "v_li"), ["k"], "target")
+    got = H.all_conditions(folded, ["k"], "target", H.conditions(spark))
+    cells = [f for c in LI for f in (F.count(c).alias(f"there_{c}"), r6(F.avg(c)).alias(c))]
+    return got.groupBy("unit_fold", "family", "severity", "role").agg(F.count("*").alias("n"), *cells, F.count("flag").alias("there_flag"), F.sum("target").alias("positive"))
