@@ -6,10 +6,10 @@ the entropy of these, divided by log m, is its importance: what looks and reads
 The importance of a branch joins its own presentation with the content importance of all nodes below it,
 weighted by use. Branches under THRESHOLD are cut out of each page, what is left is the text.
 
-A host with fewer than MIN_USES uses of a node says too little: then the tree merged from all hosts counts,
-and inside an article element the larger of both does, so that a host full of copies keeps its article.
+A host with fewer than MIN_USES uses of a node says too little: then the tree merged from all hosts counts.
 What a tag or class name says multiplies the importance: NOISE marks give 0, the main element 1, anything
-outside of it OUTSIDE.
+outside of it OUTSIDE. NOISE is matched on whole class tokens and never for body or the main element; body, the main
+element and what is in it are never cut for being copied.
 
 Defined results: null, empty or tagless html gives its plain text (null: empty); broken markup is read as far
 as it goes; scripts, styles and comments never count as text; repeated rows each get their row; an empty table
@@ -32,10 +32,10 @@ from .url_filter import host_of
 
 THRESHOLD, MIN_USES, OUTSIDE, OWN = 0.3, 20, 0.5, 0.1
 MAX_DEPTH = 12
-#: The tree of all hosts keeps nodes used on this share of the pages at least: few enough to broadcast.
-COMMON = 0.001
 #: Up to so many hosts with cut branches, their list is broadcast; beyond, it is joined by host.
 BROADCAST_HOSTS = 100_000
+#: Up to so many cut branches of the tree of all hosts, they are broadcast; beyond, they are joined by path.
+BROADCAST_PATHS = 20_000
 
 # Fixed values of the HTML language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,8 +57,8 @@ _WORD = re.compile(r"[a-z]+")
 
 
 def _element(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Signature, whether its names mark noise, whether they mark the main part."""
-    names, main, hidden = [], tag in ("article", "main"), tag in NO_TEXT
+    """Signature (with ">" for the main part), whether its names mark noise, whether they mark the main part."""
+    names, tokens, main, hidden = [], set(), tag in ("article", "main"), tag in NO_TEXT
     if attributes:
         for k, a, b, c in _MARK.findall(attributes):
             k, v = k.lower(), a or b or c
@@ -69,8 +69,9 @@ def _element(tag: str, attributes: str) -> tuple[str, bool, bool]:
                 hidden |= attributes[: attributes.lower().find("hidden")].count('"') % 2 == 0
             else:
                 names += _WORD.findall(v.lower())
-    noise = hidden or tag in NOISE_TAGS or not NOISE.isdisjoint(names)
-    return tag + "".join("." + n for n in names[:4]), noise, main
+                tokens.update(v.lower().split())
+    noise = hidden or tag in NOISE_TAGS or not (main or tag in ("html", "body") or NOISE.isdisjoint(tokens))
+    return tag + "".join("." + n for n in names[:4]) + (">" if main else ""), noise, main
 
 
 def _walk(text: str) -> Iterator[tuple[str, object]]:
@@ -179,7 +180,8 @@ def page_text(page: str | None, cut: frozenset[str]) -> str:
                     path = f"{path}/{signature}"
             if tag == "header" and not inside:
                 noise = True
-            stack.append((counts and not noise and path not in cut, path, inline, inside or main))
+            inside |= main
+            stack.append((counts and not noise and (inside or path not in cut), path, inline, inside))
     return " ".join("".join(out).split())
 
 
@@ -222,24 +224,27 @@ def style_tree(pages: DataFrame, host: str, html_col: str) -> DataFrame:
 
 
 def _inside_main(path: F.Column) -> F.Column:
-    return path.rlike(r"/(article|main)(\.|/|$)")
+    return F.contains(path, F.lit(">"))
+
+
+def _above_main(path: F.Column) -> F.Column:
+    """The paths of all branches that hold the first main element of ``path``."""
+    parts = F.split(F.regexp_extract(path, "^([^>]*)/[^>/]+>", 1), "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id_col, url_col, text, n_chars of every page."""
     rows = pages.select(F.col(id_col), F.col(url_col), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
     tree = materialize(style_tree(rows, "host", "html"), "style-tree")
-    n_pages = rows.select("host").count()
-    common = tree.where(F.col("host").isNull() & (F.col("uses") >= max(MIN_USES, COMMON * n_pages)))
-    everywhere = common.select("path", F.col("importance").alias("all_importance"))
-    low = lambda imp: imp * F.when(_inside_main(F.col("path")), 1.0).otherwise(OUTSIDE) < THRESHOLD
-    # A branch that holds the main part is never cut whole.
-    holds = tree.where(_inside_main(F.col("path"))).select("host", F.regexp_extract("path", r"^(.*?)/(?:article|main)", 1).alias("path")).where("path != ''").distinct()
-    cut_all = common.where(low(F.col("importance"))).join(holds.where("host is null").select("path"), "path", "left_anti").select("path")
-    everywhere_cut = frozenset(r.path for r in cut_all.collect())  # at most uses a page / COMMON paths
-    known = tree.where(F.col("host").isNotNull() & (F.col("uses") >= MIN_USES)).join(F.broadcast(everywhere), "path", "left")
-    imp = F.when(_inside_main(F.col("path")), F.greatest("importance", F.coalesce("all_importance", F.lit(0.0)))).otherwise(F.col("importance"))
-    of_host = known.where(low(imp)).join(holds, ["host", "path"], "left_anti").groupBy("host").agg(F.collect_set("path").alias("cut"))
+    # A branch that holds the main part is never cut whole, nor is the body.
+    holds = tree.where(_inside_main(F.col("path"))).select("host", F.explode(_above_main(F.col("path"))).alias("path")).where("path != ''").distinct()
+    low = tree.where((F.col("uses") >= MIN_USES) & (F.col("importance") * OUTSIDE < THRESHOLD) & ~_inside_main(F.col("path")) & ~F.col("path").rlike(r"/(html|body)(\.[a-z]+)*$"))
+    cut_all = low.where("host is null").select("path").join(holds.where("host is null").select("path"), "path", "left_anti")
+    everywhere = materialize(cut_all, "style-all")
+    of_all = tree.where("host is not null").select("host", "path").join(F.broadcast(everywhere) if everywhere.count() <= BROADCAST_PATHS else everywhere, "path").select("host", "path")
+    own = low.where("host is not null").select("host", "path").join(holds, ["host", "path"], "left_anti")
+    of_host = own.unionByName(of_all).groupBy("host").agg(F.collect_set("path").alias("cut"))
     cut = materialize(of_host, "style-cut")
     joined = rows.join(F.broadcast(cut) if cut.count() <= BROADCAST_HOSTS else cut, "host", "left")
 
@@ -247,7 +252,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                texts = [page_text(page, everywhere_cut.union(own) if own else everywhere_cut) for page, own in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                texts = [page_text(page, frozenset(own or ())) for page, own in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
     kinds = dict(rows.dtypes)
