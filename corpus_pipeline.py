@@ -15,14 +15,18 @@ from shiftkit.llm import jaccard, langid, mixing, packing
 from shiftkit.llm.common import crc_mod, materialize, table
 from shiftkit.llm.tokens import tokenizer_path
 
-#: A document whose language is no surer than this, over all its bytes, is rejected; four languages alike give 0.25.
-MIN_SCORE = 0.27
+#: A document is rejected whose best language exceeds chance by less than this share of what labelled training documents
+#: do in the median.
+MIN_SHARE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter, and those no surer than chance, go."""
-    found = langid.predict(docs, crc_mod("doc_id", 4) != 2, carry=docs.columns, names=("__lang", "__score"))
-    return found.where((F.col("__lang") != langid.UND) & (F.col("__score") > MIN_SCORE)).select(*docs.columns)
+    """Documents whose language can be told; those without a letter, and those far less sure than labelled ones, go."""
+    train = crc_mod("doc_id", 4) != 2
+    found = langid.predict(docs, train, carry=docs.columns, names=("__lang", "__score"), over_chance=True)
+    told = materialize(found.where(F.col("__lang") != langid.UND), "languages")
+    usual = told.where(train & F.col("lang").isNotNull()).agg(F.percentile_approx("__score", 0.5, 1000)).first()[0] or 0.0
+    return told.where(F.col("__score") >= MIN_SHARE * usual).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

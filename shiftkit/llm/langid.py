@@ -195,11 +195,15 @@ def label_positions(net: Network, text: str) -> list[str]:
     return out
 
 
-def predict(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns ``carry`` (id_col), lang_pred, score for every row; learns from the rows where ``is_train`` holds."""
+def predict(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score"), over_chance: bool = False) -> DataFrame:
+    """The columns ``carry`` (id_col), lang_pred, score for every row; learns from the rows where ``is_train`` holds.
+
+    ``over_chance``: scores run from 0, all k learned languages alike, to 1; a single language always has 1.
+    """
     carried = carry or [id_col]
     samples = sample_runs(docs.where(is_train), id_col, text_col, lang_col)
     net = fit(samples) if any(samples.values()) else None
+    chance = 1 / len(net.langs) if over_chance and net and len(net.langs) > 1 else 0.0
 
     def run(batches):
         reader = _Reader(net) if net else None
@@ -218,7 +222,7 @@ def predict(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text_col:
                 for w in words:
                     p = reader.document(w) if w else None
                     langs.append(UND if p is None else net.langs[int(p.argmax())])
-                    scores.append(0.0 if p is None else min(1.0, float(p.max())))
+                    scores.append(0.0 if p is None else min(1.0, max(0.0, (float(p.max()) - chance) / (1 - chance))))
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in b.columns[:-1]), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*carried, *names])
                 lo = hi
 

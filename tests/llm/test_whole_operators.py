@@ -1,7 +1,14 @@
 """The training-data operations where tables grow, copies abound, or vectors tie."""
 
+import corpus_pipeline
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from shiftkit.llm import html_tree
 
+SF = "/root/testdata/sf0.001"
+
 
 def told(spark, pages):
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
@@ -29,3 +36,16 @@ def test_noise_names_are_whole_classes_and_not_for_the_main_part(spark):
         ("http://c/", "<body id='nav'><main id='banner'><p>kept</p></main><div id='banner'>gone</div></body>"),
     ]
     assert told(spark, pages) == ["kept"] * 3
+
+
+@pytest.mark.parametrize("langs", [("de", "en", "es", "fr"), ("de", "en", "fr"), ("en", "es")])
+def test_junk_goes_and_clean_documents_stay(spark, langs):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("lang").isin(*langs))
+    rng = np.random.default_rng(3)
+    run = lambda letters, n: " ".join("".join(rng.choice(list(letters), rng.integers(3, 14))) for _ in range(n))
+    junk = [run("0123456789#%&/()=+*", 60) + " ab" for _ in range(10)] + [run("0123456789ABCDEFxyz", 60) for _ in range(10)] + [run("的一是不了人我在有他这", 60) for _ in range(10)]
+    planted = spark.createDataFrame([(10**6 + i, t, None, "junk", len(t)) for i, t in enumerate(junk)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, docs.unionByName(planted), SF).select("doc_id").collect()}
+    clean = {r.doc_id for r in docs.select("doc_id").collect()}
+    stays = sum(d >= 10**6 for d in kept)  # bytes that no language taught may look like one, the more so the fewer there are
+    assert len(clean - kept) <= 0.01 * len(clean) and stays <= {4: 0, 3: 5, 2: 15}[len(langs)]
