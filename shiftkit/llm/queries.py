@@ -36,7 +36,7 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media_ts.mux(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    stored = materialize(media_ts.mux(table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
     return media_ts.demux(stored).drop("units", "errors")
 
 

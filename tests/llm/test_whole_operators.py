@@ -1,11 +1,14 @@
 """The training-data operations where tables grow, copies abound, or vectors tie."""
 
+from pathlib import Path
+
 import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shiftkit.llm import html_tree
+from shiftkit.llm import html_tree, queries
+from shiftkit.llm.common import scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +52,11 @@ def test_junk_goes_and_clean_documents_stay(spark, langs):
     clean = {r.doc_id for r in docs.select("doc_id").collect()}
     stays = sum(d >= 10**6 for d in kept)  # bytes that no language taught may look like one, the more so the fewer there are
     assert len(clean - kept) <= 0.01 * len(clean) and stays <= {4: 0, 3: 5, 2: 15}[len(langs)]
+
+
+def test_media_are_read_back_from_what_is_stored(spark):
+    before = set(Path(scratch(spark)).glob("media-*"))
+    got = queries.op5_media(spark, SF)
+    (stored,) = set(Path(scratch(spark)).glob("media-*")) - before
+    assert all(str(stored) in f for f in got.inputFiles()) and got.inputFiles()
+    assert got.count() == spark.read.parquet(str(stored)).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
