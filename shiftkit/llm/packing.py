@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, salted_prefix
-from .tokens import encoder
+from .tokens import encoder, text_slices
 
 CAPACITY = 2048
 
@@ -31,14 +31,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, sep_
     """doc_id, piece, start, length, ids_crc32: each document's ids with the separator, cut only where longer than ``capacity``."""
 
     def run(batches):
-        enc, sep = encoder(tokenizer, True), np.array([sep_id], "<u4").tobytes()
+        enc, sep = encoder(tokenizer, True), np.array([sep_id], "<u4")
         for b in batches:
-            out = []
-            for doc_id, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
-                raw += sep
-                n = len(raw) // 4
-                out += [(doc_id, k, lo, min(capacity, n - lo), zlib.crc32(raw[4 * lo : 4 * (lo + capacity)])) for k, lo in enumerate(range(0, n, capacity))]
-            if out:
+            for part in text_slices(b, 1):
+                ids, at = enc.encode(part.column(1))
+                out = []
+                for doc_id, lo, hi in zip(part.column(0).to_pylist(), at, at[1:], strict=False):
+                    own = np.append(ids[lo:hi], sep)
+                    out += [(doc_id, k, x, min(capacity, len(own) - x), zlib.crc32(own[x : x + capacity])) for k, x in enumerate(range(0, len(own), capacity))]
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 

@@ -4,7 +4,7 @@ A file is a row (part, block, start_in_part, dict_hash, doc_ids, ends, sizes, fr
 so Spark's committers, not this code, deal with lost executors, and any store that Spark writes will do.
 ``frames`` holds one zstandard frame for each document, ``ends`` where each ends and ``sizes`` how many
 ids it has: a single document is read by slicing ``frames``. The dictionary, trained on the serialized ids
-of a bounded sample of documents (SAMPLE_DOCS with the smallest hash), is a one-row table beside it.
+of a bounded sample (PIECES pieces of about SAMPLE_DOCS documents, picked by a hash), is a one-row table beside it.
 
 Defined results: null text is encoded as empty (its only id is the end id); rows are in ascending order of
 doc_id, null first, and rows with equal doc_id in order of their text's hash; an empty table gives empty files.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .tokens import encoder
+from .common import materialize
+from .tokens import encoder, text_slices
 
-SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES, LEVEL = 512, 16_384, 65_536, 3
-BLOCK_DOCS, BLOCK_BYTES = 4096, 4 << 20
+SAMPLE_DOCS, PIECES, PIECE_IDS, DICT_BYTES, LEVEL = 512, 8, 1024, 65_536, 3
+BLOCK_DOCS, BLOCK_BYTES, PART_BYTES = 4096, 4 << 20, 128 << 20
 KIND = np.dtype("<u2")  # both public BPE vocabularies have fewer than 65,536 ids; checked on writing
 
 
@@ -57,46 +59,73 @@ def _dictionary(data: bytes):
     return shared
 
 
+def _samples(rows: DataFrame, tokenizer: str) -> list[bytes]:
+    """Serialized pieces of about SAMPLE_DOCS documents picked by a hash threshold, spread over the whole of each."""
+    n = rows.count()
+    chosen = rows if n <= SAMPLE_DOCS else rows.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 40)) < int(SAMPLE_DOCS / n * (1 << 40)))
+
+    def pieces(batches):
+        for b in batches:
+            for part in text_slices(b, 1):
+                ids, at = encoder(tokenizer, False).encode(part.column(1))
+                out = []
+                for lo, hi in zip(at, at[1:], strict=False):
+                    starts = range(lo, hi, PIECE_IDS)
+                    out += [serialize(ids[x : min(x + PIECE_IDS, hi)]) for x in starts[:: math.ceil(len(starts) / PIECES) or 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["piece"])
+
+    return sorted(bytes(r.piece) for r in chosen.mapInArrow(pieces, "piece binary").collect())
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """Encode, compress and write all documents under ``path``; returns the stored blocks."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    smallest = rows.select(F.substring("text", 1, SAMPLE_BYTES).alias("text"), F.xxhash64("doc_id", F.length("text")).alias("h")).orderBy("h").limit(SAMPLE_DOCS)
-    sample = [serialize(np.frombuffer(x, "<u4")) for x in encoder(tokenizer, False).encode([r.text for r in smallest.select("text").collect()])]
-    data = train_dictionary([x for x in sample if x])
+    data = train_dictionary(_samples(rows, tokenizer))
     digest = hashlib.sha256(data).hexdigest()
     spark.createDataFrame([(digest, bytearray(data))], "dict_hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
-    def pack(batches):
+    def compress(batches):
         import zstandard
 
         shared = _dictionary(data)
         make = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared) if shared else zstandard.ZstdCompressor(level=LEVEL)
-        enc, part, block, start = encoder(tokenizer, False), TaskContext.get().partitionId(), 0, 0
-        ids_, ends, sizes, frames, at = [], [], [], [], 0
+        end = np.array([end_id], "<u4")
+        for b in batches:
+            for part in text_slices(b, 1):
+                ids, at = encoder(tokenizer, False).encode(part.column(1))
+                frames = [make.compress(serialize(np.append(ids[lo:hi], end))) for lo, hi in zip(at, at[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(at) + 1), pa.array(frames, pa.binary())], ["doc_id", "h", "size", "frame"])
+
+    # What is put in order are the compressed frames, not the texts; written first, as finding the ranges reads ids twice.
+    encoded = materialize(rows.withColumn("h", F.xxhash64("text")).select("doc_id", "text", "h").mapInArrow(compress, "doc_id long, h long, size long, frame binary"), "frames")
+
+    def pack(batches):
+        part, block, start = TaskContext.get().partitionId(), 0, 0
+        ids_, sizes, frames, size = [], [], [], 0
 
         def flush():
-            return pa.RecordBatch.from_pydict({"part": [part], "block": [block], "start_in_part": [start], "dict_hash": [digest], "doc_ids": [ids_], "ends": [ends], "sizes": [sizes], "frames": [b"".join(frames)]}, schema=to_arrow)
+            ends = np.cumsum([len(f) for f in frames])
+            row = {"part": [part], "block": [block], "start_in_part": [start], "dict_hash": [digest], "doc_ids": [ids_], "ends": [ends], "sizes": [sizes], "frames": [b"".join(frames)]}
+            return pa.RecordBatch.from_pydict(row, schema=to_arrow)
 
         to_arrow = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("start_in_part", pa.int64()), ("dict_hash", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("frames", pa.binary())])
-        end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for doc_id, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
-                ids = np.frombuffer(raw + end, "<u4")
-                frames.append(make.compress(serialize(ids)))
-                at += len(frames[-1])
+            for doc_id, n, frame in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids_.append(doc_id)
-                ends.append(at)
-                sizes.append(len(ids))
-                if len(ids_) >= BLOCK_DOCS or at >= BLOCK_BYTES:
+                sizes.append(n)
+                frames.append(frame)
+                size += len(frame)
+                if len(ids_) >= BLOCK_DOCS or size >= BLOCK_BYTES:
                     yield flush()
                     start, block = start + sum(sizes), block + 1
-                    ids_, ends, sizes, frames, at = [], [], [], [], 0
+                    ids_, sizes, frames, size = [], [], [], 0
         if ids_:
             yield flush()
 
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    bytes_ = encoded.agg(F.coalesce(F.sum(F.length("frame")), F.lit(0))).first()[0]
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), bytes_ // PART_BYTES, 1)
+    ordered = encoded.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "size", "frame")
     schema = "part long, block long, start_in_part long, dict_hash string, doc_ids array<long>, ends array<long>, sizes array<long>, frames binary"
     ordered.mapInArrow(pack, schema).write.parquet(f"{path}/blocks")
     return spark.read.schema(schema).parquet(f"{path}/blocks")
@@ -133,4 +162,3 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
     docs = blocks.mapInArrow(unpack, "part long, doc_id long, s long, n_tokens long, ids_crc32 long, ids binary")
     out = docs.join(F.broadcast(before), "part").select("doc_id", (F.col("base") + F.col("s")).alias("start"), "n_tokens", "ids_crc32", "ids")
     return out if with_ids else out.drop("ids")
-

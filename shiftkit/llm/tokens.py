@@ -1,4 +1,4 @@
-"""Ids of a public tokenizer, each distinct chunk of text encoded once per worker."""
+"""Ids of a public tokenizer, each distinct chunk of a batch of texts encoded once."""
 
 from __future__ import annotations
 
@@ -6,16 +6,21 @@ import functools
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
-#: Chunks longer than this aren't kept; a worker keeps up to twice so many.
-CHUNK_CHARS, KEPT = 40, 600_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Chunks longer than this aren't kept; a worker keeps up to twice so many, and reads so many bytes of text at once.
+CHUNK_CHARS, KEPT, AT_ONCE = 40, 120_000, 4 << 20
 #: Where the byte-level pattern starts a new piece whatever precedes: before a space that stands
 #: between visible characters, and around runs of white space.
 _SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: White space to Python, but not to the tokenizers.
-_ODD = re.compile("[\x1c-\x1f]")
-#: What makes a text's gaps other than single spaces and line ends.
-_GAPS = ("\0", "  ", " \n", "\n ", "\n\n", *(chr(c) for c in range(1, 0x3001) if chr(c).isspace() and chr(c) not in " \n"))
+#: White space to Python, but not to the tokenizers; and the separator of chunks.
+_ODD = re.compile("[\0\x1c-\x1f]")
+#: Texts whose gaps are other than single spaces and line ends.
+_GAPS = r"[\x00\t\x0B\x0C\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|[ \n][ \n]"
 #: One piece of letters, perhaps with a space before and a mark behind: the model alone gives its ids.
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
@@ -34,56 +39,110 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def text_slices(batch: pa.RecordBatch, column: int, at_once: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``at_once`` bytes of text, one row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        before = int(size[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(size, before + at_once, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 class Encoder:
-    """``encode(texts)``: for each text its ids as little-endian unsigned 32-bit bytes.
+    """``encode(texts)``: the ids of all texts, and where each text's ids begin (with the end).
 
-    ``drops_space``: the tokenizer discards white space, so any blank separates; otherwise a chunk
-    keeps the space before it. No piece of either tokenizer reaches over a chunk's edge, so ids of
-    chunks joined are the ids of the text.
+    ``drops_space``: the tokenizer discards white space and the case of letters, so any blank separates; otherwise a
+    chunk keeps the space before it. No piece of either tokenizer reaches over a chunk's edge, so ids of chunks joined
+    are the ids of the text.
     """
 
     def __init__(self, path: str, drops_space: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.drops, self.young, self.old = Tokenizer.from_file(path), drops_space, {"": b""}, {}
+        self.tok, self.drops, self.young, self.old = Tokenizer.from_file(path), drops_space, {}, {}
         self.model, self.letters = self.tok.model, _byte_letters()
-        self.marks = {m: array("I", self.tok.encode(m, add_special_tokens=False).ids).tobytes() for m in ("", ".", ",")}
+        self.marks = {m: self._whole([m])[0] for m in ("", ".", ",")}
 
-    def _ids(self, chunks: list[str]) -> dict[str, bytes]:
-        out, rest = {}, []
-        for c in chunks:
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(chunks)
+        words: dict[str, bytes] = {}
+        rest = []
+        for i, c in enumerate(chunks):
             if m := _PLAIN.fullmatch(c):
                 word, mark = m.groups()
-                word = (word.lower() if self.drops else word).encode().decode("latin-1").translate(self.letters)
-                out[c] = array("I", [t.id for t in self.model.tokenize(word)]).tobytes() + self.marks[mark]
+                x = words.get(word) or self.young.get(word)
+                if x is None:
+                    seen = (word.lower() if self.drops else word).encode().decode("latin-1").translate(self.letters)
+                    x = words[word] = array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+                out[i] = x + self.marks[mark] if mark else x
             else:
-                rest.append(c)
-        out.update(zip(rest, (array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+                rest.append(i)
+        for i, x in zip(rest, self._whole([chunks[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
+
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks, from what this worker keeps or from the tokenizer."""
+        young, old = self.young, self.old
+        out = list(map(young.get, chunks))
+        new = []
+        for i, x in enumerate(out):
+            if x is None:
+                x = out[i] = old.get(chunks[i])
+                if x is None:
+                    new.append(i)
+                else:
+                    young[chunks[i]] = x
+        for i, x in zip(new, self._ids([chunks[i] for i in new]), strict=True):
+            out[i] = x
+            if len(chunks[i]) <= CHUNK_CHARS:
+                young[chunks[i]] = x
+        if len(young) > KEPT:  # what is used again moves on, the rest is forgotten with the next turn
+            self.old, self.young = young, {}
         return out
 
-    def _chunks(self, text: str) -> list[str]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        apart: dict[int, np.ndarray] = {}
         if self.drops:
-            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if any(g in text for g in _GAPS):
-            return [text] if _ODD.search(text) else _SPACED.findall(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")  # the same, of texts with single gaps only
-
-    def encode(self, texts: list[str | None]):
-        for lo in range(0, len(texts), 64):
-            parts = [self._chunks(t or "") for t in texts[lo : lo + 64]]
-            seen = set().union(*parts)
-            if new := seen.difference(self.young):
-                self.young.update([(c, self.old[c]) for c in new if c in self.old])
-                self.young.update(self._ids([c for c in new if c not in self.old]))
-            here = {c: self.young[c] for c in seen}  # small, so that it stays in the processor's cache
-            for p in parts:
-                yield b"".join(map(here.__getitem__, p))
-            for c in new:
-                if len(c) > CHUNK_CHARS:
-                    del self.young[c]
-            if len(self.young) > KEPT:  # what is used again moves on, the rest is forgotten with the next turn
-                self.old, self.young = self.young, {"": b""}
+            for gap in "\n\t\r":
+                texts = pc.replace_substring(texts, gap, " ")
+            pieces = pc.split_pattern(pc.ascii_lower(texts), " ")
+        else:
+            odd = np.flatnonzero(pc.match_substring_regex(texts, _GAPS).to_numpy(zero_copy_only=False))
+            if len(odd):
+                listed = texts.to_pylist()
+                for i in odd.tolist():
+                    if _ODD.search(listed[i]):
+                        apart[i], listed[i] = np.frombuffer(self._whole([listed[i]])[0], "<u4"), ""
+                    else:
+                        listed[i] = "\0".join(_SPACED.findall(listed[i]))
+                plain = np.ones(len(listed), bool)
+                plain[odd] = False
+                spaced = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
+                texts = pc.if_else(pa.array(plain), spaced, pa.array(listed, pa.large_string()))
+            else:  # the same, of texts with single gaps only
+                texts = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
+            pieces = pc.split_pattern(texts, "\0")
+        coded = pieces.flatten().dictionary_encode()
+        known = self._known(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat, which = np.frombuffer(b"".join(known), "<u4"), coded.indices.to_numpy(zero_copy_only=False)
+        n = size[which]
+        end = np.cumsum(n)
+        shift = (np.cumsum(size) - size)[which] - (end - n)
+        ids = flat[np.repeat(shift, n) + np.arange(len(n) and end[-1])]
+        edges = np.concatenate([[0], end])[pieces.offsets.to_numpy(zero_copy_only=False) - pieces.offsets[0].as_py()]
+        if apart:
+            parts = [apart.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+            ids, edges = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return ids, edges
 
 
 @functools.lru_cache(4)

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,8 +47,12 @@ def test_chunks_give_the_ids_of_whole_texts(name, drops):
     rng = np.random.default_rng(1)
     letters = list("abcXYZ éßÀÿ×÷ªµ.,;'’\n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u2003\u200b12٣²中éİΣς_-\x00") + ["<|endoftext|>"]
     texts = ["".join(rng.choice(letters, rng.integers(0, 80))) for _ in range(500)] + ["it's we'LL x'd", "", "a" * 3000, None]
-    for x, raw in zip(texts, e.encode(texts), strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids, repr(x)
+    for lo in (0, 100, 100, 480):  # the second time from what is kept
+        part = texts[lo:]
+        ids, at = e.encode(pa.array(part))
+        assert len(at) == len(part) + 1
+        for x, a, b in zip(part, at, at[1:], strict=False):
+            assert ids[a:b].tolist() == t.encode(x or "", add_special_tokens=False).ids, repr(x)
 
 
 def test_packing_is_whole_gapless_and_tight(spark, odd, empty):
@@ -408,31 +413,37 @@ def test_given_pages_give_their_articles(spark):
 # ---- language model --------------------------------------------------------------------------------------------------
 
 
-def model_by_hand(rows, m):
+def model_by_hand(rows, m, order):
     import math
 
     docs = [((t or "").encode().lower().split() + [b"</s>"], p) for _, t, p in rows]
-    c, c2, c1 = Counter(), Counter(), Counter()
+    c, grams, before = Counter(), Counter(), Counter()
+    walk = lambda w, k: [(tuple(([b"<s>"] + w)[i + 2 - k : i + 1]), x) for i, x in enumerate(w) if i + 2 >= k]
     for w, p in docs:
         if p != lm.TEST:
-            v = [b"<s>"] + w[:-1]
-            c.update(w), c2.update(zip(v, w, strict=True)), c1.update(v)
-    n, k, out = sum(c.values()), len(c), []
+            c.update(w)
+            for k in range(2, order + 1):
+                grams.update(walk(w, k))
+                before.update(x for x, _ in walk(w, k))
+    n, v, out = sum(c.values()), len(c), []
     for w, _ in docs:
-        base = sum(math.log10((c[x] + 0.1) / (n + 0.1 * (k + 1))) for x in w)
-        s = 0.0
-        for a, b in zip([b"<s>"] + w[:-1], w, strict=True):
-            share = m.weights[min(int(math.log2(c1[a])) + 1, lm.BUCKETS - 1)] if c1[a] else 0.0
-            s += math.log10(share * (c2[a, b] / c1[a] if c1[a] else 0.0) + (1 - share) * (m.unigram * c[b] / max(n, 1) + (1 - m.unigram) / (k + 1)))
+        base, s = sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 0.0
+        for i, x in enumerate(w):
+            p = m.unigram * c[x] / max(n, 1) + (1 - m.unigram) / (v + 1)
+            for k in range(2, order + 1):
+                if i + 2 >= k and before[(context := tuple(([b"<s>"] + w)[i + 2 - k : i + 1]))]:
+                    share = m.weights[k - 2][min(int(math.log2(before[context])) + 1, lm.BUCKETS - 1)]
+                    p = share * grams[context, x] / before[context] + (1 - share) * p
+            s += math.log10(p)
         out.append((len(w), sum(c[x] > 0 for x in w), n, base, s))
     return out
 
 
-@pytest.mark.parametrize("vocabulary", [lm.VOCABULARY, 40, 2])
-def test_scores_against_brute_force(spark, odd, monkeypatch, vocabulary):
-    """Also with nearly all words rare, so that pairs take every way."""
-    monkeypatch.setattr(lm, "VOCABULARY", vocabulary)
-    monkeypatch.setattr(lm, "BUCKET_TOKENS", 500)
+@pytest.mark.parametrize("order,batch,slot", [(2, lm.BATCH_TOKENS, lm.SLOT_TOKENS), (2, 300, 500), (3, 200, 100_000), (3, lm.BATCH_TOKENS, 1000)])
+def test_scores_against_brute_force(spark, odd, monkeypatch, order, batch, slot):
+    """Also in many small batches and slots."""
+    for name, n in (("BATCH_TOKENS", batch), ("SLOT_TOKENS", slot), ("SLICE_BYTES", 4096)):
+        monkeypatch.setattr(lm, name, n)
     kept = []
     learn = lm.learn
     monkeypatch.setattr(lm, "learn", lambda t: kept.append(learn(t)) or kept[-1])
@@ -440,10 +451,11 @@ def test_scores_against_brute_force(spark, odd, monkeypatch, vocabulary):
     monkeypatch.setattr(lm, "learn_unigram", lambda *a: unigram.append(first(*a)) or unigram[-1])
     more = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(40).unionByName(odd.select("doc_id", "text"))
     rows = [(r.doc_id, r.text, i % 5 if i % 5 < 3 else lm.EST) for i, r in enumerate(more.collect())]
-    df = spark.createDataFrame([(i, t, p) for i, (_, t, p) in enumerate(rows)], "doc_id long, text string, part int")
-    got = {r.doc_id: r for r in lm.score(df, F.col("part")).collect()}
-    m = type("M", (), {"weights": kept[-1], "unigram": unigram[-1]})
-    for i, (n, known, train, base, s) in enumerate(model_by_hand(rows, m)):
+    df = spark.createDataFrame([(i, t, p) for i, (_, t, p) in enumerate(rows)], "doc_id long, text string, part int").repartition(3)
+    got = {r.doc_id: r for r in lm.score(df, F.col("part"), order=order).collect()}
+    m = type("M", (), {"weights": kept, "unigram": unigram[-1]})
+    assert len(kept) == order - 1
+    for i, (n, known, train, base, s) in enumerate(model_by_hand(rows, m, order)):
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, train), i
         assert abs(r.base_score - base) < 1e-7 * max(1, abs(base)) and abs(r.score - s) < 1e-7 * max(1, abs(s)), i
