@@ -1,15 +1,17 @@
-"""Scores of texts under a bigram model by deleted interpolation.
+"""Scores of texts under an n-gram model by deleted interpolation.
 
-P(w | v) = L[b(v)] c(v, w) / c(v) + (1 - L[b(v)]) P1(w),  P1(w) = U c(w) / N + (1 - U) / (V + 1),
-where b(v) is the bucket of the context's frequency (powers of two). The weights L and U are learned by
-expectation-maximisation on a tenth of the training documents with the counts of the others; then the counts of all
-training documents are used. A text begins in a start context and ends with an end token.
+P_k(w | context) = L_k[b] c(context, w) / c(context) + (1 - L_k[b]) P_k-1(w | shorter context), for k from 2 to ``order``,
+P_1(w) = U c(w) / N + (1 - U) / (V + 1), where b is the bucket of the context's frequency (powers of two). The weights
+L_k and U are learned by expectation-maximisation on a tenth of the training documents with the counts of the others;
+then the counts of all training documents are used. A text begins in a start context and ends with an end token; its
+first token has no context of two words, so that there P_2 stands for the longer ones.
 
-Words are 64-bit hashes. The VOCABULARY most frequent words (a bounded broadcast) have a number, so a pair of them is a
-40-bit number: pairs are packed by the batch they come from into sorted 64-bit entries and shuffled once, by pair, to where
-they are counted; their counts go back to the documents by batch. Pairs of the DENSE most frequent words, which would be
-hot keys, are counted in a fixed table on the map side. Pairs with a word beyond the vocabulary are plain rows
-joined with the table of all word counts. So every occurrence in every text is counted and scored exactly.
+Words are 64-bit hashes, and so are n-grams. A task's texts of one part are packed into batches of about BATCH_TOKENS
+tokens. Each batch names every one of its words and n-grams once, with how often it has it (so no key is hot), sorted
+and compressed, to the slots that the keys are dealt to by range; a slot sums up and answers each batch with the totals
+of just the keys that it named, in their order. So a key goes through one shuffle and a number comes back, no table of
+words or n-grams is broadcast or collected, and every occurrence in every text is counted and scored exactly. There are
+never more rows than keys that batches name: what is shuffled stays in proportion to the input.
 
 Held-out statistics for the weights are gathered in cells of (bucket, quarter octaves of both probabilities) with their
 sums, a table whose size doesn't grow with the data.
@@ -26,154 +28,61 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import materialize, release
-from .jaccard import word_hashes
+from .common import materialize
+from .jaccard import _BASE, _mixed, word_hashes
+from .tokens import text_slices
 
-VOCABULARY, DENSE, SAMPLE = 600_000, 256, 2000
-BATCH_BYTES, BATCH_DOCS, BUCKET_TOKENS, KEPT_WORDS = 2 << 20, 1024, 1_000_000, 1_000_000
+ORDER, BATCH_TOKENS, SLOT_TOKENS, SLICE_BYTES = 2, 1_000_000, 1_000_000, 2 << 20
 START, END = np.uint64(1), np.uint64(2)  # pseudo words
 EST, HELD, TEST = 0, 1, 2
 BUCKETS = 24
-KEY, DOC, N = np.uint64(24), np.uint64(12), np.uint64(4)  # shifts: 40 bits of pair, 12 of document, 8 of count, 4 of part
-
-
-def _batches(batches):
-    """(ids, parts, word hashes of all texts with their ends, first position of each text) in bounded batches."""
-    for b in batches:
-        lo = 0
-        while lo < b.num_rows:
-            hi, size, texts = lo, 0, b.column(2)[lo : lo + BATCH_DOCS]
-            lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-            while hi - lo < len(lengths) and (hi == lo or size < BATCH_BYTES):
-                size += lengths[hi - lo]
-                hi += 1
-            words, edge = word_hashes(texts[: hi - lo].to_pylist())
-            sizes = np.diff(edge) + 1
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            h = np.insert(words, edge[1:], END)
-            yield b.column(0)[lo:hi], b.column(1)[lo:hi].to_numpy(zero_copy_only=False).astype(np.int64), h, at[:-1]
-            lo = hi
+EXACT = 1024  # word counts up to so many stand for themselves in the unigram statistics, larger ones are cut to 10 bits
 
 
-def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], *(np.add.reduceat(v[order], first) if len(first) else v for v in values)
-
-
-def _previous(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Each token's context."""
-    out = np.empty_like(h)
-    out[1:], out[at] = h[:-1], START
-    return out
-
-
-def count_words(rows: DataFrame, hot: np.ndarray) -> DataFrame:
-    """kind 0: counts (est, held) of words; kind 1: of the pairs of ``hot`` words, by their number."""
-
-    def run(batches):
-        kept, size = [], 0
-        dense = np.zeros((2, DENSE * DENSE), np.int64)
-
-        def out(kind, k, e, d):
-            for lo in range(0, len(k), 500_000):
-                s = slice(lo, lo + 500_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[s]), kind, np.int32)), pa.array(k[s].view(np.int64)), pa.array(e[s]), pa.array(d[s])], ["kind", "h", "est", "held"])
-
-        for _, part, h, at in _batches(batches):
-            p = np.repeat(part, np.diff(np.append(at, len(h))))
-            for f in (EST, HELD):
-                k, n = np.unique(h[p == f], return_counts=True)
-                zero = np.zeros_like(n)
-                kept.append((k, n, zero) if f == EST else (k, zero, n))
-                size += len(k)
-            if len(hot):
-                v = _previous(h, at)
-                i, j = np.minimum(np.searchsorted(hot, v), len(hot) - 1), np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                both = (hot[i] == v) & (hot[j] == h)
-                for f in (EST, HELD):
-                    x = both & (p == f)
-                    dense[f] += np.bincount(i[x] * DENSE + j[x], minlength=DENSE * DENSE)
-            if size > KEPT_WORDS:
-                yield from out(0, *_summed(*map(np.concatenate, zip(*kept, strict=True))))
-                kept, size = [], 0
-        if kept:
-            yield from out(0, *_summed(*map(np.concatenate, zip(*kept, strict=True))))
-        full = np.flatnonzero(dense.sum(0))
-        yield from out(1, full.astype(np.uint64), dense[0][full], dense[1][full])
-
-    counted = rows.mapInArrow(run, "kind int, h long, est long, held long")
-    return materialize(counted.groupBy("kind", "h").agg(F.sum("est").alias("est"), F.sum("held").alias("held")), "lm-words")
-
-
-def _flat(x: np.ndarray) -> bytes:
-    """Numbers with their like bytes side by side, compressed."""
-    return _squeezed(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
-
-
-def _unflat(raw: bytes, kind: str = "<u8") -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(_opened(raw), np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
-
-
-def _squeezed(raw: bytes) -> bytes:
+def _squeezed(x: np.ndarray) -> bytes:
+    """64-bit numbers with their like bytes side by side, compressed."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
-def _opened(raw: bytes) -> bytes:
+def _opened(raw: bytes) -> np.ndarray:
     import zstandard
 
-    return zstandard.ZstdDecompressor().decompress(raw)
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1).T).reshape(-1).view("<u8")
 
 
-class Model:
-    """Word counts of the vocabulary, totals, and the mixture weights."""
-
-    def __init__(self, words, est, held, hot, dense, totals):
-        self.words, self.est, self.all, self.hot, self.dense = words, est, est + held, hot, dense
-        self.n_est, self.v_est, self.n_all, self.v_all = totals
-        self.start_est, self.start_all = (int(x[np.searchsorted(words, END)]) if len(words) and END in words else 0 for x in (est, self.all))
-        self.weights, self.unigram, self.unigram_est = np.zeros(BUCKETS), 0.5, 0.5
-
-    def place(self, h: np.ndarray) -> np.ndarray:
-        """Number of each word; -1 beyond the vocabulary, len(words) for the start."""
-        if not len(self.words):
-            return np.where(h == START, 0, -1)
-        i = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(h == START, len(self.words), np.where(self.words[i] == h, i, -1))
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], *(np.add.reduceat(v[order], first) if len(first) else v for v in values)
 
-    def count(self, place: np.ndarray, every: bool) -> np.ndarray:
-        x, start = (self.all, self.start_all) if every else (self.est, self.start_est)
-        if not len(x):
-            return np.full(np.shape(place), start)
-        return np.where(place == len(x), start, x[np.minimum(place, len(x) - 1)]).astype(np.int64)
 
-    def p1(self, c: np.ndarray, every: bool) -> np.ndarray:
-        n, v = (self.n_all, self.v_all) if every else (self.n_est, self.v_est)
-        return self.unigram * c / max(n, 1) + (1 - self.unigram) / (v + 1)
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each occurs; 0 is none."""
+    keys = np.sort(keys)
+    keys = keys[np.searchsorted(keys, 1) :]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
 def bucket_of(c: np.ndarray) -> np.ndarray:
     return np.where(c > 0, np.minimum(np.floor(np.log2(np.maximum(c, 1))).astype(np.int64) + 1, BUCKETS - 1), 0)
 
 
-def cells(c1: np.ndarray, c12: np.ndarray, p1: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-    """Held-out occurrences by bucket and quarter octaves, with their sums."""
-    ok = c1 > 0
-    c1, c12, p1, n = c1[ok], c12[ok], p1[ok], n[ok]
-    l2 = np.where(c12 > 0, np.log2(np.maximum(c12, 1) / c1), -99.0)
-    l1 = np.log2(p1)
-    key = (bucket_of(c1) * 1024 + np.floor(-l2 * 4).astype(np.int64).clip(0, 1023)) * 1024 + np.floor(-l1 * 4).astype(np.int64).clip(0, 1023)
-    k, m, s2, s1 = _summed(key, n.astype(float), n * l2, n * l1)
+def cells(context: np.ndarray, both: np.ndarray, below: np.ndarray) -> pd.DataFrame:
+    """Held-out occurrences by bucket and quarter octaves of the estimate and of what is mixed with it, with their sums."""
+    ok = context > 0
+    context, both, below = context[ok], both[ok], below[ok]
+    high = np.where(both > 0, np.log2(np.maximum(both, 1) / context), -99.0)
+    low = np.log2(below)
+    key = (bucket_of(context) * 1024 + np.floor(-high * 4).astype(np.int64).clip(0, 1023)) * 1024 + np.floor(-low * 4).astype(np.int64).clip(0, 1023)
+    k, m, s2, s1 = _summed(key, np.ones(len(key)), high, low)
     return pd.DataFrame({"cell": k, "n": m, "s2": s2, "s1": s1})
 
 
@@ -200,219 +109,178 @@ def learn_unigram(counts: pd.DataFrame, n_est: int, v_est: int) -> float:
     return min(max(u, 1e-4), 1 - 1e-4)
 
 
-def _pack_pairs(rows: DataFrame, model, buckets: int) -> DataFrame:
-    """kind 0: entries of numbered pairs by bucket; 1: documents; 2: pairs with a rare word; 3: pairs of hot words."""
+def pack(rows: DataFrame) -> DataFrame:
+    """Batches of rows(id, part, text): their documents, their distinct words, and the texts as places in these."""
 
     def run(batches):
-        m, task, turn = model.value, TaskContext.get().partitionId(), 0
-        hot = np.append(m.place(m.hot), -2)
-        order = np.argsort(hot)
-        for ids, part, h, at in _batches(batches):
-            batch, turn = (task << 32) | turn, turn + 1
-            doc = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(h))))
-            v = _previous(h, at)
-            w_i, v_i = m.place(h), m.place(v)
-            known = w_i >= 0
-            c = np.where(known, m.count(w_i, True), 0)
-            base = np.bincount(doc, np.where(known, np.log10((c + 0.1) / (m.n_all + 0.1 * (m.v_all + 1))), 0), len(at))
-            seen = np.bincount(doc, known & (c > 0), len(at)).astype(np.int64)
-            yield _row(1, batch % buckets, batch, _documents(ids, part, np.diff(np.append(at, len(h))), base, seen))
-            rare = ~known | (v_i < 0)
-            if rare.any():
-                by = np.lexsort((h[rare], v[rare], doc[rare]))
-                x = np.column_stack([v[rare][by].view(np.int64), h[rare][by].view(np.int64), doc[rare][by], part[doc[rare][by]]])
-                new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]).any(1)]))
-                yield _row(2, batch % buckets, batch, _squeezed(np.column_stack([x[new], np.diff(np.append(new, len(x)))]).astype("<i8").tobytes()))
-            d_w, d_v = (order[np.minimum(np.searchsorted(hot[order], x), len(order) - 1)] for x in (w_i, v_i))
-            both = (hot[d_w] == w_i) & (hot[d_v] == v_i) & ~rare
-            for kind, x, key in ((3, both, d_v * DENSE + d_w), (0, ~rare & ~both, v_i << 20 | w_i)):
-                e = (key[x].astype(np.uint64) << KEY) | (doc[x].astype(np.uint64) << DOC) | part[doc[x]].astype(np.uint64)
-                e, n = np.unique(e, return_counts=True)
-                e = np.concatenate([(e | (np.minimum(n - 255 * k, 255).astype(np.uint64) << N))[n > 255 * k] for k in range(int(n.max(initial=1) - 1) // 255 + 1)])
-                e.sort()
-                if kind == 3:
-                    yield _row(3, batch % buckets, batch, _flat(e))
-                    continue
-                to = _bucket(e >> KEY, buckets)
-                by = np.argsort(to, kind="stable")
-                edges = np.searchsorted(to[by], np.arange(buckets + 1))
-                for k in range(buckets):
-                    if edges[k] < edges[k + 1]:
-                        yield _row(0, k, batch, _flat(e[by[edges[k] : edges[k + 1]]]))
-
-    return rows.mapInArrow(run, "kind int, slot long, batch long, data binary")
-
-
-def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
-    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
-
-
-def _row(kind: int, slot: int, batch: int, data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([slot], pa.int64()), pa.array([batch], pa.int64()), pa.array([data], pa.binary())], ["kind", "slot", "batch", "data"])
-
-
-def _documents(ids: pa.Array, part: np.ndarray, sizes: np.ndarray, base: np.ndarray, seen: np.ndarray) -> bytes:
-    """A batch's documents as an Arrow stream."""
-    t = pa.table({"id": ids, "part": pa.array(part), "n_tokens": pa.array(sizes.astype(np.int64)), "base": pa.array(base), "seen": pa.array(seen)})
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema) as w:
-        w.write_table(t)
-    return sink.getvalue().to_pybytes()
-
-
-def _count_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket's entries with how often their pair occurs in the two parts of the training rows."""
-    pdf = pdf.sort_values(["kind", "batch"])
-    plain = pdf[pdf.kind == 0]
-    if not len(plain):
-        return pdf.assign(est=b"", held=b"")[["kind", "batch", "data", "est", "held"]]
-    e = [_unflat(x) for x in plain.data]
-    flat = np.concatenate(e)
-    key, n, part = flat >> KEY, ((flat >> N) & np.uint64(255)).astype(np.int64), flat & np.uint64(15)
-    k, est, held = _summed(key, n * (part == EST), n * (part == HELD))
-    at = np.searchsorted(k, key)
-    cut = np.cumsum([len(x) for x in e])[:-1]
-    out = plain.assign(est=[_flat(x.astype("<u4")) for x in np.split(est[at], cut)], held=[_flat(x.astype("<u4")) for x in np.split(held[at], cut)])
-    return pd.concat([out, pdf[pdf.kind != 0].assign(est=b"", held=b"")])[["kind", "batch", "data", "est", "held"]]
-
-
-def _entries(m: Model, kind: int, data: bytes, est: bytes, held: bytes):
-    """v and w by number, document, count, part, and the pair's counts (est, all)."""
-    e = _unflat(data)
-    key = (e >> KEY).astype(np.int64)
-    doc, n, part = ((e >> DOC) & np.uint64(4095)).astype(np.int64), ((e >> N) & np.uint64(255)).astype(np.int64), (e & np.uint64(15)).astype(np.int64)
-    if kind == 3:
-        hot = m.place(m.hot)
-        return hot[key // DENSE], hot[key % DENSE], doc, n, part, m.dense[0][key], m.dense[0][key] + m.dense[1][key]
-    a, b = _unflat(est, "<u4").astype(np.int64), _unflat(held, "<u4").astype(np.int64)
-    return key >> 20, key & ((1 << 20) - 1), doc, n, part, a, a + b
-
-
-def score(docs: DataFrame, part: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        task, turn, names = TaskContext.get().partitionId(), 0, ["batch", "part", "n", "docs", "words", "places"]
+        kept: dict[int, list] = {EST: [], HELD: [], TEST: []}
+
+        def flush(p):
+            nonlocal turn
+            ids, h, n = pa.concat_arrays([x[0] for x in kept[p]]), *(np.concatenate([x[i] for x in kept[p]]) for i in (1, 2))
+            words, places = np.unique(h, return_inverse=True)
+            sink = pa.BufferOutputStream()
+            docs = pa.table({"id": ids, "n": pa.array(n)})
+            with pa.ipc.new_stream(sink, docs.schema) as w:
+                w.write_table(docs)
+            turn, kept[p] = turn + 1, []
+            row = [task << 32 | turn], [p], [len(h)], [sink.getvalue().to_pybytes()], [_squeezed(np.diff(words, prepend=np.uint64(0)))], [_squeezed(places)]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names)
+
+        for b in batches:
+            for piece in text_slices(b, 2, SLICE_BYTES):
+                words, edge = word_hashes(piece.column(2).to_pylist())
+                h, n, of = np.insert(words, edge[1:], END), np.diff(edge) + 1, piece.column(1).to_numpy(zero_copy_only=False)
+                each = np.repeat(of, n)
+                for p, parts in kept.items():
+                    x = of == p
+                    if x.any():
+                        parts.append((piece.column(0).filter(pa.array(x)), h[each == p], n[x]))
+                        if sum(len(y[1]) for y in parts) >= BATCH_TOKENS:
+                            yield flush(p)
+        for p, parts in kept.items():
+            if parts:
+                yield flush(p)
+
+    return rows.select("id", "part", "text").mapInArrow(run, "batch long, part int, n long, docs binary, words binary, places binary")
+
+
+class Batch:
+    """A packed batch: its documents, and for each n-gram length the key that ends at each token (0: none)."""
+
+    def __init__(self, docs: bytes, words: bytes, places: bytes, order: int):
+        self.docs = pa.ipc.open_stream(docs).read_all()
+        self.n = self.docs.column("n").to_numpy()
+        self.first = np.cumsum(self.n) - self.n
+        h = np.cumsum(_opened(words), dtype=np.uint64)[_opened(places).astype(np.int64)]
+        self.keys = [h]
+        for k in range(2, order + 1):
+            before = np.empty_like(h)
+            before[1:], before[self.first] = self.keys[-1][:-1], START if k == 2 else 0
+            self.keys.append(np.where(before == 0, np.uint64(0), _mixed(before * _BASE + h) | np.uint64(1)))
+
+    def counts(self, answers: list[np.ndarray]) -> list[np.ndarray]:
+        """For each length how often each token's n-gram occurs, of the totals of the distinct keys."""
+        out = []
+        for keys, total in zip(self.keys, answers, strict=True):
+            distinct, _ = _distinct(keys)
+            at = np.minimum(np.searchsorted(distinct, keys), max(len(distinct) - 1, 0))
+            out.append(np.where(keys == 0, 0, total[at]) if len(total) else np.zeros(len(keys), np.int64))
+        return out
+
+    def contexts(self, counts: list[np.ndarray]) -> list[np.ndarray]:
+        """For each length from 2 on how often each token's context occurs; the start as often as the end."""
+        out = []
+        for k, c in enumerate(counts[:-1]):
+            x = np.empty_like(c)
+            x[1:], x[self.first] = c[:-1], c[self.first + self.n - 1] if k == 0 else 0
+            out.append(x)
+        return out
+
+
+def _ask(batches: DataFrame, slots: int, order: int) -> DataFrame:
+    """Each batch's distinct keys with their counts (none for TEST batches) by slot and length."""
+
+    def run(parts):
+        for b in parts:
+            for batch, part, docs, words, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                out = []
+                for k, keys in enumerate(Batch(docs, words, places, order).keys):
+                    keys, n = _distinct(keys)
+                    slot = ((keys >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
+                    edge = np.flatnonzero(np.diff(slot, prepend=-1, append=-1))
+                    for lo, hi in zip(edge, edge[1:], strict=False):
+                        out.append((int(slot[lo]), k, batch, part, _squeezed(np.diff(keys[lo:hi], prepend=np.uint64(0))), b"" if part == TEST else _squeezed(n[lo:hi])))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["slot", "k", "batch", "part", "keys", "n"])
+
+    return batches.select("batch", "part", "docs", "words", "places").mapInArrow(run, "slot long, k int, batch long, part int, keys binary, n binary")
+
+
+ANSWER = pa.schema([("slot", pa.int64()), ("k", pa.int32()), ("batch", pa.int64()), ("part", pa.int32()), ("est", pa.binary()), ("every", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("d", pa.int64())])
+TOTALS, WORDS = -1, -2  # rows for the corpus instead of a batch: a to d are N and V of EST and of all; words seen a times are b of HELD
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """One slot's totals for each batch that asks, and what its words add to the corpus' statistics."""
+    out = []
+    slot, lengths = asked.column("slot")[0].as_py(), asked.column("k").to_numpy()
+    for k in np.unique(lengths):
+        rows = asked.filter(pa.array(lengths == k)).sort_by("batch")
+        keys = [np.cumsum(_opened(x.as_py()), dtype=np.uint64) for x in rows.column("keys")]
+        part, batch = rows.column("part").to_pylist(), rows.column("batch").to_pylist()
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        size = int(at.max()) + 1
+        total = {EST: np.zeros(size), HELD: np.zeros(size)}
+        cut = np.split(at, np.cumsum([len(x) for x in keys])[:-1])
+        for p, where, n in zip(part, cut, rows.column("n"), strict=True):
+            if p != TEST:
+                total[p][where] += _opened(n.as_py())  # a batch names a key once
+        est, held = (total[p].astype(np.int64) for p in (EST, HELD))
+        for p, b, where in zip(part, batch, cut, strict=True):
+            out.append((slot, int(k), b, p, _squeezed(est[where]) if p == HELD else b"", _squeezed((est + held)[where]), 0, 0, 0, 0))
+        if k == 0:
+            out.append((slot, TOTALS, 0, 0, b"", b"", int(est.sum()), int((est > 0).sum()), int((est + held).sum()), int((est + held > 0).sum())))
+            seen = np.where(est > EXACT, est >> (shift := np.maximum(bucket_of(est) - 10, 0)) << shift, est)
+            for x, n in zip(*_summed(seen, held), strict=True):
+                if n:
+                    out.append((slot, WORDS, 0, 0, b"", b"", int(x), int(n), 0, 0))
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), ANSWER, strict=True)], schema=ANSWER)
+
+
+def score(docs: DataFrame, part: Column, id_col: str = "doc_id", text_col: str = "text", order: int | None = None) -> DataFrame:
     """id_col, part, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     ``part``: EST and HELD rows are learned from, TEST rows aren't.
     """
-    spark, kind_of = docs.sparkSession, dict(docs.dtypes)[id_col]
+    order, kind_of = order or ORDER, dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), part.cast("int").alias("part"), F.col(text_col).cast("string").alias("text"))
-    sample = rows.select("id", F.substring("text", 1, 20_000).alias("text"), F.xxhash64("id", "text").alias("h")).orderBy("h").limit(SAMPLE)
-    words, _ = word_hashes([r.text for r in sample.select("text").collect()])
-    found, n = np.unique(words, return_counts=True)  # which words are hot is a guess of the sample; their counts are not
-    hot = found[np.lexsort((found, -n))][: DENSE - 2]
-    hot = np.unique(np.concatenate([hot, [START, END]]).astype(np.uint64))
-    counted = count_words(rows, hot)
-    words = counted.where("kind = 0").select("h", "est", "held")
-    total = words.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("est"), F.when(F.col("est") > 0, 1).otherwise(0), F.col("est") + F.col("held"), F.lit(1))]).first()
-    by_count = words.groupBy((F.col("est") + F.col("held")).alias("c")).agg(F.count("*").alias("k")).orderBy(F.desc("c")).toPandas()
-    few = by_count[by_count.k.cumsum() <= VOCABULARY]
-    floor = int(few.c.min()) if len(few) else 1 << 62
-    numbered = words.where((F.col("est") + F.col("held") >= floor) | F.col("h").isin([int(x) for x in hot.view(np.int64)]))
-    got = numbered.select("h", "est", "held").toArrow()
-    h, est, held = (got.column(c).to_numpy() for c in ("h", "est", "held"))
-    order = np.argsort(h.view(np.uint64))
-    vocabulary = tuple(x[order] for x in (h.view(np.uint64), est, held))
-    del got, h, est, held, order
-    pairs = counted.where("kind = 1").toPandas()
-    dense = np.zeros((2, DENSE * DENSE), np.int64)
-    dense[0][pairs.h.to_numpy(np.int64)], dense[1][pairs.h.to_numpy(np.int64)] = pairs.est, pairs.held
-    model = Model(*vocabulary, hot, dense, tuple(total))
-    model.unigram = learn_unigram(words.groupBy("est").agg(F.sum("held").alias("held")).where("held > 0").toPandas(), model.n_est, model.v_est)
-
-    shared = spark.sparkContext.broadcast(model)
-    buckets = max(2, math.ceil(model.n_all / BUCKET_TOKENS))
-    packed = _pack_pairs(rows, shared, buckets)
-    counted_pairs = packed.groupBy("slot").applyInPandas(_count_pairs, "kind int, batch long, data binary, est binary, held binary")
-    kept = materialize(counted_pairs, "lm-pairs")
-    del packed, counted_pairs
-    release(spark)
-
-    def unpack(batches):
-        m = shared.value
-        for b in batches:
-            for batch, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(_opened(data), "<i8").reshape(-1, 5)
-                v, w, doc, p, n = (np.ascontiguousarray(x[:, i]) for i in range(5))
-                place_v, place_w = (m.place(y.view(np.uint64)) for y in (v, w))
-                counts = [np.where(at < 0, -1, m.count(at, every)) for at in (place_v, place_w) for every in (False, True)]
-                key = np.where(place_w < 0, w, v)  # a rare word of the pair, so no key is hot
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), batch)), *map(pa.array, (v, w, doc.astype(np.int32), p.astype(np.int32), n.astype(np.int32), key, *counts))], names)
-
-    names = ["batch", "v", "w", "doc", "part", "n", "key", "v_est", "v_all", "w_est", "w_all"]
-    each = kept.where("kind = 2").select("batch", "data").mapInArrow(unpack, "batch long, v long, w long, doc int, part int, n int, key long, v_est long, v_all long, w_est long, w_all long")
-    # All pairs with a rare second word meet at its key, so that its count is theirs.
-    est, every = (F.when(ok, F.col("n")).otherwise(0) for ok in (F.col("part") == EST, F.col("part") != TEST))
-    at_key, of_pair = W.partitionBy("key", F.col("w_all") < 0), W.partitionBy("key", F.col("w_all") < 0, "v", "w")
-    summed = each.select("batch", "doc", "part", "n", "v", "v_est", "v_all", F.sum(est).over(of_pair).alias("e12"), F.sum(every).over(of_pair).alias("a12"), (F.col("w_all") < 0).alias("rare"),
-                         *[F.when(F.col("w_all") < 0, F.sum(x).over(at_key)).otherwise(F.col(c)).alias(c) for c, x in (("w_est", est), ("w_all", every))])
-    known = words.where(F.col("est") + F.col("held") < floor).select(F.col("h").alias("v"), F.col("est").alias("v_est"), (F.col("est") + F.col("held")).alias("v_all"))
-    first_rare = summed.where("v_all < 0").drop("v_est", "v_all").join(known, "v", "left").fillna(0, ["v_est", "v_all"])
-    rare_rows = materialize(summed.where("v_all >= 0").unionByName(first_rare).drop("v"), "lm-rare")
-
-    def held_cells(batches):
-        m = shared.value
-        for b in batches:
-            for kind, data, est, held in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                v, w, _, n, p, c12, _ = _entries(m, kind, data, est, held)
-                x = p == HELD
-                if x.any():
-                    yield pa.RecordBatch.from_pandas(cells(m.count(v[x], False), c12[x], m.p1(m.count(w[x], False), False), n[x]), preserve_index=False)
-
-    def rare_cells(batches):
-        m = shared.value
-        for b in batches:
-            c1, c12, c2, n = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            yield pa.RecordBatch.from_pandas(cells(c1, c12, m.p1(c2, False), n), preserve_index=False)
-
-    of_cell = "cell long, n double, s2 double, s1 double"
-    seen = kept.where("kind in (0, 3)").select("kind", "data", "est", "held").mapInArrow(held_cells, of_cell)
-    seen = seen.unionByName(rare_rows.where(F.col("part") == HELD).select("v_est", "e12", "w_est", "n").mapInArrow(rare_cells, of_cell))
-    model.weights = learn(seen.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("s2").alias("s2"), F.sum("s1").alias("s1")).orderBy("cell").toPandas())
-    weights = model.weights
-
-    def log_p(m: Model, c1, c12, c2) -> np.ndarray:
-        w = weights[bucket_of(c1)]
-        return np.log10(w * c12 / np.maximum(c1, 1) + (1 - w) * m.p1(c2, True))
-
-    def parts(batches):
-        m = shared.value
-        for b in batches:
-            out = []
-            for kind, batch, data, est, held in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                v, w, doc, n, _, _, c12 = _entries(m, kind, data, est, held)
-                s = np.bincount(doc, n * log_p(m, m.count(v, True), c12, m.count(w, True)))
-                out.append((batch, s.astype("<f8").tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["batch", "sums"])
-
-    def rare_parts(batches):
-        m = shared.value
-        for b in batches:
-            batch, doc, n, c1, c12, c2, is_rare = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            base = np.where(is_rare, n * np.log10((c2 + 0.1) / (m.n_all + 0.1 * (m.v_all + 1))), 0.0)
-            yield pa.RecordBatch.from_arrays([pa.array(batch), pa.array(doc), pa.array(n * log_p(m, c1, c12, c2)), pa.array(base), pa.array(np.where(is_rare & (c2 > 0), n, 0).astype(np.int64))], ["batch", "doc", "s", "base", "seen"])
-
-    sums = kept.where("kind in (0, 3)").select("kind", "batch", "data", "est", "held").mapInArrow(parts, "batch long, sums binary")
-    of_rare = rare_rows.select("batch", "doc", "n", "v_all", "a12", "w_all", "rare")
-    of_rare = of_rare.mapInArrow(rare_parts, "batch long, doc int, s double, base double, seen long").groupBy("batch", "doc").agg(F.sum("s").alias("s"), F.sum("base").alias("base"), F.sum("seen").alias("seen"))
-    of_rare = of_rare.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("doc", "s", "base", "seen"))).alias("rare"))  # a batch's documents at most
-    listed = kept.where("kind = 1").select("batch", "data").join(of_rare, "batch", "left").select("batch", "data", "rare")
-    train = int(model.n_all)
-
-    def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("id", object), ("part", "int64"), ("n_tokens", "int64"), ("n_known", "int64"), ("train_tokens", "int64"), ("base_score", "float64"), ("score", "float64"))})
-        t = pa.ipc.open_stream(left["data"].iloc[0]).read_pandas()
-        total = np.zeros(len(t))
-        for raw in right.sums.sort_values():  # in one order, so that sums don't depend on the shuffle
-            s = np.frombuffer(raw, "<f8")
-            total[: len(s)] += s
-        rare = left["rare"].iloc[0]
-        base, known = t.base.to_numpy().copy(), t.seen.to_numpy().copy()
-        for r in rare if rare is not None else ():
-            total[r["doc"]] += r["s"]
-            base[r["doc"]] += r["base"]
-            known[r["doc"]] += r["seen"]
-        return pd.DataFrame({"id": t.id, "part": t.part, "n_tokens": t.n_tokens, "n_known": known, "train_tokens": train, "base_score": base, "score": total})
-
-    out = listed.groupBy("batch").cogroup(sums.groupBy("batch")).applyInPandas(finish, f"id {kind_of}, part long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out.withColumnRenamed("id", id_col)
+    batches = materialize(pack(rows), "lm-batches")
+    tokens = batches.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    asked = _ask(batches, max(1, math.ceil(tokens / SLOT_TOKENS)), order)
+    answers = materialize(asked.groupBy("slot").applyInArrow(_answer, "slot long, k int, batch long, part int, est binary, every binary, a long, b long, c long, d long"), "lm-answers")
+    n_est, v_est, n_all, v_all = answers.where(F.col("k") == TOTALS).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in "abcd"]).first()
+    unigram = learn_unigram(answers.where(F.col("k") == WORDS).groupBy(F.col("a").alias("est")).agg(F.sum("b").alias("held")).orderBy("est").toPandas(), n_est, v_est)
+    weights: list[np.ndarray] = []
+
+    def mixed(b: Batch, answers: pa.Table, column: str, n: int, v: int) -> tuple[list, list, np.ndarray]:
+        """Counts, counts of contexts, and the probabilities that the weights found so far give each token."""
+        answers = answers.sort_by([("k", "ascending"), ("slot", "ascending")])
+        of = answers.column("k").to_numpy()
+        totals = [np.concatenate([_opened(x.as_py()) for x in answers.filter(pa.array(of == k)).column(column)] or [np.empty(0, np.uint64)]).astype(np.int64) for k in range(order)]
+        counts = b.counts(totals)
+        contexts = b.contexts(counts)
+        p = unigram * counts[0] / max(n, 1) + (1 - unigram) / (v + 1)
+        for w, both, context in zip(weights, counts[1:], contexts, strict=False):
+            share = w[bucket_of(context)]
+            p = share * both / np.maximum(context, 1) + (1 - share) * p
+        return counts, contexts, p
+
+    def together(of: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
+        return of.groupBy("batch").cogroup(answers.where("k >= 0").select("batch", "k", "slot", "est", "every").groupBy("batch")).applyInArrow(run, schema)
+
+    def opened(left: pa.Table) -> Batch:
+        return Batch(*(left.column(c)[0].as_py() for c in ("docs", "words", "places")), order)
+
+    held, held_answers = (x.where(F.col("part") == HELD) for x in (batches, answers))
+    for k in range(order - 1):
+
+        def held_cells(left: pa.Table, right: pa.Table) -> pa.Table:
+            counts, contexts, p = mixed(opened(left), right, "est", n_est, v_est)
+            return pa.Table.from_pandas(cells(contexts[k], counts[k + 1], p), preserve_index=False)  # noqa: B023
+
+        found = together(held, held_answers, held_cells, "cell long, n double, s2 double, s1 double")
+        weights.append(learn(found.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", "s2", "s1")]).orderBy("cell").toPandas()))
+
+    names = [id_col, "part", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def scores(left: pa.Table, right: pa.Table) -> pa.Table:
+        b = opened(left)
+        counts, _, p = mixed(b, right, "every", n_all, v_all)
+        base = np.log10((counts[0] + 0.1) / (n_all + 0.1 * (v_all + 1)))
+        sums = [np.add.reduceat(x, b.first) for x in ((counts[0] > 0).astype(np.int64), base, np.log10(p))]
+        same = [pa.array(np.full(len(b.n), x, np.int64)) for x in (left.column("part")[0].as_py(), n_all)]
+        return pa.Table.from_arrays([b.docs.column("id"), same[0], pa.array(b.n), pa.array(sums[0]), same[1], pa.array(sums[1]), pa.array(sums[2])], names)
+
+    return together(batches, answers, scores, f"`{id_col}` {kind_of}, part long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
