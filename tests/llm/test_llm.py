@@ -399,6 +399,47 @@ def test_style_tree_cuts_what_is_alike_everywhere(spark):
     assert {r.text for r in html_tree.main_text(df).collect()} == {f"story number {i} tells {i * 7}" for i in range(40)}
 
 
+def test_tree_and_not_the_name_lists_decide(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    text = lambda: {r.page_id: r.text for r in html_tree.main_text(df).collect()}
+    usual = text()
+    monkeypatch.setattr(html_tree, "NAMED", 1.0)
+    assert sum(t != usual[i] for i, t in text().items()) <= 0.02 * len(usual)
+    uncut = {r.page_id: html_tree.page_text(r.html, {}) for r in df.collect()}
+    assert sum(t != usual[i] for i, t in uncut.items()) > 0.9 * len(usual)
+
+
+def test_hand_made_layouts(spark):
+    """Per layout 30 pages of one host: what must be in the text, what must not."""
+    filler = lambda i, k: f"tale {i * 31 + k} of hill {i * 17 + k} told by {i * 7 + k} men"
+    layouts = {
+        "no-article": ("<div id=top><b>Site</b> Home About</div><div class=x><p>{a}<p>{b}</div><div class=y>All rights kept</div>", ["a", "b"], ["About", "rights"]),
+        "two-articles": ("<p>Same words</p><article><p>{a}</article><article><p>{b}</article>", ["a", "b"], ["Same"]),
+        "comments": ("<article><p>{a}</p><div class='comments'><p>{b}</p></div></article>", ["a"], ["b"]),
+        "comments-outside": ("<article><p>{a}</p></article><section id=comments><p>{b}</p></section>", ["a"], ["b"]),
+        "entry-header": ("<article class=post><div class='entry-header'><h1>{a}</h1></div><p class='search-results-study'>{b}</p></article>", ["a", "b"], []),
+        "header-in-article": ("<header>Brand line</header><article><header><h1>{a}</h1></header><p>{b}</article>", ["a", "b"], ["Brand"]),
+        "role": ("<div role=navigation>{b}</div><div role=main><p>{a}</div>", ["a"], ["b"]),
+        "position": ("<div><div>Buy now cheap</div><div class=s><p>{a}</p></div><div>Buy now cheap</div></div>", ["a"], ["Buy"]),
+        "table": ("<table><tr><td>Home<td class=c>{a}<br>{b}<tr><td colspan=2>Imprint</table>", ["a", "b"], ["Imprint"]),
+        "deep": ("<div>" * 90 + "<p>{a}</p>" + "</div>" * 90 + "<form>{b}</form>", ["a"], ["b"]),
+        "hidden": ("<main><p>{a}</p><p hidden>{b}</p></main>", ["a"], ["b"]),
+        "list": ("<ul class=menu><li>{b}</ul><section><h2>{a}</h2><ul><li>one {c}<li>two {d}</ul></section>", ["a", "c", "d"], ["b"]),
+    }
+    rows = []
+    for j, (name, (form, _, _)) in enumerate(layouts.items()):
+        rows += [(j * 100 + i, f"http://{name}.org/{i}", "<html><body>" + form.format(**{k: filler(i, n) for n, k in enumerate("abcd")}) + "</body></html>") for i in range(30)]
+    rows += [(9000 + i, f"http://mirror.org/{i}", "<body><div class=w><p>one story on all pages</p></div></body>") for i in range(30)]
+    rows += [(9100, "http://one.org/", "<body><p>" + "word " * 300_000 + "</p></body>")]
+    got = {r.page_id: r.text for r in html_tree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for j, (name, (_, keeps, drops)) in enumerate(layouts.items()):
+        for i in range(30):
+            part = {k: filler(i, n) for n, k in enumerate("abcd")}
+            assert all(part[k] in got[j * 100 + i] for k in keeps), (name, got[j * 100 + i])
+            assert not any(part.get(k, k) in got[j * 100 + i] for k in drops), (name, got[j * 100 + i])
+    assert all(got[9000 + i] == "one story on all pages" for i in range(30)) and got[9100] == ("word " * 300_000).strip()
+
+
 def test_given_pages_give_their_articles(spark):
     import html
     import re
