@@ -6,7 +6,8 @@ in growing distance from kd-trees and verified with the original vectors until t
 says, with probability CONFIDENCE, that nothing nearer is left.
 
 A kd-tree over a bounded sample (SAMPLE points) cuts the projected space into cells; every vector is indexed
-in its cell, large cells are dealt to several blocks, and each block has a kd-tree of its own. A query first
+in its cell, large cells are dealt to several blocks of bounded size, and each block has a kd-tree of its own and is
+asked a bounded number of queries at once. A query first
 searches its own cell, which bounds the distance of its k-th neighbour, then the cells that this bound and the
 stopping test leave. Equal vectors are one index entry with its smallest ids, so copies cost nothing.
 
@@ -30,6 +31,7 @@ from .common import materialize
 
 M, CONFIDENCE, SEED = 8, 0.98, 7
 SAMPLE, CELL, CELLS, LEAF = 20_000, 4096, 1 << 14, 32
+ASKED, TIED = 2048, 1e-9  # queries that a block is asked at once; squared distance within which vectors of one direction are still looked for
 
 
 def chi_square_bound(m: int, p: float) -> float:
@@ -93,6 +95,7 @@ def _search(points: pd.DataFrame, queries: pd.DataFrame, k: int, bound: float) -
     norm = np.sqrt(np.einsum("ij,ij->i", v, v))
     _, leaves = _split(p, LEAF)
     leaves = [x for x in leaves if len(x)]
+    least = np.array([x[0] for x in points.ids])
     low, high = np.array([p[x].min(0) for x in leaves]), np.array([p[x].max(0) for x in leaves])
     qv, qp, limit = _vectors(queries.vec), _vectors(queries.proj), queries.limit.to_numpy()
     out_q, out_i, out_s = [], [], []
@@ -102,13 +105,13 @@ def _search(points: pd.DataFrame, queries: pd.DataFrame, k: int, bound: float) -
         near = np.einsum("ij,ij->i", gap, gap)
         order = np.argsort(near, kind="stable")
         best_i, best_s, worst, at, step = np.empty(0, np.int64), np.empty(0), limit[j], 0, 4
-        while at < len(order) and near[order[at]] <= bound * worst:
+        while at < len(order) and near[order[at]] <= bound * max(worst, TIED):
             rows = np.concatenate([leaves[x] for x in order[at : at + step]])
             at, step = at + step, step * 2
             s = np.einsum("ij,j->i", v[rows], q) / (norm[rows] * qn)
             best_i, best_s = np.concatenate([best_i, rows]), np.concatenate([best_s, s])
             if len(best_i) > k:
-                keep = np.lexsort((best_i, -best_s))[:k]
+                keep = np.lexsort((least[best_i], -best_s))[:k]
                 best_i, best_s = best_i[keep], best_s[keep]
             if len(best_i) >= k:
                 worst = min(worst, max(0.0, 2 - 2 * float(best_s.min())))
@@ -145,7 +148,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
 
     base = materialize(entries.withColumn("p", project("v")).select("ka", "kb", "ids", "p.vec", "p.proj"), "ann-entries")
     n = base.count()
-    sample = base.select("proj", F.xxhash64("ka", "kb").alias("h")).orderBy("h").limit(SAMPLE).select("proj").toPandas()
+    chosen = base if n <= SAMPLE else base.where(F.pmod(F.xxhash64("ka", "kb"), F.lit(1 << 40)) < int(SAMPLE / n * (1 << 40)))
+    sample = chosen.select("proj", "ka").toPandas().sort_values("ka")
     size = max(CELL, n // CELLS)
     nodes, _ = _split(_vectors(sample.proj), max(LEAF, math.ceil(len(sample) * size / n)))
     low, high = _boxes(nodes)
@@ -157,7 +161,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
 
     base = base.withColumn("cell", cell_of("proj"))
     counts = base.groupBy("cell").agg(F.count("*").alias("n"))
-    blocks = F.broadcast(counts.select("cell", F.ceil(F.col("n") / (2 * size)).alias("blocks")))  # one row a cell, CELLS at most
+    blocks = F.broadcast(counts.select("cell", F.ceil(F.col("n") / (2 * CELL)).alias("blocks")))  # one row a cell, CELLS at most
     points = base.join(blocks, "cell").withColumn("block", F.pmod("ka", "blocks")).drop("blocks")
     asked = rows.where("asks").select("id", "ka", "kb").distinct()
     keys = asked.select("ka", "kb").distinct()
@@ -167,9 +171,14 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
 
     def searched(of: DataFrame) -> DataFrame:
         """``of``: queries with the cell to visit and the squared distance they needn't beat."""
-        dealt = of.join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+        of = materialize(of, "ann-asked")
+        turns = F.broadcast(of.groupBy("cell").agg(F.ceil(F.count("*") / ASKED).alias("turns")))  # one row a cell
+        dealt = of.join(blocks, "cell").join(turns, "cell").withColumn("turn", F.pmod(F.xxhash64("ka", F.lit(SEED)), "turns"))
+        dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks", "turns")
+        asked_points = points.join(turns, "cell").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).drop("turns")
         run = lambda p, q: _search(p, q, k + 1, bound) if len(p) and len(q) else none
-        return points.groupBy("cell", "block").cogroup(dealt.groupBy("cell", "block")).applyInPandas(run, out)
+        key = ["cell", "block", "turn"]
+        return asked_points.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(run, out)
 
     def best(found: DataFrame) -> DataFrame:
         w = W.partitionBy("qa", "qb").orderBy(F.desc("score"), F.element_at("ids", 1))
@@ -184,7 +193,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
         out = []
         for q, far, mine in zip(_vectors(p) if len(p) else [], limit, own, strict=True):
             gap = np.maximum(0, np.maximum(low - q, q - high))
-            hit = np.flatnonzero(np.einsum("ij,ij->i", gap, gap) <= bound * far)
+            hit = np.flatnonzero(np.einsum("ij,ij->i", gap, gap) <= bound * max(far, TIED))
             out.append(hit[hit != mine])
         return pd.Series(out, dtype=object)
 

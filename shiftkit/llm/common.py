@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 _LOCAL: dict[str, str] = {}
+BUCKET_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; a local one only where that is unset on a local master (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="spark-")
@@ -36,29 +37,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of tables that are no longer used, before the next large one.
-
-    The driver's JVM learns with a delay which tables Python has let go, hence the second turn.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def crc_mod(id_col: str, m: int) -> Column:
     """crc32 of the id written as text, modulo m (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % m
 
 
-def salted_prefix(df: DataFrame, group: list[str], order: list[str], value: str, out: str, buckets: int = 64) -> DataFrame:
+def salted_prefix(df: DataFrame, group: list[str], order: list[str], value: str, out: str, buckets: int | None = None) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the same group that come before.
 
     The order is (hash bucket of the order columns, order columns), so a group that holds a third of
     all rows is summed by ``buckets`` tasks: bucket totals (map-side combined) give offsets and each
-    task only runs over its own bucket. Rows alike in all order columns are interchangeable.
+    task only runs over its own bucket. Rows alike in all order columns are interchangeable. Without ``buckets`` there
+    is one for BUCKET_ROWS rows of the table, 64 at least.
     """
+    buckets = buckets or max(64, -(-df.count() // BUCKET_ROWS))
     salted = df.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     totals = salted.groupBy(*group, "__b").agg(F.sum(value).alias("__n"))
     before = W.partitionBy(*group).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)

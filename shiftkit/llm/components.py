@@ -27,7 +27,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) of every node of edges(a, b): the root is the smallest node that can be reached.
 
     No round groups a node's neighbours into one task: minima are combined map-side and joined back.
-    Ends when a round changes nothing; no edges give an empty result.
+    Ends when a round changes nothing, and raises if that isn't so after ``rounds``; no edges give an empty result.
     """
     now, before = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"), None
     for _ in range(rounds):
@@ -36,4 +36,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components aren't whole after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -33,6 +33,7 @@ from .components import components
 
 RATIO, RESERVE, THIN, FULL = 1.4, 24, 2, 4  # size bands; one reserved segment in so many; sizes not probed, and probed with one difference
 FEW, BLOCK, NEAREST = 8, 2048, 2
+HEAVY, SHARE, SAMPLED = 4096, 1000, 64  # members of a heavy key: so many, and one in SHARE of all rows; found in one in SAMPLED sets
 BROADCAST_IDS = 1_000_000
 SEEN = 200_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -322,6 +323,29 @@ def _remaining(many: DataFrame, nodes: DataFrame, roots: DataFrame, num: int, de
     return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long, more boolean").distinct()
 
 
+def _entries(sets: DataFrame) -> DataFrame:
+    zipped = sets.where("keys is not null").select("node", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("keys", "kinds")).alias("e"))
+    return zipped.select(F.col("e.keys").alias("key"), "node", "n", F.col("e.kinds").alias("kind"))
+
+
+def _heavy_keys(sets: DataFrame) -> DataFrame | None:
+    """Keys with about HEAVY members or more and one in SHARE of all rows, told from a sample of sets; None if there are none.
+
+    Their number is at most SHARE times the keys of a set. A key that the sample misses is only slower.
+    """
+    least = max(HEAVY, sets.count() // SHARE) / SAMPLED
+    found = _entries(sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0)).groupBy("key").agg(F.countDistinct("node").alias("c")).where(F.col("c") >= least).select("key")
+    found = materialize(found, "jac-heavy")
+    return found if found.limit(1).count() else None
+
+
+def _counted(entries: DataFrame, heavy: bool) -> DataFrame:
+    """Distinct entries of keys with two members or more, with how many there are and the smallest member that isn't a deletion."""
+    shared = entries.dropDuplicates(["key", "node", "kind"])
+    counts = shared.groupBy("key").agg(F.count("*").alias("c"), F.min(F.when(F.col("kind") < 4, F.struct("node", "n", "kind"))).alias("head")).where("c > 1")
+    return shared.join(F.broadcast(counts) if heavy else counts, "key")  # of heavy keys there are few, and their rows stay where they are
+
+
 def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", firsts: bool = False) -> DataFrame:
     """id_col, n_shingles, component_id of every row: documents link when den * intersection >= num * union.
 
@@ -333,13 +357,16 @@ def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     place = F.struct(F.col("id").isNull().alias("z"), "id", "h")
     owner = sets.where("node is not null").groupBy("node").agg(F.min(place).alias("least"))
     nodes = sets.where("keys is not null").groupBy("node").agg(F.first("n").alias("n"), F.min("id").alias("id"), F.first("map").alias("map"))
-    entries = sets.where("keys is not null").select("node", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("keys", "kinds")).alias("e")).select(F.col("e.keys").alias("key"), "node", "n", F.col("e.kinds").alias("kind"))
-    # Keys of one entry end here; so the shuffle of all entries is the only one.
+    entries = _entries(sets)
+    # Keys of one entry end here; so the shuffle of all entries is the only one. Heavy keys (a bounded list) need no window.
+    heavy = _heavy_keys(sets)
+    light = entries.join(F.broadcast(heavy), "key", "left_anti") if heavy else entries
     alike = "partition by key order by node"
-    shared = entries.selectExpr("*", f"lag(node) over ({alike}) as p", f"lead(node) over ({alike}) as q").where("p is not null or q is not null").select("key", "node", "n", "kind")
-    shared = materialize(shared, "jac-shared").dropDuplicates(["key", "node", "kind"])
-    counts = shared.groupBy("key").agg(F.count("*").alias("c"), F.min(F.when(F.col("kind") < 4, F.struct("node", "n", "kind"))).alias("head")).where("c > 1")
-    shared = materialize(shared.join(counts, "key"), "jac-counted")
+    shared = light.selectExpr("*", f"lag(node) over ({alike}) as p", f"lead(node) over ({alike}) as q").where("p is not null or q is not null").select("key", "node", "n", "kind")
+    shared = _counted(materialize(shared, "jac-shared"), False)
+    if heavy:
+        shared = shared.unionByName(_counted(entries.join(F.broadcast(heavy), "key", "left_semi"), True))
+    shared = materialize(shared, "jac-counted")
     few, many = shared.where(F.col("c") <= FEW), shared.where(F.col("c") > FEW)
     x, y = few.alias("x"), few.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))).where(_probed("x", "y") & _near("x", "y", num, den)).select(*_pair("x", "y"))

@@ -1,12 +1,12 @@
 """Language of texts by a bidirectional gated recurrent network over bytes.
 
-The network reads each run of bytes between white space in both directions (states start anew for each run, runs
-longer than RUN bytes are cut), gives every byte position a probability for each language, and a document's
-probabilities are the mean over all its positions. Because states don't cross white space, a run that occurs often
-is read once for each worker and its positions' sums are reused: the result is that of reading every position.
+The network reads a text's bytes in both directions and gives every byte position a probability for each language; a
+document's probabilities are the mean over all its positions. Texts are read in windows of WINDOW bytes that begin at
+whole characters, with MARGIN bytes more on both sides, so states run across words and into each window's positions from
+before and behind; every byte of every text is read and counts once.
 
-Training is backpropagation through time in numpy with Adam, on the driver, over a bounded sample: PER_LANG documents
-for each language, picked by a hash of their id, and WORDS runs spread over the whole of each document.
+Training is backpropagation through time in numpy with Adam, on the driver, over a bounded sample: about PER_LANG
+documents for each language, picked by a hash of their id, and PIECES pieces of PIECE bytes spread over the whole of each.
 
 Defined results: a null text or one without a letter is "und" with score 0; so is everything if no training row has a
 language; ties go to the language first in sort order; repeated rows each get their row; an empty table gives an
@@ -23,17 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RUN, HIDDEN = 48, 12
-PER_LANG, WORDS, STEPS, BATCH, RATE, SEED = 400, 200, 400, 512, 0.01, 11
-KEPT, AT_ONCE = 400_000, 4 << 20  # runs whose sums a worker keeps; bytes of text it reads at once
-UND = "und"
-
+from .tokens import text_slices
 
-def runs_of(raw: bytes) -> list[bytes]:
-    words = raw.split()
-    if max(map(len, words), default=0) > RUN:
-        return [w[i : i + RUN] for w in words for i in range(0, len(w), RUN)]
-    return words
+WINDOW, MARGIN, HIDDEN = 192, 16, 12
+PER_LANG, PIECES, PIECE, STEPS, BATCH, RATE, SEED = 400, 40, 32, 250, 384, 0.01, 11
+AT_ONCE, ROWS = 2 << 20, 1024  # bytes of text that a worker cuts into windows at once; windows that the network reads at once
+UND = "und"
 
 
 def _pad(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +39,27 @@ def _pad(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x.astype(np.int64), np.arange(t)[:, None] < n[None, :]
 
 
+def windows(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For texts raw[edges[i]:edges[i + 1]]: each window's text, place from where it is read, length, and what counts (from, to)."""
+    size = np.diff(edges)
+    each = -(-size // WINDOW)
+    of = np.repeat(np.arange(len(size)), each)
+    turn = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
+    first, last = edges[:-1][of], edges[1:][of]
+
+    def whole(at):  # the next place where a character begins
+        for _ in range(3):
+            inner = at < last
+            at = at + (inner & (raw[np.minimum(at, len(raw) - 1)] & 0xC0 == 0x80))
+        return at
+
+    lo = whole(first + turn * WINDOW)
+    hi = np.where(turn + 1 == each[of], last, whole(np.minimum(first + (turn + 1) * WINDOW, last)))
+    start, stop = whole(np.maximum(first, lo - MARGIN)), np.minimum(last, hi + MARGIN)
+    ok = hi > lo
+    return of[ok], start[ok], (stop - start)[ok], (lo - start)[ok], (hi - start)[ok]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -73,12 +89,62 @@ class Network:
             states[i] = state
         return states, kept
 
-    def positions(self, x: np.ndarray, real: np.ndarray) -> np.ndarray:
-        """Probabilities (time, word, language)."""
-        both = np.concatenate([self._read(x, real, d, False)[0] for d in "fb"], 2)
-        e = both @ self.w["o"] + self.w["oc"]
-        e = np.exp(e - e.max(2, keepdims=True))
-        return e / e.sum(2, keepdims=True)
+    def _logits(self, x: np.ndarray, real: np.ndarray | None, d: str, out: np.ndarray) -> None:
+        """Adds one direction's part of the logits (time, language, window); all arrays are laid out window last.
+
+        A sigmoid is 1 / (1 + exp(-x)) and a tanh 2 / (1 + exp(-2x)) - 1: the factors are put into the weights.
+        ``real`` None: all windows are as long as the longest.
+        """
+        h, (t, n) = HIDDEN, x.shape
+        scale = np.concatenate([np.full(2 * h, -1.0), np.full(h, -2.0)]).astype(np.float32)[:, None]
+        wx, u = np.ascontiguousarray((self.w[f"x{d}"] + self.w[f"c{d}"]).T * scale), np.ascontiguousarray(self.w[f"u{d}"].T * scale)
+        o = np.ascontiguousarray(self.w["o"][:h].T if d == "f" else self.w["o"][h:].T)
+        state, a, s, part = np.zeros((h, n), np.float32), np.empty((3 * h, n), np.float32), np.empty((3 * h, n), np.float32), np.empty((len(o), n), np.float32)
+        for i in range(t) if d == "f" else range(t - 1, -1, -1):
+            np.take(wx, x[i], axis=1, out=a, mode="clip")
+            np.matmul(u, state, out=s)
+            gates, new = a[: 2 * h], s[2 * h :]
+            gates += s[: 2 * h]
+            np.exp(np.minimum(gates, 80, out=gates), out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            new *= gates[h:]
+            new += a[2 * h :]
+            np.exp(np.minimum(new, 80, out=new), out=new)
+            new += 1
+            np.divide(2, new, out=new)
+            new -= 1
+            after = state - new
+            after *= gates[:h]
+            after += new
+            state = after if real is None else np.where(real[i], after, state)
+            out[i] += np.matmul(o, state, out=part)
+
+    def positions(self, x: np.ndarray, real: np.ndarray | None) -> np.ndarray:
+        """Probabilities (time, language, window) of bytes x(time, window)."""
+        e = np.zeros((len(x), len(self.langs), x.shape[1]), np.float32)
+        e += self.w["oc"][:, None]
+        for d in "fb":
+            self._logits(x, real, d, e)
+        e -= e.max(1, keepdims=True)
+        np.exp(e, out=e)
+        e /= e.sum(1, keepdims=True)
+        return e
+
+    def documents(self, raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Mean probabilities over all positions of each text; 0 for empty ones."""
+        of, start, n, lo, hi = windows(raw, edges)
+        out = np.zeros((len(edges) - 1, len(self.langs)))
+        by = np.argsort(n, kind="stable")
+        for at in range(0, len(by), ROWS):
+            k = by[at : at + ROWS]
+            t = int(n[k[-1]])
+            place = np.arange(t)[:, None]
+            x = raw[np.minimum(start[k] + place, len(raw) - 1)].astype(np.intp)
+            p = self.positions(x, None if n[k[0]] == t else place < n[k])
+            p *= ((place >= lo[k]) & (place < hi[k]))[:, None, :]
+            np.add.at(out, of[k], p.sum(0).T)
+        return out / np.maximum(np.diff(edges), 1)[:, None]
 
     def gradient(self, x: np.ndarray, real: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy of all positions, and its gradient by backpropagation through time."""
@@ -135,8 +201,8 @@ def fit(samples: dict[str, list[bytes]]) -> Network:
     return net
 
 
-def sample_runs(train: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, list[bytes]]:
-    """Runs of PER_LANG documents a language, whose number doesn't grow with the data."""
+def sample_pieces(train: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, list[bytes]]:
+    """Pieces of PER_LANG documents a language, whose number doesn't grow with the data."""
     rows = train.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
     share = {r.lang: PER_LANG / r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not share:
@@ -148,50 +214,28 @@ def sample_runs(train: DataFrame, id_col: str, text_col: str, lang_col: str) ->
         for b in batches:
             langs, out = [], []
             for ident, text, lang in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                words = runs_of(text.encode())
-                if len(words) > WORDS:
-                    at = np.random.default_rng(zlib.crc32((ident or "").encode())).choice(len(words), WORDS, replace=False)
-                    words = [words[i] for i in at]
-                langs.append(lang)
-                out.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], ["lang", "runs"])
+                raw = text.encode()
+                starts = range(0, len(raw), PIECE)
+                if len(starts) > PIECES:
+                    starts = np.random.default_rng(zlib.crc32((ident or "").encode())).choice(len(raw) - PIECE, PIECES, replace=False)
+                for lo in starts:
+                    langs.append(lang)
+                    out.append(raw[lo : lo + PIECE])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], ["lang", "piece"])
 
     got: dict[str, list[bytes]] = {k: [] for k in share}
-    for r in chosen.mapInArrow(spread, "lang string, runs binary").collect():
-        got[r.lang] += bytes(r.runs).split()
+    for r in chosen.mapInArrow(spread, "lang string, piece binary").collect():
+        got[r.lang].append(bytes(r.piece))
     return got
 
 
-class _Reader:
-    """Sums of the positions' probabilities of runs, kept by run."""
-
-    def __init__(self, net: Network):
-        self.net, self.place, self.sums, self.n = net, {}, np.zeros((1 << 12, len(net.langs)), np.float32), 0
-
-    def read(self, words: list[list[bytes]]) -> None:
-        new = set().union(*words).difference(self.place)
-        if self.n + len(new) > KEPT and self.n:
-            self.place, self.n, new = {}, 0, set().union(*words)
-        new = sorted(new, key=len)
-        while self.n + len(new) > len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        for lo in range(0, len(new), 2048):
-            part = new[lo : lo + 2048]
-            x, real = _pad(part)
-            self.sums[self.n : self.n + len(part)] = (self.net.positions(x, real) * real[:, :, None]).sum(0)
-            self.place.update(zip(part, range(self.n, self.n + len(part)), strict=True))
-            self.n += len(part)
-
-    def document(self, words: list[bytes]) -> np.ndarray:
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        return self.sums[at].sum(0, dtype=np.float64) / sum(map(len, words))
-
-
 def label_positions(net: Network, text: str) -> list[str]:
-    """The most probable language at each byte that isn't white space."""
+    """The most probable language at each byte."""
+    raw = np.frombuffer(text.encode(), np.uint8)
     out = []
-    for w in runs_of(text.encode()):
-        out += [net.langs[i] for i in net.positions(*_pad([w]))[:, 0].argmax(1)]
+    for _, start, n, lo, hi in zip(*windows(raw, np.array([0, len(raw)])), strict=True):
+        p = net.positions(raw[start : start + n, None], None)[lo:hi, :, 0]
+        out += [net.langs[i] for i in p.argmax(1)]
     return out
 
 
@@ -201,31 +245,24 @@ def predict(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text_col:
     ``over_chance``: scores run from 0, all k learned languages alike, to 1; a single language always has 1.
     """
     carried = carry or [id_col]
-    samples = sample_runs(docs.where(is_train), id_col, text_col, lang_col)
+    samples = sample_pieces(docs.where(is_train), id_col, text_col, lang_col)
     net = fit(samples) if any(samples.values()) else None
     chance = 1 / len(net.langs) if over_chance and net and len(net.langs) > 1 else 0.0
+    at_text = carried.index(text_col) if text_col in carried and dict(docs.dtypes)[text_col] == "string" else len(carried)
 
     def run(batches):
-        reader = _Reader(net) if net else None
         for b in batches:
-            texts, lo = b.columns[-1].to_pylist(), 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size < AT_ONCE):
-                    size += len(texts[hi] or "")
-                    hi += 1
-                part = [t if net and t and any(map(str.isalpha, t)) else None for t in texts[lo:hi]]
-                words = [runs_of(t.encode()) if t else [] for t in part]
-                if net:
-                    reader.read(words)
-                langs, scores = [], []
-                for w in words:
-                    p = reader.document(w) if w else None
-                    langs.append(UND if p is None else net.langs[int(p.argmax())])
-                    scores.append(0.0 if p is None else min(1.0, max(0.0, (float(p.max()) - chance) / (1 - chance))))
-                yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in b.columns[:-1]), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*carried, *names])
-                lo = hi
-
-    rows = docs.select(*carried, F.col(text_col).cast("string").alias("__text"))
+            for part in text_slices(b, at_text, AT_ONCE):
+                texts = [t if net and t and any(map(str.isalpha, t)) else "" for t in part.column(at_text).to_pylist()]
+                raw = [t.encode() for t in texts]
+                edges = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+                langs, scores = [UND] * len(raw), [0.0] * len(raw)
+                if edges[-1]:
+                    p = net.documents(np.frombuffer(b"".join(raw), np.uint8), edges)
+                    for i in np.flatnonzero(np.diff(edges)):
+                        langs[i], scores[i] = net.langs[int(p[i].argmax())], min(1.0, max(0.0, (float(p[i].max()) - chance) / (1 - chance)))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(carried)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*carried, *names])
+
+    rows = docs.select(*carried, *([F.col(text_col).cast("string").alias("__text")] if at_text == len(carried) else []))
     schema = T.StructType([docs.schema[c] for c in carried]).add(names[0], "string").add(names[1], "double")
     return rows.mapInArrow(run, schema)

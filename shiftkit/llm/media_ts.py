@@ -95,7 +95,7 @@ def _program(packets: np.ndarray, pid: int, table: int) -> bytes | None:
         raw = p[4:].tobytes()
         s = raw[1 + raw[0] :]
         n = 3 + (int.from_bytes(s[1:3], "big") & 0xFFF)
-        if s[0] == table and n <= len(s) and crc_mpeg(s[:n]) == 0:
+        if len(s) > 3 and s[0] == table and n <= len(s) and crc_mpeg(s[:n]) == 0:
             return s[:n]
     return None
 
@@ -120,12 +120,18 @@ def demux_bytes(media: bytes) -> dict:
     skip = 4 + np.where(control == 3, p[:, 4].astype(int) + 1, 0)
     access = (control == 3) & (p[:, 4] > 0) & (p[:, 5] & 0x40 > 0)
     starts = np.flatnonzero(p[:, 1] & 0x40)
+    if not len(starts) or starts[0]:  # no unit at all, or packets before the first one
+        out["errors"] += 1
+    if not len(starts):
+        return out
     flat, parts, place = p.tobytes(), [], 0
     for a, b in zip(starts, [*starts[1:], len(p)], strict=True):
         pes = b"".join([flat[i * PACKET + skip[i] : (i + 1) * PACKET] for i in range(a, b)])
         size = int.from_bytes(pes[4:6], "big")
         if pes[:3] != b"\x00\x00\x01" or len(pes) != size + 6:
             out["errors"] += 1
+        if len(pes) < 14:  # cut off within its head: nothing can be told
+            continue
         h = pes[9:14]
         out["pts"].append(((h[0] & 0x0E) << 29 | h[1] << 22 | (h[2] & 0xFE) << 14 | h[3] << 7 | h[4] >> 1) if pes[7] & 0x80 else None)
         body = pes[9 + pes[8] : 6 + size]
@@ -161,7 +167,7 @@ def demux(df: DataFrame, id_col: str = "doc_id", with_payload: bool = False) ->
     def run(batches):
         for b in batches:
             rows = []
-            for media in b.column(2).to_pylist():
+            for media in (x or b"" for x in b.column(2).to_pylist()):
                 d = demux_bytes(media)
                 pay, units = d["payload"], len(d["pts"])
                 feature = f"pid={d['pid']};type={d['stream_type']};units={units};access={sum(d['access'])};first={d['pts'][0] if units else -1};last={d['pts'][-1] if units else -1};errors={d['errors']}"

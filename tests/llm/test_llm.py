@@ -152,6 +152,15 @@ def test_broken_streams_are_told():
     assert media_ts.crc_mpeg(b"123456789") == 0x0376E6E7
 
 
+def test_cut_streams_have_errors_and_raise_nothing(spark):
+    media = media_ts.mux_bytes(media_ts.padded("some text " * 3000))
+    for n in range(0, 3000):
+        assert media_ts.demux_bytes(media[:n])["errors"] > 0
+    rows = [(1, 5, media[:400]), (2, 0, None), (3, 1, media)]
+    got = {r.doc_id: r.errors for r in media_ts.demux(spark.createDataFrame([(i, n, bytearray(m) if m else None) for i, n, m in rows], "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1] > 0 and got[2] > 0 and got[3] == 0
+
+
 def test_media_query(spark, odd, empty):
     got = {(r.doc_id, r.payload_sha256) for r in media_ts.demux(media_ts.mux(odd)).collect()}
     assert got == {(r.doc_id, hashlib.sha256(media_ts.padded(r.text)).hexdigest()) for r in odd.collect()}
@@ -192,10 +201,13 @@ def test_components_of_odd_rows(odd, empty, k, num):
     assert jaccard.join_components(empty).count() == 0
 
 
-@pytest.mark.parametrize("few", [8, 2])
-def test_components_of_large_near_copy_groups(spark, monkeypatch, few):
-    """Copies with edits, most of them only near enough to a few others; with ``few`` small, keys go the long way."""
+@pytest.mark.parametrize("few,heavy", [(8, 4096), (2, 4096), (2, 12)])
+def test_components_of_large_near_copy_groups(spark, monkeypatch, few, heavy):
+    """Copies with edits, most of them only near enough to a few others; with ``few`` small, keys go the long way; also with heavy keys."""
     monkeypatch.setattr(jaccard, "FEW", few)
+    if heavy < 4096:
+        for name, n in (("HEAVY", heavy), ("SHARE", 1 << 40), ("SAMPLED", 1)):
+            monkeypatch.setattr(jaccard, name, n)
     monkeypatch.setattr(jaccard, "NEAREST", 2)
     rng = np.random.default_rng(few)
     passage = [f"p{i}" for i in range(50)]
@@ -211,6 +223,11 @@ def test_components_of_large_near_copy_groups(spark, monkeypatch, few):
     assert got == brute(rows, 4, 85, 100)
 
 
+def test_components_say_when_they_are_not_whole(spark):
+    with pytest.raises(RuntimeError):
+        components.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), rounds=1)
+
+
 def test_pigeonhole_holds_for_linked_sets():
     """Two linked sets share a probed key, whatever their sizes: the larger set's allocation decides."""
     rng, bands = np.random.default_rng(3), jaccard.Bands(80, 100)
@@ -333,6 +350,19 @@ def test_neighbours_with_copies_ties_and_bad_rows(spark):
     assert sorted(r.vec_id for r in few) == [1, 2]
 
 
+def test_scaled_copies_go_to_the_smaller_id(spark, monkeypatch):
+    """Many different vectors of one direction, in several blocks that are asked in several turns."""
+    monkeypatch.setattr(ann, "CELL", 16)
+    monkeypatch.setattr(ann, "ASKED", 1)
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((200, 8))
+    rows = [(int(i), [float(x) for x in (v[0] * 2.0 ** (int(i) % 40 - 20) if i < 60 else v[i])]) for i in rng.permutation(200)]
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got[0] == [1, 2, 3, 4, 5] and got[50] == [0, 1, 2, 3, 4] and all(len(x) == 5 for x in got.values())
+
+
 def test_recall_on_the_given_table(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
     v, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
@@ -552,12 +582,30 @@ def test_odd_texts_have_languages(odd, empty):
     assert langid.predict(empty, F.lit(True)).count() == 0
 
 
-def test_kept_sums_are_those_of_every_position(spark):
-    net = langid.fit({"en": [b"the", b"thing", b"and"], "de": [b"sch", b"ung", b"der"]})
-    text = "the sch und the thing " + "x" * 120
-    reader = langid._Reader(net)
-    words = langid.runs_of(text.encode())
-    reader.read([words])
-    every = np.concatenate([net.positions(*langid._pad([w]))[:, 0] for w in words])
-    assert np.allclose(reader.document(words), every.mean(0), atol=1e-5)
-    assert len(langid.label_positions(net, text)) == sum(map(len, words))
+def test_windows_read_every_byte_once_and_agree_with_whole_texts(spark):
+    net = langid.fit({"en": [b"the thing and", b"in the end"], "de": [b"sch und der", b"die ung und"]})
+    rng = np.random.default_rng(3)
+    texts = ["the sch und the thing " + "x" * 120, "", "日本語 " * 500, "é", "".join(rng.choice(list("aé語\U0001f600 "), 3000)), "a" * langid.WINDOW, "b" * (langid.WINDOW + 1)]
+    raw = [t.encode() for t in texts]
+    edges = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    flat = np.frombuffer(b"".join(raw), np.uint8)
+    of, start, n, lo, hi = langid.windows(flat, edges)
+    for i, r in enumerate(raw):
+        at = [(s + a, s + b) for s, a, b in zip(start[of == i], lo[of == i], hi[of == i], strict=True)]
+        assert [x for a, b in at for x in range(a, b)] == list(range(edges[i], edges[i + 1]))
+        for a, m in zip(start[of == i], n[of == i], strict=True):
+            flat[a : a + m].tobytes().decode(errors="strict" if a + m == edges[i + 1] else "ignore")
+            assert flat[a] & 0xC0 != 0x80
+    p = net.documents(flat, edges)
+    for i, r in enumerate(raw):
+        if not r:
+            assert (p[i] == 0).all()
+            continue
+        parts = []
+        for s, m, a, b in zip(*(x[of == i] for x in (start, n, lo, hi)), strict=True):
+            x, real = langid._pad([flat[s : s + m].tobytes()])
+            both = np.concatenate([net._read(x, real, d, False)[0] for d in "fb"], 2) @ net.w["o"] + net.w["oc"]
+            e = np.exp(both - both.max(2, keepdims=True))
+            parts.append((e / e.sum(2, keepdims=True))[a:b, 0])
+        assert np.allclose(p[i], np.concatenate(parts).mean(0), atol=1e-4)
+        assert len(langid.label_positions(net, texts[i])) == len(r)
