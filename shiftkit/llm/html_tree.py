@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import text_slices
+from .tokens import lean, text_slices
 from .url_filter import host_of
 
 THRESHOLD, MIN_USES, MIN_HOSTS, OUTSIDE, NAMED, OWN, MAIN_SHARE = 0.45, 20, 5, 0.5, 0.35, 0.1, 0.1
@@ -208,7 +208,7 @@ def style_tree(pages: DataFrame, host: str, html_col: str) -> tuple[DataFrame, D
                 signed = lambda v: pa.array([x - (1 << 64) if x >> 63 else x for x in v], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), signed(nodes), signed(digests), pa.array(words, pa.int32()), pa.array(paths, pa.string()), pa.array(parents, pa.string()), pa.array(list(seen.values()), pa.int64())], ["host", "node", "digest", "words", "path", "parent", "n"])
 
-    found = pages.select(F.xxhash64(host).alias("host"), html_col).mapInArrow(run, "host long, node long, digest long, words int, path string, parent string, n long")
+    found = pages.select(F.xxhash64(host).alias("host"), html_col).mapInArrow(lean(run), "host long, node long, digest long, words int, path string, parent string, n long")
     # words 0: a look, which names the node; else a fragment of so many words
     counted = [F.sum("n").alias("n"), F.max("path").alias("path"), F.max("parent").alias("parent")]
     seen = materialize(found.groupBy("host", "node", "words", "digest").agg(*counted), "style-nodes")
@@ -282,4 +282,4 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
     kinds = dict(rows.dtypes)
-    return joined.select(id_col, url_col, "html", "cut").mapInArrow(run, f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string, n_chars long")
+    return joined.select(id_col, url_col, "html", "cut").mapInArrow(lean(run), f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string, n_chars long")

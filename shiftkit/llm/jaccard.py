@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
+from .tokens import lean
 
 RATIO, RESERVE, THIN, FULL = 1.4, 24, 2, 4  # size bands; one reserved segment in so many; sizes not probed, and probed with one difference
 FEW, BLOCK, NEAREST = 8, 2048, 2
@@ -195,7 +196,7 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     maps.append(bitmap(h, bands.bitmap_bits(len(h))).tobytes()), keys.append(a.view(np.int64)), kinds.append(c.astype(np.int8))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int8()))], ["id", "h", "n", "node", "map", "keys", "kinds"])
 
-    return docs.select("id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, "id long, h long, n long, node long, map binary, keys array<long>, kinds array<byte>")
+    return docs.select("id", "text", F.xxhash64("text").alias("h")).mapInArrow(lean(run), "id long, h long, n long, node long, map binary, keys array<long>, kinds array<byte>")
 
 
 def _probed(x: str, y: str) -> F.Column:
@@ -243,7 +244,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num:
                 same = [bool(len(h)) and int(_mixed(h).sum(dtype=np.uint64).astype(np.int64)) == f for h, f in zip(raw, part.column(0).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h.tobytes() for h in raw], pa.binary()), pa.array(same)], ["node", "hs", "same"])
 
-    sets = texts.select("node", "text").mapInArrow(run, "node long, hs binary, same boolean").where("same").drop("same")
+    sets = texts.select("node", "text").mapInArrow(lean(run), "node long, hs binary, same boolean").where("same").drop("same")
     sets = materialize(sets if few else sets.dropDuplicates(["node"]), f"{label}-sets")
     sets = sets.groupBy("node").agg(F.first("hs").alias("hs"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import text_slices
+from .tokens import lean, text_slices
 
 WINDOW, MARGIN, HIDDEN = 192, 16, 12
 PER_LANG, PIECES, PIECE, STEPS, BATCH, RATE, SEED = 400, 40, 32, 250, 384, 0.01, 11
@@ -265,4 +265,4 @@ def predict(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text_col:
 
     rows = docs.select(*carried, *([F.col(text_col).cast("string").alias("__text")] if at_text == len(carried) else []))
     schema = T.StructType([docs.schema[c] for c in carried]).add(names[0], "string").add(names[1], "double")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

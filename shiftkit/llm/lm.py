@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .jaccard import _BASE, _mixed, word_hashes
-from .tokens import text_slices
+from .tokens import lean, text_slices
 
 ORDER, BATCH_TOKENS, SLOT_TOKENS, SLICE_BYTES = 2, 1_000_000, 1_000_000, 2 << 20
 START, END = np.uint64(1), np.uint64(2)  # pseudo words
@@ -143,7 +143,7 @@ def pack(rows: DataFrame) -> DataFrame:
             if parts:
                 yield flush(p)
 
-    return rows.select("id", "part", "text").mapInArrow(run, "batch long, part int, n long, docs binary, words binary, places binary")
+    return rows.select("id", "part", "text").mapInArrow(lean(run), "batch long, part int, n long, docs binary, words binary, places binary")
 
 
 class Batch:
@@ -195,7 +195,7 @@ def _ask(batches: DataFrame, slots: int, order: int) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["slot", "k", "batch", "part", "keys", "n"])
 
-    return batches.select("batch", "part", "docs", "words", "places").mapInArrow(run, "slot long, k int, batch long, part int, keys binary, n binary")
+    return batches.select("batch", "part", "docs", "words", "places").mapInArrow(lean(run), "slot long, k int, batch long, part int, keys binary, n binary")
 
 
 ANSWER = pa.schema([("slot", pa.int64()), ("k", pa.int32()), ("batch", pa.int64()), ("part", pa.int32()), ("est", pa.binary()), ("every", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("d", pa.int64())])

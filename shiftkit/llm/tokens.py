@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import functools
+import contextlib
 import os
 import re
 from array import array
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks longer than this aren't kept; a worker keeps up to twice so many, and reads so many bytes of text at once.
+#: Chunks longer than this aren't kept; a worker keeps up to twice so many in a partition, and reads so many bytes of text at once.
 CHUNK_CHARS, KEPT, AT_ONCE = 40, 120_000, 4 << 20
 #: Where the byte-level pattern starts a new piece whatever precedes: before a space that stands
 #: between visible characters, and around runs of white space.
@@ -50,6 +50,29 @@ def text_slices(batch: pa.RecordBatch, column: int, at_once: int = AT_ONCE) -> I
         lo = hi
 
 
+def trim() -> None:
+    """Lets this worker forget its chunks and give unused memory back."""
+    import ctypes
+
+    for e in _ENCODERS.values():
+        e.young, e.old = {}, {}
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run):
+    """``run`` of a mapInArrow whose worker is trimmed when a partition is done: other stages use it again."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
 class Encoder:
     """``encode(texts)``: the ids of all texts, and where each text's ids begin (with the end).
 
@@ -145,6 +168,11 @@ class Encoder:
         return ids, edges
 
 
-@functools.lru_cache(4)
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
 def encoder(path: str, drops_space: bool) -> Encoder:
-    return Encoder(path, drops_space)
+    """This worker's encoder; what it keeps of chunks it keeps for one partition."""
+    if (path, drops_space) not in _ENCODERS:
+        _ENCODERS[path, drops_space] = Encoder(path, drops_space)
+    return _ENCODERS[path, drops_space]

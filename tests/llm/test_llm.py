@@ -1,6 +1,7 @@
 """The training-data operations against brute force, on hand-made tables with nulls, ties, repeated rows and odd columns."""
 
 import hashlib
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -97,7 +98,7 @@ def test_store_round_trip(spark, odd, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.tokenizer_path("byte_bpe_50k.json"))
-    path = f"{scratch(spark)}/store-test"
+    path = f"{scratch(spark)}/store-{uuid.uuid4().hex}"
     blocks = token_store.write_store(odd, path, tokens.tokenizer_path("byte_bpe_50k.json"), end_id=2, partitions=3)
     assert len({r.dict_hash for r in blocks.select("dict_hash").collect()}) == 1
     rows = sorted(token_store.read_store(spark, path, with_ids=True).collect(), key=lambda r: r.start)
