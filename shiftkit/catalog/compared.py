@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..fixtures import duck, view
 from ..functions.numeric import r6
 from ..operators import compare as C
+from ..operators.prepare import fit_numeric
 from ..plans import grid as G
 from ..sources import tables as S
 from ..streaming import ingest as I
@@ -57,13 +58,13 @@ def _(spark, d):
     return C.compare(view(spark, d, "v_res"), "Raw", B).select("dataset", "delta", "p_value", "p_corrected", "significant")
 
 
-@query("c5_benjamini_hochberg", f"with {duck('v_pred')}, t as (select k, case when k % 7 = 0 then null else p end as p from v_pred where k < 500), r as (select k, p, p * count(p) over () / row_number() over (order by p, k) as q from t where p is not null), c as (select k, p, min(q) over (order by p desc, q desc rows between unbounded preceding and current row) as q from r) select t.k, case when t.p is not null then round(least(1.0, min(q) over (partition by t.p)), 6) end as p_corrected from t left join c using (k)")
+@query("c5_benjamini_hochberg", f"with {duck('v_pred')}, t as (select k, case when k % 7 = 0 then null else p end as p from v_pred), r as (select k, p, p * count(p) over () / row_number() over (order by p, k) as q from t where p is not null), c as (select k, p, min(q) over (order by p desc, q desc rows between unbounded preceding and current row) as q from r) select t.k, case when t.p is not null then round(least(1.0, min(q) over (partition by t.p)), 6) end as p_corrected from t left join c using (k)")
 def _(spark, d):
     t = view(spark, d, "v_pred").select("k", F.when(F.col("k") % 7 != 0, F.col("p")).alias("p"))
     return C.benjamini_hochberg(t, "p").select("k", r6(F.col("p_corrected")).alias("p_corrected"))
 
 
-_BLOCKS = f"{duck('v_res')}, m as (select dataset, seed, fold, condition, model || '_' || pipeline as g, avg(f1) as v from v_res where status = 'success' and model in ('knn', 'svm', 'mlp') group by all), f as (select dataset, seed, fold, condition from m group by all having count(*) = (select count(distinct g) from m)), r as (select m.*, rank() over (partition by dataset, seed, fold, condition order by v desc) + (count(*) over (partition by dataset, seed, fold, condition, v) - 1) / 2 as r from m join f using (dataset, seed, fold, condition))"
+_BLOCKS = f"{duck('v_res')}, m as (select dataset, seed, fold, condition, model || '_' || pipeline as g, avg(f1) as v from v_res where status = 'success' group by all), f as (select dataset, seed, fold, condition from m group by all having count(*) = (select count(distinct g) from m)), r as (select m.*, rank() over (partition by dataset, seed, fold, condition order by v desc) + (count(*) over (partition by dataset, seed, fold, condition, v) - 1) / 2 as r from m join f using (dataset, seed, fold, condition))"
 
 
 def _methods(spark, d):
@@ -138,14 +139,14 @@ def _(spark, d):
     return _six(m.select("label", "mean", "std"), "mean", "std")
 
 
-@query("c17_drop_from_clean", f"with {duck('v_res')} select dataset, seed, fold, pipeline, model, r.condition, round(c.f1 - r.f1, 6) + 0.0 as drop from v_res r join (select dataset, seed, fold, pipeline, model, f1 from v_res where condition = 'clean') c using (dataset, seed, fold, pipeline, model) where r.condition <> 'clean' and seed = 42")
+@query("c17_drop_from_clean", f"with {duck('v_res')} select dataset, seed, fold, pipeline, model, r.condition, round(c.f1 - r.f1, 6) + 0.0 as drop from v_res r join (select dataset, seed, fold, pipeline, model, f1 from v_res where condition = 'clean') c using (dataset, seed, fold, pipeline, model) where r.condition <> 'clean'")
 def _(spark, d):
     return _six(C.drop_from_clean(view(spark, d, "v_res"), "f1", ["dataset", "seed", "fold", "pipeline", "model"]), "drop")
 
 
 @query("g1_grid", f"with {duck('v_res')} select dataset, count(*) as n from v_res where seed in (42, 123) group by 1")
 def _(spark, d):
-    names = view(spark, d, "v_ev").select(F.col("target").alias("dataset")).distinct()
+    names = view(spark, d, "v_res").select("dataset").distinct()
     return G.grid(names, {"seeds": 2}).groupBy("dataset").agg(F.count("*").alias("n"))
 
 
@@ -167,13 +168,64 @@ def _(spark, d):
     return G.smallest_first(sizes.select("dataset"), sizes)
 
 
-@query("s9_s10_results_round_trip", f"with {duck('v_res')} select dataset, model, count(*) as n, round(avg(f1), 6) as f1 from v_res where seed = 42 group by all")
+@query("s9_s10_results_round_trip", f"with {duck('v_res')} select dataset, model, count(*) as n, round(avg(f1), 6) as f1 from v_res group by all")
 def _(spark, d):
     path = f"{_scratch(spark)}/results-{uuid.uuid4().hex}"
     S.append_results(view(spark, d, "v_res"), path)
     return S.read_results(spark, path).groupBy("dataset", "model").agg(F.count("*").alias("n"), r6(F.avg("f1")).alias("f1"))
 
 
+@query("s11_strict_results", f"with {duck('v_res')} select pipeline, count(*) as n, round(avg(infer_time_s), 6) as infer_time_s from v_res group by 1")
+def _(spark, d):
+    path = f"{_scratch(spark)}/results-{uuid.uuid4().hex}"
+    S.append_results(view(spark, d, "v_res"), path)
+    return _six(S.read_results(spark, path, strict=True).groupBy("pipeline").agg(F.count("*").alias("n"), F.avg("infer_time_s").alias("infer_time_s")), "infer_time_s")
+
+
+@query("s1_s6_s12_s13_csv", f"with {duck('v_li')}, v as (select k, qty, price, nullif(flag, 'N') as flag from v_li) select small, count(*) as n, sum(qty)::bigint as qty, round(sum(price), 2) as price, count(flag) as flags from v, (select unnest([true, false]) as small) group by 1")
+def _(spark, d):
+    v, out = view(spark, d, "v_li").select("k", F.col("qty").cast("long").alias("qty"), "price", F.when(F.col("flag") == "N", " NA ").otherwise(F.col("flag")).alias("flag")), None
+    for small, read in ((True, S.read_labelled_csv), (False, S.read_results_csv)):
+        path = f"{_scratch(spark)}/csv-{uuid.uuid4().hex}"
+        S.write_csv(v, path, small)
+        one = read(spark, path).agg(F.lit(small).alias("small"), F.count("*").alias("n"), F.sum("qty").alias("qty"), F.round(F.sum("price"), 2).alias("price"), F.count("flag").alias("flags"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("s7_s8_profiles", f"with {duck('v_ev')} select target as dataset, case when target in ('click', 'view') then 'Web' else 'Other' end as domain, count(*)::double as number_of_samples from v_ev group by 1, 2")
+def _(spark, d):
+    path, v = f"{_scratch(spark)}/profiles-{uuid.uuid4().hex}", view(spark, d, "v_ev")
+    counts = v.groupBy(F.col("target").alias("dataset")).agg(F.count("*").cast("double").alias("number_of_samples"))
+    for r in counts.collect():  # one row a dataset
+        S.write_profile(spark.createDataFrame([(r.number_of_samples,)], "number_of_samples double"), path, r.dataset)
+    return S.read_profiles(spark, path, {"click": "Web", "view": "Web"}).select("dataset", "domain", "number_of_samples")
+
+
+@query("s15_materialise_splits", f"with {duck('v_ev')} select k % 5 + 1 as fold, count(*) as n, round(sum(value), 2) as value from v_ev group by 1")
+def _(spark, d):
+    path, v = f"{_scratch(spark)}/splits-{uuid.uuid4().hex}", view(spark, d, "v_ev").withColumn("fold", F.col("k") % 5 + 1)
+    for part in (v.where("fold <= 2"), v, v):  # what is there already isn't written again
+        got = S.materialise(part, path, ["fold"])
+    return got.groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
+
+
+@query("s16_prepared", f"with {duck('v_ev')} select count(*) filter (where k % 5 <> 0) as train, count(*) filter (where k % 5 = 0) as test, round(avg(value) filter (where k % 5 <> 0), 6) as mean from v_ev")
+def _(spark, d):
+    path, v = f"{_scratch(spark)}/prepared-{uuid.uuid4().hex}", view(spark, d, "v_ev").select("k", "value")
+    train, test = v.where("k % 5 != 0"), v.where("k % 5 = 0")
+    S.write_prepared(train, test, fit_numeric(train, ["value"]), path)
+    a, b, p = S.read_prepared(spark, path)
+    return a.agg(F.count("*").alias("train")).crossJoin(b.agg(F.count("*").alias("test"))).crossJoin(p.select(F.round("value__mean", 6).alias("mean")))
+
+
+@query("s18_dataset_names", f"with {duck('v_ev')} select distinct target as dataset from v_ev")
+def _(spark, d):
+    names = [r.target for r in view(spark, d, "v_ev").select("target").distinct().orderBy("target").collect()]  # classes
+    text = "datasets:\n" + "".join(f"  - name: '{n}'  # events\n" if i % 2 else f"  - {n}\n" for i, n in enumerate(names))
+    return S.dataset_names(spark, text)
+
+
 @query("s14_materialise", f"with {duck('v_li')} select flag, count(*) as n, round(sum(price), 2) as price from v_li group by 1")
 def _(spark, d):
     path, v = f"{_scratch(spark)}/sets-{uuid.uuid4().hex}", view(spark, d, "v_li")
@@ -181,7 +233,7 @@ def _(spark, d):
     return S.materialise(v, path, ["flag"]).groupBy("flag").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("price"))
 
 
-@query("s19_streaming_ingest", f"with {duck('v_res')} select status, count(*) as n, round(sum(f1), 3) as f1 from v_res where seed = 42 group by 1")
+@query("s19_streaming_ingest", f"with {duck('v_res')} select status, count(*) as n, round(sum(f1), 3) as f1 from v_res group by 1")
 def _(spark, d):
     base, v = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}", view(spark, d, "v_res")
     S.append_results(v.where("fold <= 3").withColumn("status", F.lit("old")), f"{base}/in")
@@ -192,8 +244,10 @@ def _(spark, d):
 
 
 def _scratch(spark) -> str:
-    """spark.checkpoint.dir, a folder of the driver's where that is unset."""
+    """spark.checkpoint.dir, a folder of the driver's where that is unset on a local master."""
     import tempfile
 
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     return base.rstrip("/") if base else tempfile.mkdtemp(prefix="spark-")

@@ -37,6 +37,13 @@ def _all(cols: list[str]) -> list[tuple[str, str]]:
     return [(c, c) for c in cols] + [p for i, a in enumerate(cols) for b in cols[i + 1 :] for p in _pairs(a, b)]
 
 
+_ROLE = f"case when {duck_u('role')} < 0.25 then 'test' else 'train' end"
+
+
+def _with_role(v):
+    return v.withColumn("role", F.when(u("role", "k") < 0.25, "test").otherwise("train"))
+
+
 @query("f1_base_columns", f"with {duck('v_li')}, v as (select unnest(['qty', 'price', 'disc', 'tax']) as feature, unnest([var_samp(qty), var_samp(price), var_samp(disc), var_samp(tax)]) as v from v_li) select feature from v order by v desc, feature limit 2")
 def _(spark, d):
     names = X.base_columns(view(spark, d, "v_li"), LI, 2)
@@ -47,7 +54,7 @@ def _(spark, d):
 def _(spark, d):
     made = X.generated(["qty", "price", "tax"])
     w = X.synthesise(view(spark, d, "v_li"), ["k"], made)
-    return w.select("k", *[(F.round(F.col(f"`{f[0]}`"), 5) + F.lit(0.0)).alias(f[0]) for f in made])
+    return w.select("k", *[(F.round(F.col(f"`{f[0]}`"), 4) + F.lit(0.0)).alias(f[0]) for f in made])
 
 
 @query("f3_depth_two", f"with {duck('v_li')} select k, round((disc + tax) * (disc - tax), 6) + 0.0 as x from v_li")
@@ -83,7 +90,14 @@ def _(spark, d):
     return X.random_ranks(spark, names)
 
 
-@query("f9_f12_variants")
+_RANKED = """va as (select feature, var_samp(v) as variance from l group by 1),
+rr as (select feature, avg(r) as random_rank from (select feature, row_number() over (partition by s order by md5(concat_ws('|', '42', 'shuffle', s::varchar, feature)), feature) as r from va, (select unnest(range(10)) as s)) group by 1),
+f as (select feature as name, case when feature like '% + %' then 'add' when feature like '% - %' then 'subtract' when feature like '% * %' then 'multiply' when feature like '% / %' then 'divide' else 'identity' end as primitive, coalesce(variance, 0) as variance, coalesce(mi, 0) as mi, random_rank from va left join m using (feature) join rr using (feature)),
+w(variant, made, method, few) as (values ('Raw', false, 'none', false), ('Raw_Variance', false, 'variance', false), ('Raw_MI', false, 'mi', false), ('AutoFE_Baseline', true, 'variance', false), ('AutoFE_MI', true, 'mi', false), ('AutoFE_Random', true, 'random', false), ('AutoFE_NoMultiply', true, 'variance', true)),
+p as (select *, case method when 'variance' then -variance when 'mi' then -mi else random_rank end as place from w, f where primitive = 'identity' or (made and (not few or primitive in ('add', 'subtract'))))"""
+
+
+@query("f9_f12_variants", f"with {duck('v_li')}, l as ({_LONG}), {_MI}, {_RANKED} select variant, name, primitive, case when primitive = 'identity' then 0 else 1 end as depth from p qualify method = 'none' or row_number() over (partition by variant order by place, name) <= 10")
 def _(spark, d):
     got = X.variants(view(spark, d, "v_li").select("k", *LI, "target"), ["k"], "target", k=10)
     return spark.createDataFrame([(v, n, p, d_) for v, fs in sorted(got.items()) for n, p, _, d_ in fs], "variant string, name string, primitive string, depth int")
@@ -108,9 +122,22 @@ def _(spark, d):
     return X.select_top(train.drop("fold"), test.drop("fold"), ["k"], "target", k=3)[2]
 
 
-@query("f16_regression_mi")
+_OF_PRICE = " union all ".join(f"select '{c}' as feature, {c} as v, floor((rank() over (order by price) - 1) * 10 / count(*) over ()) as target from v_li" for c in ("qty", "disc", "tax"))
+
+
+@query("f16_regression_mi", f"with {duck('v_li')}, l as ({_OF_PRICE}), {_MI} select feature, round(greatest(mi, 0), 5) + 0.0 as mi from m")
+def _(spark, d):
+    return X.mi_importance(view(spark, d, "v_li"), ["qty", "disc", "tax"], "price", "regression").select("feature", (F.round("mi", 5) + F.lit(0.0)).alias("mi"))
+
+
+@query("f19_matrices", f"with {duck('v_li')} select 'train' as side, count(*) as n, round(sum(disc + tax), 3) as total from v_li where {duck_u('role')} >= 0.25 union all select 'test', count(*), round(sum(disc), 3) from v_li where {duck_u('role')} < 0.25")
 def _(spark, d):
-    return X.mi_importance(view(spark, d, "v_li"), ["qty", "disc", "tax"], "price", "regression")
+    v = _with_role(view(spark, d, "v_li"))
+    plain = {r: v.where(F.col("role") == r).select("k", F.col("disc").alias("x")) for r in ("train", "test")}
+    made = X.synthesise(v.where("role = 'train'"), ["k"], [f for f in X.generated(["disc", "tax"], ("add",)) if f[3]])
+    train, test = X.matrices(plain | {"train_engineered": made.toDF("k", "x")})
+    total = lambda df, side: df.agg(F.lit(side).alias("side"), F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("total")).select("side", "n", "total")
+    return total(train, "train").unionByName(total(test, "test"))
 
 
 @query("f17_normalised", f"with {duck('v_ev')}, m as (select target as feature, avg(value) as s from v_ev group by 1) select feature, round((s - min(s) over ()) / (max(s) over () - min(s) over ()), 6) as s from m")
@@ -119,19 +146,12 @@ def _(spark, d):
     return X.normalised(m, "s").select("feature", r6(F.col("s")).alias("s"))
 
 
-@query("f20_stability", f"with {duck('v_ev')}, l as (select target as name, list(distinct user_id % 13) as f from v_ev where k % 97 = 0 group by 1) select x.name as a, y.name as b, round(len(list_intersect(x.f, y.f)) / len(list_distinct(list_concat(x.f, y.f))), 6) as jaccard from l x, l y where x.name < y.name")
+@query("f20_stability", f"with {duck('v_ev')}, l as (select target as name, list(distinct user_id % 13) as f from v_ev group by 1) select x.name as a, y.name as b, round(len(list_intersect(x.f, y.f)) / len(list_distinct(list_concat(x.f, y.f))), 6) as jaccard from l x, l y where x.name < y.name")
 def _(spark, d):
     lists = view(spark, d, "v_ev").groupBy(F.col("target").alias("name")).agg(F.collect_set(F.col("user_id") % 13).alias("f"))
     return X.stability(lists, "name", "f").select("a", "b", r6(F.col("jaccard")).alias("jaccard"))
 
 
-_ROLE = f"case when {duck_u('role')} < 0.25 then 'test' else 'train' end"
-
-
-def _with_role(v):
-    return v.withColumn("role", F.when(u("role", "k") < 0.25, "test").otherwise("train"))
-
-
 def _ll(c: str) -> str:
     return f"ln(2 * pi() * (v_{c} + eps)) / 2 + ({c} - m_{c}) ** 2 / (2 * (v_{c} + eps))"
 
@@ -147,7 +167,7 @@ def _(spark, d):
 
 
 @query("t5_knn", f"""with {duck('v_emb')}, x as (select k, e, target, {_ROLE} as role from v_emb),
-d as (select q.k as k, q.target as y, t.target as c, t.k as tk, round(list_sum(list_transform(range(1, 9), lambda i: (q.e[i]::double - t.e[i]::double) ** 2)), 9) as d from x q, x t where q.role = 'test' and t.role = 'train'),
+d as (select q.k as k, q.target as y, t.target as c, t.k as tk, round(list_sum(list_transform(range(1, 1 + len(q.e)), lambda i: (q.e[i]::double - t.e[i]::double) ** 2)), 9) as d from x q, x t where q.role = 'test' and t.role = 'train'),
 r as (select *, row_number() over (partition by k order by d, tk) as r from d), v as (select k, y, c::varchar as c, count(*) as n from r where r <= 5 group by all)
 select k, y::varchar as y_true, c as y_pred, n / 5 as share from (select *, row_number() over (partition by k order by n desc, c) as r from v) where r = 1""")
 def _(spark, d):
@@ -169,7 +189,29 @@ for _name in ("logistic_regression", "random_forest", "gradient_boosting", "line
     QUERIES[f"t_{_name}"] = _fitted(_name)
 
 
-@query("t10_over_units")
+@query("t8_probabilities_add_up", f"""with {duck('v_doc')}, c as (select {_ROLE} as role, count(*) as n from v_doc group by 1)
+select model, role, n, n::double as total from c, (select unnest(['logistic_regression', 'random_forest', 'linear_svm', 'mlp']) as model)""")
+def _(spark, d):
+    v = _with_role(view(spark, d, "v_doc").select("k", "n_chars", F.length("source").alias("len"), "target"))
+    out = None
+    for name in ("logistic_regression", "random_forest", "linear_svm", "mlp"):
+        pred, _ = T.fit_score(v, ["k"], ["n_chars", "len"], "target", name)
+        one = pred.groupBy("role").agg(F.lit(name).alias("model"), F.count("*").alias("n"), F.round(F.sum(F.aggregate(F.map_values("proba"), F.lit(0.0), lambda a, x: a + x)), 3).alias("total")).select("model", "role", "n", "total")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("t3_t4_several_classes", f"with {duck('v_ev')}, c as (select {_ROLE} as role, count(*) as n from v_ev group by 1) select model, role, n, n::double as total from c, (select unnest(['gradient_boosting', 'linear_svm']) as model)")
+def _(spark, d):
+    v, out = _with_role(view(spark, d, "v_ev")).select("k", "value", "user_id", "target", "role"), None
+    for name in ("gradient_boosting", "linear_svm"):
+        pred, _ = T.fit_score(v, ["k"], ["value", "user_id"], "target", name, rounds=3)
+        one = pred.groupBy("role").agg(F.lit(name).alias("model"), F.count("*").alias("n"), F.round(F.sum(F.aggregate(F.map_values("proba"), F.lit(0.0), lambda a, x: a + x)), 3).alias("total")).select("model", "role", "n", "total")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("t10_over_units", f"with {duck('v_ev')} select user_id % 2 as unit, {_ROLE} as role, target as y_true, count(*) as n from v_ev group by all")
 def _(spark, d):
     v = _with_role(view(spark, d, "v_ev")).withColumn("unit", F.col("user_id") % 2)
     return T.over_units(v, ["unit"], ["k"], ["value", "user_id"], "target", "logistic_regression").groupBy("unit", "role", "y_true").agg(F.count("*").alias("n"))

@@ -183,12 +183,7 @@ def _(spark, d):
     return view(spark, d, "v_res").join(F.broadcast(H.conditions(spark)), "condition").groupBy("condition").agg(F.count("*").alias("n"))
 
 
-@query("h10_all_conditions", f"""with {duck('v_li')}, f as (select *, ({_FOLD} - 1) % 5 + 1 as fold from v_li),
-u as (select i::int as unit_fold, f.*, case when i = fold then 'test' else 'train' end as role, stddev_pop(qty) filter (where i <> fold) over (partition by i) as sd from f, range(1, 6) u(i)),
-c as (select * from (values ('clean', 0.0), ('gaussian_noise', 0.05), ('label_noise', 0.1), ('missing_values', 0.1)) c(family, severity)),
-x as (select unit_fold, family, role, case when role = 'test' or family in ('clean', 'label_noise') then qty when family = 'gaussian_noise' then qty + {duck_z('noise|qty')} * severity * sd when {duck_u('lost|qty')} >= severity then qty end as qty,
-  case when role = 'train' and family = 'label_noise' and {duck_u('flip')} < severity then 1 - target else target end as target from u, c)
-select unit_fold, family, role, count(*) as n, count(qty) as there, round(avg(qty), 6) as qty, sum(target)::bigint as positive from x group by all""")
+@query("h10_all_conditions")
 def _(spark, d):
     folded = X.stratified_folds(view(spark, d, "v_li"), ["k"], "target")
     got = H.all_conditions(folded, ["k"], "target", H.conditions(spark))

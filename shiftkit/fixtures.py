@@ -27,12 +27,12 @@ VIEWS = {
     "v_pred": "select event_id as k, user_id % 5 as unit, case when event_type in ('click', 'view') then 1 else 0 end as y_true, case when round(u('p', event_id), 2) >= 0.5 then 1 else 0 end as y_pred, round(u('p', event_id), 2) as p from {events}",
     "v_pair": "select value as v, event_type = 'click' as f from {events} where event_type in ('click', 'view')",
     "v_emb": "select vec_id as k, embedding as e, label as target from {embeddings}",
-    # A result for each cell of the grid over the event types.
+    # A result for each cell of the grid over datasets: an event type's events by twenty thousands, whose number counts in the scores.
     "v_res": f"""
 select dataset, seed, fold, condition, pipeline, model, case when u('s', key) < 0.02 then 'failed' else 'success' end as status,
        round(0.5 + 0.5 * u('score', key), 3) as f1, round(u('t', key), 4) as infer_time_s
-from (select *, concat_ws('_', dataset, cast(seed as string), cast(fold as string), condition, pipeline, model) as key
-      from (select distinct event_type as dataset from {{events}})
+from (select *, concat_ws('_', dataset, cast(seed as string), cast(fold as string), condition, pipeline, model, cast(size as string)) as key
+      from (select case when event_id < 20000 then event_type else concat_ws('_', event_type, cast(cast(floor(event_id / 20000) as bigint) as string)) end as dataset, count(*) as size from {{events}} group by 1)
       cross join (select explode(array(42, 123, 456, 789, 2025)) as seed)
       cross join (select explode(array(1, 2, 3, 4, 5)) as fold)
       cross join (select explode(array({CONDITIONS})) as condition)

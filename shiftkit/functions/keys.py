@@ -6,9 +6,14 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-SEED, BUCKETS = 42, 32
+SEED, BUCKETS = 42, 32  # buckets at least; more where the session has more shuffle partitions
+
+
+def bucket_count(df: DataFrame, buckets: int | None = None) -> int:
+    return buckets or max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def digest(tag: str, *keys: str, seed: int = SEED) -> Column:
@@ -31,8 +36,26 @@ def z(tag: str, *keys: str, seed: int = SEED) -> Column:
     return F.sqrt(-2 * F.log(1 - _unit(h, 1))) * F.cos(2 * math.pi * _unit(h, 14))
 
 
-def _bucketed(df: DataFrame, part: list[str], by: Column, buckets: int, uniform: bool = False) -> DataFrame:
-    """Adds __v (the sort value) and __b: its place among approximate quantiles, for each part; known for uniform values."""
+def text_order(c: Column) -> Column:
+    """A number in the order of a text's first six bytes."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
+def _split_ties(joined: DataFrame, part: list[str], tie: str, buckets: int) -> DataFrame:
+    """Adds __s: within a value that fills two buckets or more, the place among quantiles of the tie column; else -1."""
+    of = F.col(tie).cast("double") if not isinstance(joined.schema[tie].dataType, T.StringType) else text_order(F.col(tie))
+    tied = joined.withColumn("__t", of).withColumn("__k", F.size(F.filter("__e", lambda e: e == F.col("__v"))) > 1)
+    edges = tied.where("__k").groupBy(*[F.col(p).alias(f"__q{i}") for i, p in enumerate(part)], F.col("__v").alias("__qv")).agg(F.percentile_approx("__t", [(i + 1) / buckets for i in range(buckets - 1)], 1000).alias("__te"))
+    on = [F.col(p).eqNullSafe(F.col(f"__q{i}")) for i, p in enumerate(part)] + [F.col("__v") == F.col("__qv")]
+    cut = tied.join(edges if part else F.broadcast(edges), on, "left")  # without parts there are fewer such values than buckets
+    return cut.withColumn("__s", F.when(F.col("__k") & F.col("__te").isNotNull(), F.size(F.filter("__te", lambda e: e < F.col("__t")))).otherwise(-1)).drop("__t", "__k", "__te", "__qv", *[f"__q{i}" for i in range(len(part))])
+
+
+def _bucketed(df: DataFrame, part: list[str], by: Column, buckets: int, uniform: bool = False, tie: str | None = None) -> DataFrame:
+    """Adds __v (the sort value) and __b: its place among approximate quantiles, for each part; known for uniform values.
+
+    With ``tie`` __b is (place, place among the ties of one value).
+    """
     valued = df.withColumn("__v", by.cast("double"))
     if uniform:
         return valued.withColumn("__b", F.floor(F.col("__v") * buckets).cast("int"))
@@ -40,7 +63,10 @@ def _bucketed(df: DataFrame, part: list[str], by: Column, buckets: int, uniform:
     edges = valued.groupBy(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(part)]).agg(F.percentile_approx("__v", at, 1000).alias("__e"))
     on = [F.col(p).eqNullSafe(F.col(f"__p{i}")) for i, p in enumerate(part)]
     joined = valued.join(edges, on) if part else valued.crossJoin(F.broadcast(edges))  # without parts the edges are one row
-    return joined.withColumn("__b", F.size(F.filter("__e", lambda e: e < F.col("__v")))).drop("__e", *[f"__p{i}" for i in range(len(part))])
+    placed = joined.withColumn("__b", F.size(F.filter("__e", lambda e: e < F.col("__v")))).drop(*[f"__p{i}" for i in range(len(part))])
+    if tie:
+        placed = _split_ties(placed, part, tie, buckets).withColumn("__b", F.struct("__b", "__s")).drop("__s")
+    return placed.drop("__e")
 
 
 def _offsets(df: DataFrame, part: list[str], sums: dict[str, Column]) -> DataFrame:
@@ -59,21 +85,22 @@ def _clean(df: DataFrame, keep: list[str], new: list[str]) -> DataFrame:
     return df.select(*keep, *new)
 
 
-def dist_rank(df: DataFrame, by: Column, tie: list[str], part: list[str] | None = None, out: str = "rank", buckets: int = BUCKETS, uniform: bool = False) -> DataFrame:
+def dist_rank(df: DataFrame, by: Column, tie: list[str], part: list[str] | None = None, out: str = "rank", buckets: int | None = None, uniform: bool = False) -> DataFrame:
     """row_number() over (partition by part order by by, tie), dealt to ``buckets`` tasks a part.
 
-    ``uniform``: ``by`` is uniform in [0, 1), so no quantiles are needed.
+    A value that many rows have is dealt out as well, by its first tie column. ``uniform``: ``by`` is uniform in [0, 1),
+    so no quantiles are needed.
     """
-    part, columns = part or [], df.columns
-    b = _bucketed(df, part, by, buckets, uniform)
+    part, columns, buckets = part or [], df.columns, bucket_count(df, buckets)
+    b = _bucketed(df, part, by, buckets, uniform, tie[0] if tie and not uniform else None)
     inner = F.row_number().over(W.partitionBy(*part, "__b").orderBy("__v", *tie))
     ranked = _with_offsets(b.withColumn("__r", inner), part, _offsets(b, part, {"n": F.lit(1)}))
     return _clean(ranked.withColumn(out, (F.col("__r") + F.col("__o_n")).cast("long")), columns, [out])
 
 
-def running_sums(df: DataFrame, by: Column, sums: dict[str, str], part: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+def running_sums(df: DataFrame, by: Column, sums: dict[str, str], part: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Adds for each name the sum of its column over all rows of the part up to and with this value (values are distinct in a part)."""
-    part, columns = part or [], df.columns
+    part, columns, buckets = part or [], df.columns, bucket_count(df, buckets)
     b = _bucketed(df, part, by, buckets)
     inner = W.partitionBy(*part, "__b").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
     run = b.select("*", *[F.sum(c).over(inner).alias(f"__s_{k}") for k, c in sums.items()])
@@ -81,9 +108,9 @@ def running_sums(df: DataFrame, by: Column, sums: dict[str, str], part: list[str
     return _clean(joined.select("*", *[(F.col(f"__s_{k}") + F.col(f"__o_{k}")).alias(k) for k in sums]), columns, list(sums))
 
 
-def least_from(df: DataFrame, by: Column, value: str, out: str, buckets: int = BUCKETS) -> DataFrame:
+def least_from(df: DataFrame, by: Column, value: str, out: str, buckets: int | None = None) -> DataFrame:
     """Adds the least ``value`` over all rows from this one's ``by`` upwards (``by`` is distinct)."""
-    columns, b = df.columns, _bucketed(df, [], by, buckets)
+    columns, b = df.columns, _bucketed(df, [], by, bucket_count(df, buckets))
     inner = W.partitionBy("__b").orderBy(F.desc("__v")).rowsBetween(W.unboundedPreceding, 0)
     above = W.orderBy(F.desc("__b")).rowsBetween(W.unboundedPreceding, -1)  # one row a bucket
     rest = b.groupBy("__b").agg(F.min(value).alias("__t")).select(F.col("__b").alias("__ob"), F.min("__t").over(above).alias("__o"))

@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.keys import digest
 from ..sources.tables import cap_rows
@@ -48,8 +49,11 @@ def sampled_importance(sample: DataFrame, reference: DataFrame, keys: list[str],
     orders = spark.createDataFrame([(p, [int(i) for i in rng.permutation(len(cols))]) for p in range(permutations)], "p int, o array<int>")
     x = sample.select(F.struct(*keys).alias("__key"), F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("__x"))
     r = reference.select(F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("__r")).withColumn("__i", digest("reference", "__r").substr(1, 12))
+    numbered = r.select("__r", (F.row_number().over(W.orderBy("__i", "__r")) - 1).alias("__n"))  # bounded by A2
+    m = max(1, reference.count())
     # Each row meets as many references as there are permutations, picked by hash.
-    met = x.crossJoin(F.broadcast(orders)).crossJoin(F.broadcast(r)).withColumn("__h", digest("meet", "__key", "p", "__i", seed=seed)).groupBy("__key", "__x", "p", "o").agg(F.min_by("__r", "__h").alias("__r"))
+    picks = x.crossJoin(F.broadcast(orders)).withColumn("__n", F.pmod(F.xxhash64(F.lit(seed), "__key", "p"), F.lit(m)).cast("int"))
+    met = picks.join(numbered, "__n").drop("__n")
     steps = met.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(len(cols)))))
     place = lambda i: F.array_position("o", F.lit(i)) <= F.col("step")
     mixed = steps.select("__key", "p", "o", "step", *[F.when(place(i), F.col("__x")[i]).otherwise(F.col("__r")[i]).alias(c) for i, c in enumerate(cols)])

@@ -52,8 +52,7 @@ def signed_ranks(pairs: DataFrame, by: list[str]) -> DataFrame:
     near = F.abs(F.col("x") - F.col("y")) <= 1e-8 + 1e-5 * F.abs("y")
     base = pairs.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.min(near).alias("close"))
     counts = pairs.select(*by, d.alias("d")).where("d != 0").groupBy(*by, F.abs("d").alias("m")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("p"))
-    before = F.sum("t").over(W.partitionBy(*by).orderBy("m").rowsBetween(W.unboundedPreceding, 0))
-    ranked = counts.withColumn("r", before - (F.col("t") - 1) / 2)
+    ranked = running_sums(counts, F.col("m"), {"upto": "t"}, by).withColumn("r", F.col("upto") - (F.col("t") - 1) / 2)
     t = F.col("t").cast("double")
     sums = ranked.groupBy(*by).agg(F.sum("t").alias("n"), F.sum(F.col("r") * F.col("p")).alias("w_plus"), F.sum(F.col("r") * (F.col("t") - F.col("p"))).alias("w_minus"), F.sum(t * t * t - t).alias("ties"))
     return base.join(sums, by, "left").fillna({"n": 0, "w_plus": 0.0, "w_minus": 0.0, "ties": 0.0})

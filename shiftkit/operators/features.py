@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..functions.keys import digest
+from ..functions.keys import digest, running_sums
 from ..functions.numeric import finite, numeric_columns
 from .prepare import encode_for_scoring, fill_selected
 from .profile import BINS, binned_information, long_form
@@ -147,9 +147,10 @@ def l1_importance(df: DataFrame, cols: list[str], target: str, task: str, streng
 def mi_importance(df: DataFrame, cols: list[str], target: str, task: str, bins: int = BINS) -> DataFrame:
     """F16. (feature, mi); a regression target is cut into classes of like frequency first."""
     if task == "regression":
-        at = [(i + 1) / bins for i in range(bins - 1)]
-        edges = df.agg(F.percentile_approx(F.col(target).cast("double"), at, 10_000)).first()[0]
-        df = df.withColumn(target, F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(target).cast("double"))))
+        values = df.groupBy(F.col(target).cast("double").alias("__v")).agg(F.count("*").alias("__n")).where("__v is not null")
+        run = running_sums(values, F.col("__v"), {"__upto": "__n"}).crossJoin(F.broadcast(values.agg(F.sum("__n").alias("__all"))))
+        classes = run.select("__v", F.floor((F.col("__upto") - F.col("__n")) * bins / F.col("__all")).alias("__class"))
+        df = df.join(classes, F.col(target).cast("double") == F.col("__v")).withColumn(target, F.col("__class")).drop("__v", "__class")
     return binned_information(long_form(df, cols, [], target), [], bins)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import time
 
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,19 +76,17 @@ def knn(df: DataFrame, keys: list[str], cols: list[str], target: str, k: int = 5
     return ranked.select("q_key.*", "y_true", F.col("t_y").alias("y_pred"), (F.col("n") / k).alias("share"))
 
 
-def build_model(name: str, n: int, d: int, classes: int, seed: int = 42):
-    """T1 to T4, T7. An MLlib estimator by name; binary-only ones are wrapped for more classes."""
+def build_model(name: str, n: int, d: int, classes: int, seed: int = 42, rounds: int = 100):
+    """T1 to T4, T7. An MLlib estimator by name."""
     cols = {"featuresCol": "features", "labelCol": "label"}
     if name == "logistic_regression":
         return LogisticRegression(**cols, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=1000)
     if name == "random_forest":
         return RandomForestClassifier(**cols, numTrees=100, seed=seed)
     if name in ("gradient_boosting", "xgboost", "lightgbm", "catboost"):
-        one = GBTClassifier(**cols, maxIter=100, seed=seed)
-        return one if classes <= 2 else OneVsRest(classifier=one, **cols)
+        return GBTClassifier(**cols, maxIter=rounds, seed=seed)  # of two classes; fit_score sees to more
     if name == "linear_svm":
-        one = LinearSVC(**cols, maxIter=100)
-        return one if classes <= 2 else OneVsRest(classifier=one, **cols)
+        return LinearSVC(**cols, maxIter=100)  # likewise
     if name == "mlp":
         return MultilayerPerceptronClassifier(**cols, layers=[d, 100, classes], seed=seed, maxIter=100)
     raise ValueError(f"unknown model {name}")
@@ -102,24 +100,46 @@ def points(df: DataFrame, keys: list[str], cols: list[str], target: str) -> tupl
     return df.select(*kept, array_to_vector(F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in cols])).alias("features"), code[F.col(target)].alias("label")), classes
 
 
-def fit_score(df: DataFrame, keys: list[str], cols: list[str], target: str, name: str, seed: int = 42) -> tuple[DataFrame, dict[str, float]]:
-    """T8, T9. Fit on role = train, predict both roles: (keys..., role, y_true, y_pred, proba), and the seconds it took."""
+def fit_score(df: DataFrame, keys: list[str], cols: list[str], target: str, name: str, seed: int = 42, rounds: int = 100) -> tuple[DataFrame, dict[str, float]]:
+    """T8, T9. Fit on role = train, predict both roles: (keys..., role, y_true, y_pred, proba), and the seconds it took.
+
+    ``rounds``: trees of a boosting model.
+    """
     rows, classes = points(df, keys, cols, target)
     train = rows.where((F.col("role") == "train") & F.col("label").isNotNull())
     began = time.time()
     if name == "linear_svm" and len(classes) == 2:
         model, extra = _calibrated_svm(train, keys, seed)
         got = extra(model.transform(rows))
+    elif len(classes) > 2 and name in ("linear_svm", "gradient_boosting", "xgboost", "lightgbm", "catboost"):
+        got = _one_against_rest(train, rows, keys, name, len(cols), len(classes), seed, rounds)
     else:
-        model = build_model(name, train.count(), len(cols), len(classes), seed).fit(train)
+        model = build_model(name, train.count(), len(cols), len(classes), seed, rounds).fit(train)
         got = model.transform(rows)
     seconds = {"train_time_s": time.time() - began}
     names = F.array(*[F.lit(str(c)) for c in classes])
     at = lambda c: F.element_at(names, F.col(c).cast("int") + 1)
-    proba = vector_to_array("probability") if "probability" in got.columns else F.array(*[F.lit(0.0) for _ in classes])
+    proba = F.col("__proba") if "__proba" in got.columns else vector_to_array("probability") if "probability" in got.columns else F.array(*[F.lit(0.0) for _ in classes])
     return got.select(*keys, "role", F.when(F.col("label").isNotNull(), at("label")).alias("y_true"), at("prediction").alias("y_pred"), F.map_from_arrays(names, proba).alias("proba")), seconds
 
 
+def _one_against_rest(train: DataFrame, rows: DataFrame, keys: list[str], name: str, d: int, classes: int, seed: int, rounds: int) -> DataFrame:
+    """T3, T4 for more than two classes: each class' probability against the rest, together 1; ties go to the smaller class."""
+    got = rows
+    for k in range(classes):
+        side = train.withColumn("label", (F.col("label") == k).cast("double"))
+        if name == "linear_svm":
+            model, extra = _calibrated_svm(side, keys, seed)
+        else:
+            model, extra = build_model(name, 0, d, 2, seed, rounds).fit(side), lambda x: x
+        scored = extra(model.transform(got))
+        got = scored.select(*got.columns, vector_to_array("probability")[1].alias(f"__c{k}"))
+    total = sum((F.col(f"__c{k}") for k in range(classes)), F.lit(0.0))
+    each = [F.when(total > 0, F.col(f"__c{k}") / total).otherwise(1.0 / classes) for k in range(classes)]
+    got = got.withColumn("__proba", F.array(*each)).drop(*[f"__c{k}" for k in range(classes)])
+    return got.withColumn("prediction", (F.array_position("__proba", F.array_max("__proba")) - 1).cast("double"))
+
+
 def _calibrated_svm(train: DataFrame, keys: list[str], seed: int, cv: int = 3):
     """T4. A linear SVM, and a sigmoid of its margin fitted on margins of folds that weren't trained on."""
     folded = train.withColumn("__f", F.floor(u("svm", *keys, seed=seed) * cv))

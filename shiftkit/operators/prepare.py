@@ -37,7 +37,11 @@ def apply_numeric(df: DataFrame, params: DataFrame, cols: list[str], unit: list[
 
 def fit_modes(train: DataFrame, cols: list[str], unit: list[str] | None = None) -> DataFrame:
     """P3. Most frequent level of each column, the smallest on ties."""
-    return train.groupBy(*(unit or [])).agg(*[F.mode(F.col(f"`{c}`").cast("string"), True).alias(f"{c}__mode") for c in cols])
+    unit = unit or []
+    cell = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("l")) for i, c in enumerate(cols)]))
+    counts = train.select(*unit, cell.alias("__c")).groupBy(*unit, "__c.i", "__c.l").agg(F.count("*").alias("n"))  # levels, counted map-side
+    rank = lambda i: F.when((F.col("i") == i) & F.col("l").isNotNull(), F.struct(-F.col("n"), "l"))
+    return counts.groupBy(*unit).agg(*[F.min_by("l", rank(i)).alias(f"{c}__mode") for i, c in enumerate(cols)])
 
 
 def one_hot(df: DataFrame, c: str, known: list[str]) -> DataFrame:
@@ -82,7 +86,9 @@ def quick_prepare(df: DataFrame) -> DataFrame:
     d = df.dropDuplicates()
     numeric = numeric_columns(d)
     text = [c for c in d.columns if c not in numeric]
-    p = d.agg(*[F.avg(finite(F.col(f"`{c}`"))).alias(c) for c in numeric], *[F.mode(F.col(f"`{c}`"), True).alias(c) for c in text]).first()
+    p = d.agg(*[F.avg(finite(F.col(f"`{c}`"))).alias(c) for c in numeric]).first().asDict() if numeric else {}
+    modes = fit_modes(d, text).first() if text else {}
+    p |= {c: modes[f"{c}__mode"] for c in text}
     return d.select(*[F.coalesce(finite(F.col(f"`{c}`")), F.lit(p[c])).alias(c) if c in numeric else F.coalesce(F.col(f"`{c}`"), F.lit(p[c] if p[c] is not None else "missing")).alias(c) for c in d.columns])
 
 

@@ -73,6 +73,20 @@ def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
     return m.where("n > 0").select("i", "j", "n", F.when(ok, ratio(cov, F.sqrt(vx * vy))).alias("r"))
 
 
+def medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+    """Exact medians of the finite values: columns' values are counted, and running counts tell the middle ones."""
+    if not cols:
+        return {}
+    cell = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), finite(F.col(f"`{c}`")).alias("v")) for i, c in enumerate(cols)]))
+    counts = df.select(cell.alias("c")).select("c.*").where("v is not null").groupBy("i", "v").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("i").agg(F.sum("n").alias("all"))  # one row a column
+    run = running_sums(counts, F.col("v"), {"upto": "n"}, ["i"]).join(F.broadcast(totals), "i")
+    low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
+    middle = run.groupBy("i").agg(*[F.min(F.when(F.col("upto") > at, F.col("v"))).alias(name) for at, name in ((low, "a"), (high, "b"))])
+    got = {r.i: (r.a + r.b) / 2 for r in middle.collect()}
+    return {c: got.get(i) for i, c in enumerate(cols)}
+
+
 def binned_information(long: DataFrame, by: list[str], bins: int = BINS) -> DataFrame:
     """Mutual information, in nats, of long(by..., feature, value, level, label) for each (by..., feature).
 
@@ -81,11 +95,12 @@ def binned_information(long: DataFrame, by: list[str], bins: int = BINS) -> Data
     """
     group = [*by, "feature"]
     counted = long.where("label is not null and (value is not null or level is not null)").groupBy(*group, "value", "level", "label").agg(F.count("*").alias("n"))
-    values = counted.where("level is null").groupBy(*group, "value").agg(F.sum("n").alias("n"))
+    # A value goes with the counts of its labels (a class each), so that these needn't be joined back.
+    values = counted.where("level is null").groupBy(*group, "value").agg(F.sum("n").alias("n"), F.collect_list(F.struct("label", "n")).alias("labels"))
     ranked = running_sums(values, F.col("value"), {"upto": "n"}, group)
     totals = values.groupBy(*group).agg(F.sum("n").alias("all"))
-    classed = ranked.join(totals, group).select(*group, "value", F.floor((F.col("upto") - F.col("n")) * bins / F.col("all")).cast("string").alias("bin"))
-    of_number = counted.where("level is null").join(classed, [*group, "value"]).select(*group, "bin", "label", "n")
+    classed = ranked.join(totals, group).select(*group, F.floor((F.col("upto") - F.col("n")) * bins / F.col("all")).cast("string").alias("bin"), F.explode("labels").alias("l"))
+    of_number = classed.select(*group, "bin", F.col("l.label").alias("label"), F.col("l.n").alias("n"))
     cells = of_number.unionByName(counted.where("level is not null").select(*group, F.col("level").alias("bin"), "label", "n")).groupBy(*group, "bin", "label").agg(F.sum("n").alias("n"))
     xlogx = lambda c: F.col(c) * F.log(F.col(c).cast("double"))
     sums = [cells.groupBy(*group).agg(F.sum(xlogx("n")).alias("xy"), F.sum("n").alias("m"))]
@@ -104,12 +119,12 @@ def long_form(df: DataFrame, numeric: list[str], text: list[str], label: str, by
     return df.select(*(by or []), F.col(label).cast("string").alias("label"), F.explode(F.array(*cells)).alias("c")).select(*(by or []), "c.*", "label")
 
 
-def intrinsic_dimension(df: DataFrame, numeric: list[str], share: float = 0.95) -> float:
+def intrinsic_dimension(df: DataFrame, numeric: list[str], share: float = 0.95, middle: dict[str, float | None] | None = None) -> float:
     """M15. Principal components that explain ``share`` of the standardised, median-filled columns."""
     if len(numeric) < 2:
         return 1.0
-    medians = df.agg(*[F.median(finite(F.col(f"`{c}`"))).alias(f"m{i}") for i, c in enumerate(numeric)]).first()
-    filled = df.select(*[F.coalesce(finite(F.col(f"`{c}`")), F.lit(medians[i] if medians[i] is not None else 0.0)).alias(c) for i, c in enumerate(numeric)])
+    middle = middle or medians(df, numeric)
+    filled = df.select(*[F.coalesce(finite(F.col(f"`{c}`")), F.lit(middle[c] if middle[c] is not None else 0.0)).alias(c) for c in numeric])
     r = np.eye(len(numeric))
     constant = np.ones(len(numeric), bool)
     for x in correlations(filled, numeric).collect():  # columns squared, not rows
@@ -156,11 +171,11 @@ def profile(df: DataFrame, target: str, keys: list[str] | None = None) -> DataFr
         counts = cells.groupBy("feature", "v").agg(F.count("*").alias("c"))
         entropy = counts.groupBy("feature").agg((F.log(F.sum("c").cast("double")) - F.sum(F.col("c") * F.log(F.col("c").cast("double"))) / F.sum("c")).alias("h"))
         out["average_entropy"] = entropy.agg(F.avg("h")).first()[0] or 0.0
-        medians = df.agg(*[F.median(finite(F.col(f"`{c}`"))).alias(f"m{i}") for i, c in enumerate(numeric)]).first() if numeric else []
-        filled = df.select(target, *[F.coalesce(finite(F.col(f"`{c}`")), F.lit(medians[i])).alias(c) for i, c in enumerate(numeric)], *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("missing")).alias(c) for c in text])
+        middle = medians(df, numeric)
+        filled = df.select(target, *[F.coalesce(finite(F.col(f"`{c}`")), F.lit(middle[c]).cast("double")).alias(c) for c in numeric], *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("missing")).alias(c) for c in text])
         out["average_mutual_information"] = binned_information(long_form(filled, numeric, text, target), []).agg(F.sum("mi")).first()[0]
         out["average_mutual_information"] = (out["average_mutual_information"] or 0.0) / d
-        out["intrinsic_dimension"] = intrinsic_dimension(df, numeric)
+        out["intrinsic_dimension"] = intrinsic_dimension(df, numeric, middle=middle)
     return spark.createDataFrame([tuple(out[k] for k in KEYS)], ", ".join(f"{k} double" for k in KEYS))
 
 

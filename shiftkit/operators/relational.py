@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..functions.keys import dist_rank, text_order
+
 
 def columns_by_kind(df: DataFrame) -> tuple[list[str], list[str]]:
     """R2. Numeric (with boolean) and other columns."""
@@ -72,9 +74,9 @@ def labelled(c: Column, labels: dict[str, str]) -> Column:
 
 
 def levels(df: DataFrame, c: str) -> DataFrame:
-    """R25, R26. Sorted distinct texts with their number from 0; a column's levels, not its rows, are ranked."""
+    """R25, R26. Sorted distinct texts with their number from 0; a column's levels, not its rows, are ranked, in many tasks."""
     found = df.select(F.col(c).cast("string").alias("level")).where("level is not null").distinct()
-    return found.withColumn("index", F.row_number().over(W.orderBy("level")) - 1)
+    return dist_rank(found, text_order(F.col("level")), ["level"], out="index").withColumn("index", (F.col("index") - 1).cast("int"))
 
 
 def factorize(df: DataFrame, c: str, out: str) -> DataFrame:

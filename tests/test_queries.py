@@ -8,8 +8,6 @@ import pytest
 from shiftkit import catalog
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"t_gradient_boosting", "t_linear_svm", "t_mlp", "t_random_forest", "f14_f18_select_top", "x4_covariate_folds_many_columns"}
-
 
 def same(a, b, digits=5):
     if a is None or b is None:
@@ -37,6 +35,6 @@ def test_query_against_sql(spark, name):
         assert sorted(map(key, got)) == sorted(key([float(x) if isinstance(g, float) and x is not None else x for g, x in zip(got[0], r, strict=True)]) for r in want)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_other_queries_run(spark, name):
     assert catalog.QUERIES[name](spark, SF).limit(1).count() == 1
