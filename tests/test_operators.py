@@ -167,3 +167,14 @@ def test_entry_without_the_training_data_operations():
     import __spark_entry__ as e
 
     assert "flagship_accuracy_drops" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_ties_are_dealt_out(spark):
+    """One value for all rows: ranks follow the tie column, in many buckets."""
+    from shiftkit.functions import keys
+
+    df = spark.range(5000).select(F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("k"), F.col("id").alias("i"), F.lit(1.0).alias("v"))
+    for tie in ("k", "i"):
+        got = keys.dist_rank(df, F.col("v"), [tie]).collect()
+        assert [r.rank for r in sorted(got, key=lambda r: r.i)] == list(range(1, 5001))
+    assert keys._bucketed(df, [], F.col("v"), 32, tie="i").select("__b").distinct().count() > 16
