@@ -10,8 +10,9 @@ a well-filled reserved segment is probed with one difference allowed, which keep
 Candidates that share a probed key are checked against parity bitmaps (their distance is never larger than the
 sets'), then the whole sets are intersected. Keys with few members give all their pairs. A key with many gives the
 pairs with its smallest member; only where verified links don't join all its members, the remaining pairs between
-different components are looked at, each member's nearest by bitmap first, and in the end all of them. So no link
-between components is lost, and a group of copies costs a number of pairs in proportion to its size.
+different components are looked at: first those of a spanning forest of the components, nearest by bitmap, and where
+these turn out not to link, all of them. So no link between components is lost, and a group of copies costs a number of
+pairs in proportion to its size.
 
 Sets are compared by 64-bit hashes of shingles, and told apart by 64-bit sums of these.
 
@@ -33,7 +34,7 @@ from .components import components
 from .tokens import lean
 
 RATIO, RESERVE, THIN, FULL = 1.4, 24, 2, 4  # size bands; one reserved segment in so many; sizes not probed, and probed with one difference
-FEW, BLOCK, NEAREST = 8, 2048, 2
+FEW, BLOCK = 8, 2048
 HEAVY, SHARE, SAMPLED = 4096, 1000, 64  # members of a heavy key: so many, and one in SHARE of all rows; found in one in SAMPLED sets
 BROADCAST_IDS = 1_000_000
 SEEN = 200_000
@@ -271,11 +272,36 @@ def _distances(maps: np.ndarray, lo: int, hi: int) -> np.ndarray:
     return out
 
 
+def _forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, size: int) -> np.ndarray:
+    """Which edges a-b between ``size`` labels make a spanning forest of the least distances (each label's nearest, merged in rounds)."""
+    order = np.argsort(apart, kind="stable")
+    a, b, label = a[order], b[order], np.arange(size)
+    live, chosen = np.flatnonzero(a != b), [np.empty(0, np.int64)]
+    while len(live):
+        best = np.full(size, len(order))
+        np.minimum.at(best, label[a[live]], live)
+        np.minimum.at(best, label[b[live]], live)
+        picks = np.unique(best[best < len(order)])
+        chosen.append(picks)
+        up = np.arange(size)
+        for x, y in zip(label[a[picks]], label[b[picks]], strict=True):
+            while up[x] != x:
+                x = up[x]
+            while up[y] != y:
+                y = up[y]
+            up[max(x, y)] = min(x, y)
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+        live = live[label[a[live]] != label[b[live]]]
+    return order[np.concatenate(chosen)]
+
+
 def _remaining(many: DataFrame, nodes: DataFrame, roots: DataFrame, num: int, den: int, every: bool) -> DataFrame:
     """(a, b, more): pairs of many-member keys that lie in different components and may link by their bitmaps.
 
-    ``every``: all of them; else for each member its NEAREST by bitmap, and a row (key, 0, true) for a key where a member
-    has more. Keys with more than BLOCK members are dealt out in pairs of blocks.
+    ``every``: all of them; else those of a spanning forest of the components, nearest by bitmap, and a row (key, 0, true)
+    for a key that has more. Keys with more than BLOCK members are dealt out in pairs of blocks.
     """
     rooted = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c")).where("r0 != r1").select("key", "c")
@@ -290,34 +316,27 @@ def _remaining(many: DataFrame, nodes: DataFrame, roots: DataFrame, num: int, de
         node, n, root, kind, own = (pdf[c].to_numpy() for c in ("node", "n", "root", "kind", "own"))
         gone, allow, n = kind >= 4, kind % 4, n.astype(np.int64)
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        out_x, out_y, more = [], [], False
+        code = np.unique(root, return_inverse=True)[1]
+        x, y, far, more = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32), False
         for lo in range(0, len(pdf), 512):
             t = slice(lo, lo + 512)
             col = lambda v: v[t, None]  # noqa: B023, E731
             larger = (col(n) > n) | ((col(n) == n) & (col(node) > node))
             ok = (col(root) != root) & ~(col(gone) & gone) & (np.where(larger, col(allow), allow) >= 1 + (col(gone) | gone))
             ok &= den * np.minimum(col(n), n) >= num * np.maximum(col(n), n)
+            ok &= np.arange(len(pdf)) > np.arange(lo, lo + len(ok))[:, None]  # each pair once
             if i != j:
                 ok &= col(own) != own
             if not ok.any():
                 continue
             apart = _distances(maps, lo, min(lo + 512, len(pdf)))
             ok &= apart <= (den - num) * (col(n) + n) // (den + num)
-            if every:
-                x, y = np.nonzero(ok)
-                keep = y > x + lo
-                x, y = x[keep], y[keep]
-            else:
-                full = np.flatnonzero(ok.sum(1) > NEAREST)
-                more |= bool(len(full))
-                for r in full:
-                    at = np.flatnonzero(ok[r])
-                    ok[r] = False
-                    ok[r, at[np.argsort(apart[r, at], kind="stable")[:NEAREST]]] = True
-                x, y = np.nonzero(ok)
-            out_x.append(x + lo)
-            out_y.append(y)
-        x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (out_x, out_y))
+            p, q = np.nonzero(ok)
+            x, y, far = np.concatenate([x, p + lo]), np.concatenate([y, q]), np.concatenate([far, apart[p, q]])
+            if not every:
+                keep = _forest(code[x], code[y], far, int(code.max()) + 1)
+                more |= len(keep) < len(x)
+                x, y, far = x[keep], y[keep], far[keep]
         out = pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y]), "more": False})
         return pd.concat([out, pd.DataFrame({"a": [pdf["key"].iloc[0]], "b": [0], "more": [True]})]) if more else out
 

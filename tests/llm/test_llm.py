@@ -209,7 +209,6 @@ def test_components_of_large_near_copy_groups(spark, monkeypatch, few, heavy):
     if heavy < 4096:
         for name, n in (("HEAVY", heavy), ("SHARE", 1 << 40), ("SAMPLED", 1)):
             monkeypatch.setattr(jaccard, name, n)
-    monkeypatch.setattr(jaccard, "NEAREST", 2)
     rng = np.random.default_rng(few)
     passage = [f"p{i}" for i in range(50)]
     rows = []
@@ -224,6 +223,25 @@ def test_components_of_large_near_copy_groups(spark, monkeypatch, few, heavy):
     assert got == brute(rows, 4, 85, 100)
 
 
+def test_forest_joins_what_the_edges_join_by_the_least_distances():
+    rng = np.random.default_rng(5)
+    for size, edges in ((1, 0), (2, 1), (30, 25), (40, 400)):
+        a, b = rng.integers(0, size, edges), rng.integers(0, size, edges)
+        far = rng.integers(0, 9, edges)
+        at = jaccard._forest(a, b, far, size)
+        up = list(range(size))
+
+        def find(x, up=up):
+            return x if up[x] == x else find(up[x])
+
+        least = []
+        for e in np.argsort(far, kind="stable"):
+            if find(a[e]) != find(b[e]):
+                up[find(a[e])] = find(b[e])
+                least.append(far[e])
+        assert sorted(far[at]) == sorted(least)
+
+
 def test_components_say_when_they_are_not_whole(spark):
     with pytest.raises(RuntimeError):
         components.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), rounds=1)
