@@ -8,6 +8,10 @@ before and behind; every byte of every text is read and counts once.
 Training is backpropagation through time in numpy with Adam, on the driver, over a bounded sample: about PER_LANG
 documents for each language, picked by a hash of their id, and PIECES pieces of PIECE bytes spread over the whole of each.
 
+With ``rejects`` the network learns one class more, of texts in no language taught: strings of random letters, digits and
+signs from alphabets of any size, letters of scripts that the sample doesn't have, and pieces of the sample with their
+characters permuted. A document in which that class is the most probable is "und".
+
 Defined results: a null text or one without a letter is "und" with score 0; so is everything if no training row has a
 language; ties go to the language first in sort order; repeated rows each get their row; an empty table gives an
 empty result; other columns are ignored.
@@ -28,7 +32,36 @@ from .tokens import lean, text_slices
 WINDOW, MARGIN, HIDDEN = 192, 16, 12
 PER_LANG, PIECES, PIECE, STEPS, BATCH, RATE, SEED = 400, 40, 32, 250, 384, 0.01, 11
 AT_ONCE, ROWS = 2 << 20, 1024  # bytes of text that a worker cuts into windows at once; windows that the network reads at once
-UND = "und"
+UND, REJECT = "und", "\0"  # no language has this name
+#: First and last code points of scripts that stand for unknown ones (fixed values).
+SCRIPTS = [
+    (0x0370, 0x03FF), (0x0400, 0x04FF), (0x0530, 0x058F), (0x0590, 0x05FF), (0x0600, 0x06FF), (0x0900, 0x097F), (0x0980, 0x09FF), (0x0B80, 0x0BFF), (0x0E00, 0x0E7F),
+    (0x10A0, 0x10FF), (0x1200, 0x137F), (0x3040, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3),
+]
+STRANGERS = 6000  # pieces of the rejecting class
+
+
+def strangers(samples: dict[str, list[bytes]]) -> list[bytes]:
+    """STRANGERS pieces that belong to no language of the sample: random strings, other scripts, permuted pieces."""
+    rng = np.random.default_rng(SEED)
+    known = [w.decode(errors="ignore") for k in sorted(samples) for w in samples[k]]
+    codes = np.frombuffer("".join(known).encode("utf-32-le"), np.uint32)
+    blocks = [(lo, hi) for lo, hi in SCRIPTS if ((codes >= lo) & (codes <= hi)).sum() < 0.001 * len(codes)]
+    shown = np.array([chr(i) for i in range(33, 127)])
+    out = []
+    while len(out) < STRANGERS and known:
+        kind = rng.random()
+        if kind < 0.3:
+            text = "".join(rng.permutation(list(known[rng.integers(len(known))])))
+        else:
+            if kind < 0.7 or not blocks:
+                letters = rng.choice(shown, rng.integers(2, 60))
+            else:
+                lo, hi = blocks[rng.integers(len(blocks))]
+                letters = np.array([chr(i) for i in rng.integers(lo, hi + 1, rng.integers(2, 80))])
+            text = " ".join("".join(rng.choice(letters, rng.integers(1, 15))) for _ in range(6))
+        out.append(text.encode()[:PIECE].decode(errors="ignore").encode() or b"?")
+    return out
 
 
 def _pad(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -177,8 +210,10 @@ class Network:
         return loss, g
 
 
-def fit(samples: dict[str, list[bytes]]) -> Network:
-    """A network for the languages of ``samples``; each step sees all languages alike."""
+def fit(samples: dict[str, list[bytes]], rejects: bool = False) -> Network:
+    """A network for the languages of ``samples``, and perhaps for none of them; each step sees all classes alike."""
+    if rejects:
+        samples = samples | {REJECT: strangers(samples)}
     langs = sorted(k for k, v in samples.items() if v)
     net, rng = Network(langs), np.random.default_rng(SEED)
     words = [sorted(samples[k], key=lambda w: (len(w), w)) for k in langs]
@@ -219,6 +254,8 @@ def sample_pieces(train: DataFrame, id_col: str, text_col: str, lang_col: str) -
                 if len(starts) > PIECES:
                     starts = np.random.default_rng(zlib.crc32((ident or "").encode())).choice(len(raw) - PIECE, PIECES, replace=False)
                 for lo in starts:
+                    while lo < len(raw) and raw[lo] & 0xC0 == 0x80:  # pieces begin at whole characters
+                        lo += 1
                     langs.append(lang)
                     out.append(raw[lo : lo + PIECE])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], ["lang", "piece"])
@@ -239,15 +276,14 @@ def label_positions(net: Network, text: str) -> list[str]:
     return out
 
 
-def predict(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score"), over_chance: bool = False) -> DataFrame:
+def predict(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score"), rejects: bool = False) -> DataFrame:
     """The columns ``carry`` (id_col), lang_pred, score for every row; learns from the rows where ``is_train`` holds.
 
-    ``over_chance``: scores run from 0, all k learned languages alike, to 1; a single language always has 1.
+    ``rejects``: a text that is more probably in none of the learned languages than in the best of them is "und", too.
     """
     carried = carry or [id_col]
     samples = sample_pieces(docs.where(is_train), id_col, text_col, lang_col)
-    net = fit(samples) if any(samples.values()) else None
-    chance = 1 / len(net.langs) if over_chance and net and len(net.langs) > 1 else 0.0
+    net = fit(samples, rejects) if any(samples.values()) else None
     at_text = carried.index(text_col) if text_col in carried and dict(docs.dtypes)[text_col] == "string" else len(carried)
 
     def run(batches):
@@ -260,7 +296,9 @@ def predict(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text_col:
                 if edges[-1]:
                     p = net.documents(np.frombuffer(b"".join(raw), np.uint8), edges)
                     for i in np.flatnonzero(np.diff(edges)):
-                        langs[i], scores[i] = net.langs[int(p[i].argmax())], min(1.0, max(0.0, (float(p[i].max()) - chance) / (1 - chance)))
+                        langs[i], scores[i] = net.langs[int(p[i].argmax())], min(1.0, max(0.0, float(p[i].max())))
+                        if langs[i] == REJECT:
+                            langs[i], scores[i] = UND, 0.0
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(carried)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*carried, *names])
 
     rows = docs.select(*carried, *([F.col(text_col).cast("string").alias("__text")] if at_text == len(carried) else []))

@@ -78,7 +78,8 @@ class Encoder:
 
     ``drops_space``: the tokenizer discards white space and the case of letters, so any blank separates; otherwise a
     chunk keeps the space before it. No piece of either tokenizer reaches over a chunk's edge, so ids of chunks joined
-    are the ids of the text.
+    are the ids of the text. A text in which an added token is spelled out is encoded whole: the tokenizer cuts it there
+    before anything else.
     """
 
     def __init__(self, path: str, drops_space: bool):
@@ -88,6 +89,7 @@ class Encoder:
         self.tok, self.drops, self.young, self.old = Tokenizer.from_file(path), drops_space, {}, {}
         self.model, self.letters = self.tok.model, _byte_letters()
         self.marks = {m: self._whole([m])[0] for m in ("", ".", ",")}
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -133,6 +135,13 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         apart: dict[int, np.ndarray] = {}
+        named = np.zeros(len(texts), bool)
+        for name in self.added:
+            named |= pc.match_substring(texts, name, ignore_case=True).to_numpy(zero_copy_only=False)
+        if named.any():
+            for i in np.flatnonzero(named).tolist():
+                apart[i] = np.frombuffer(self._whole([texts[i].as_py()])[0], "<u4")
+            texts = pc.if_else(pa.array(named), pa.scalar("", pa.large_string()), texts)
         if self.drops:
             for gap in "\n\t\r":
                 texts = pc.replace_substring(texts, gap, " ")
