@@ -15,19 +15,13 @@ from shiftkit.llm import jaccard, langid, mixing, packing
 from shiftkit.llm.common import crc_mod, materialize, table
 from shiftkit.llm.tokens import tokenizer_path
 
-#: A document is rejected whose best language exceeds chance by less than this share of what labelled training documents
-#: do in the median.
-MIN_SHARE = 0.5
-
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter, and those far less sure than labelled ones, go."""
+    """Documents whose language can be told; those without a letter, and those that look like none of the learned languages, go."""
     train = crc_mod("doc_id", 4) != 2
     keyed = docs.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))  # texts alike have one verdict
-    found = materialize(langid.predict(keyed, train, carry=["doc_id", "lang", "__text_hash"], names=("__lang", "__score"), over_chance=True), "languages")
-    told = F.col("__lang") != langid.UND
-    usual = found.where(told & train & F.col("lang").isNotNull()).agg(F.percentile_approx("__score", 0.5, 1000)).first()[0] or 0.0
-    gone = materialize(found.where(~told | (F.col("__score") < MIN_SHARE * usual)).select("__text_hash").distinct(), "rejected")
+    found = materialize(langid.predict(keyed, train, carry=["__text_hash"], names=("__lang", "__score"), rejects=True), "languages")
+    gone = materialize(found.where(F.col("__lang") == langid.UND).select("__text_hash").distinct(), "rejected")
     few = gone.count() <= jaccard.BROADCAST_IDS
     return keyed.join(F.broadcast(gone) if few else gone, "__text_hash", "left_anti").select(*docs.columns)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import duck, view
 from ..functions.numeric import r6
+from ..functions.shared import folder
 from ..operators import compare as C
 from ..operators.prepare import fit_numeric
 from ..plans import grid as G
@@ -144,6 +145,12 @@ def _(spark, d):
     return _six(C.drop_from_clean(view(spark, d, "v_res"), "f1", ["dataset", "seed", "fold", "pipeline", "model"]), "drop")
 
 
+@query("c17_mean_drop", f"with {duck('v_res')}, d as (select r.condition, pipeline, model, c.f1 - r.f1 as drop from v_res r join (select dataset, seed, fold, pipeline, model, f1 from v_res where condition = 'clean') c using (dataset, seed, fold, pipeline, model) where r.condition <> 'clean') select condition, pipeline, model, round(avg(drop), 6) + 0.0 as drop, count(*) as n from d group by all")
+def _(spark, d):
+    drops = C.drop_from_clean(view(spark, d, "v_res"), "f1", ["dataset", "seed", "fold", "pipeline", "model"])
+    return _six(drops.groupBy("condition", "pipeline", "model").agg(F.avg("drop").alias("drop"), F.count("*").alias("n")), "drop")
+
+
 @query("g1_grid", f"with {duck('v_res')} select dataset, count(*) as n from v_res where seed in (42, 123) group by 1")
 def _(spark, d):
     names = view(spark, d, "v_res").select("dataset").distinct()
@@ -170,14 +177,14 @@ def _(spark, d):
 
 @query("s9_s10_results_round_trip", f"with {duck('v_res')} select dataset, model, count(*) as n, round(avg(f1), 6) as f1 from v_res group by all")
 def _(spark, d):
-    path = f"{_scratch(spark)}/results-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/results-{uuid.uuid4().hex}"
     S.append_results(view(spark, d, "v_res"), path)
     return S.read_results(spark, path).groupBy("dataset", "model").agg(F.count("*").alias("n"), r6(F.avg("f1")).alias("f1"))
 
 
 @query("s11_strict_results", f"with {duck('v_res')} select pipeline, count(*) as n, round(avg(infer_time_s), 6) as infer_time_s from v_res group by 1")
 def _(spark, d):
-    path = f"{_scratch(spark)}/results-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/results-{uuid.uuid4().hex}"
     S.append_results(view(spark, d, "v_res"), path)
     return _six(S.read_results(spark, path, strict=True).groupBy("pipeline").agg(F.count("*").alias("n"), F.avg("infer_time_s").alias("infer_time_s")), "infer_time_s")
 
@@ -186,7 +193,7 @@ def _(spark, d):
 def _(spark, d):
     v, out = view(spark, d, "v_li").select("k", F.col("qty").cast("long").alias("qty"), "price", F.when(F.col("flag") == "N", " NA ").otherwise(F.col("flag")).alias("flag")), None
     for small, read in ((True, S.read_labelled_csv), (False, S.read_results_csv)):
-        path = f"{_scratch(spark)}/csv-{uuid.uuid4().hex}"
+        path = f"{folder(spark)}/csv-{uuid.uuid4().hex}"
         S.write_csv(v, path, small)
         one = read(spark, path).agg(F.lit(small).alias("small"), F.count("*").alias("n"), F.sum("qty").alias("qty"), F.round(F.sum("price"), 2).alias("price"), F.count("flag").alias("flags"))
         out = one if out is None else out.unionByName(one)
@@ -195,7 +202,7 @@ def _(spark, d):
 
 @query("s7_s8_profiles", f"with {duck('v_ev')} select target as dataset, case when target in ('click', 'view') then 'Web' else 'Other' end as domain, count(*)::double as number_of_samples from v_ev group by 1, 2")
 def _(spark, d):
-    path, v = f"{_scratch(spark)}/profiles-{uuid.uuid4().hex}", view(spark, d, "v_ev")
+    path, v = f"{folder(spark)}/profiles-{uuid.uuid4().hex}", view(spark, d, "v_ev")
     counts = v.groupBy(F.col("target").alias("dataset")).agg(F.count("*").cast("double").alias("number_of_samples"))
     for r in counts.collect():  # one row a dataset
         S.write_profile(spark.createDataFrame([(r.number_of_samples,)], "number_of_samples double"), path, r.dataset)
@@ -204,7 +211,7 @@ def _(spark, d):
 
 @query("s15_materialise_splits", f"with {duck('v_ev')} select k % 5 + 1 as fold, count(*) as n, round(sum(value), 2) as value from v_ev group by 1")
 def _(spark, d):
-    path, v = f"{_scratch(spark)}/splits-{uuid.uuid4().hex}", view(spark, d, "v_ev").withColumn("fold", F.col("k") % 5 + 1)
+    path, v = f"{folder(spark)}/splits-{uuid.uuid4().hex}", view(spark, d, "v_ev").withColumn("fold", F.col("k") % 5 + 1)
     for part in (v.where("fold <= 2"), v, v):  # what is there already isn't written again
         got = S.materialise(part, path, ["fold"])
     return got.groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
@@ -212,7 +219,7 @@ def _(spark, d):
 
 @query("s16_prepared", f"with {duck('v_ev')} select count(*) filter (where k % 5 <> 0) as train, count(*) filter (where k % 5 = 0) as test, round(avg(value) filter (where k % 5 <> 0), 6) as mean from v_ev")
 def _(spark, d):
-    path, v = f"{_scratch(spark)}/prepared-{uuid.uuid4().hex}", view(spark, d, "v_ev").select("k", "value")
+    path, v = f"{folder(spark)}/prepared-{uuid.uuid4().hex}", view(spark, d, "v_ev").select("k", "value")
     train, test = v.where("k % 5 != 0"), v.where("k % 5 = 0")
     S.write_prepared(train, test, fit_numeric(train, ["value"]), path)
     a, b, p = S.read_prepared(spark, path)
@@ -228,14 +235,14 @@ def _(spark, d):
 
 @query("s14_materialise", f"with {duck('v_li')} select flag, count(*) as n, round(sum(price), 2) as price from v_li group by 1")
 def _(spark, d):
-    path, v = f"{_scratch(spark)}/sets-{uuid.uuid4().hex}", view(spark, d, "v_li")
+    path, v = f"{folder(spark)}/sets-{uuid.uuid4().hex}", view(spark, d, "v_li")
     S.materialise(v.where("flag = 'A'"), path, ["flag"])
     return S.materialise(v, path, ["flag"]).groupBy("flag").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("price"))
 
 
 @query("s19_streaming_ingest", f"with {duck('v_res')} select status, count(*) as n, round(sum(f1), 3) as f1 from v_res group by 1")
 def _(spark, d):
-    base, v = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}", view(spark, d, "v_res")
+    base, v = f"{folder(spark)}/stream-{uuid.uuid4().hex}", view(spark, d, "v_res")
     S.append_results(v.where("fold <= 3").withColumn("status", F.lit("old")), f"{base}/in")
     I.ingest(spark, f"{base}/in", f"{base}/out", f"{base}/at").awaitTermination()
     S.append_results(v, f"{base}/in")  # the first rows of some tasks are written again, with their final state
@@ -243,11 +250,3 @@ def _(spark, d):
     return I.done_tasks(spark, f"{base}/out").groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("f1"), 3).alias("f1"))
 
 
-def _scratch(spark) -> str:
-    """spark.checkpoint.dir, a folder of the driver's where that is unset on a local master."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
-    return base.rstrip("/") if base else tempfile.mkdtemp(prefix="spark-")

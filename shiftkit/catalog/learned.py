@@ -12,6 +12,8 @@ from ..operators import features as X
 from ..operators import metrics as M
 from ..operators import models as T
 from ..operators import splits as S
+from ..operators.trees import leaf_counts
+from .unrolled import forest_sql, lasso_sql, newton_sql
 
 QUERIES, SQL = {}, {}
 LI = ["qty", "price", "disc", "tax"]
@@ -50,11 +52,11 @@ def _(spark, d):
     return view(spark, d, "v_li").limit(1).select(F.explode(F.array(*[F.lit(c) for c in names])).alias("feature"))
 
 
-@query("f2_f5_synthesis", f"with {duck('v_li')} select k, " + ", ".join(f'round({e}, 4) + 0.0 as "{n}"' for n, e in _all(["qty", "price", "tax"])) + " from v_li")
+@query("f2_f5_synthesis", f"with {duck('v_li')} select k, " + ", ".join(f'round({e}, 8) + 0.0 as "{n}"' for n, e in _all(["qty", "price", "tax"])) + " from v_li")
 def _(spark, d):
     made = X.generated(["qty", "price", "tax"])
     w = X.synthesise(view(spark, d, "v_li"), ["k"], made)
-    return w.select("k", *[(F.round(F.col(f"`{f[0]}`"), 4) + F.lit(0.0)).alias(f[0]) for f in made])
+    return w.select("k", *[(F.round(F.col(f"`{f[0]}`"), 8) + F.lit(0.0)).alias(f[0]) for f in made])
 
 
 @query("f3_depth_two", f"with {duck('v_li')} select k, round((disc + tax) * (disc - tax), 6) + 0.0 as x from v_li")
@@ -103,10 +105,12 @@ def _(spark, d):
     return spark.createDataFrame([(v, n, p, d_) for v, fs in sorted(got.items()) for n, p, _, d_ in fs], "variant string, name string, primitive string, depth int")
 
 
-@query("f11_lineage", "select 'subtract' as primitive, 3::bigint as n union all select 'add', 3 union all select 'multiply', 3 union all select 'divide', 6 union all select 'identity', 3")
+@query("f11_lineage", f"with {duck('v_li')}, l as ({_LONG}) select feature as name, case when feature like '% + %' then 'add' when feature like '% - %' then 'subtract' when feature like '% * %' then 'multiply' when feature like '% / %' then 'divide' else 'identity' end as primitive, case when feature like '% % %' then 2 else 1 end as n_parents, count(*) as n, count(*) filter (where v = 0) as zeros from l group by 1")
 def _(spark, d):
-    cols = [c for c in view(spark, d, "v_li").columns if c in ("qty", "disc", "tax")]
-    return X.lineage(spark, X.generated(cols)).groupBy("primitive").agg(F.count("*").alias("n"))
+    made = X.generated(LI)
+    wide = X.synthesise(view(spark, d, "v_li"), ["k"], made)
+    seen = wide.agg(F.array(*[F.struct(F.lit(f[0]).alias("name"), F.count("*").alias("n"), F.count_if(F.col(f"`{f[0]}`") == 0).alias("zeros")) for f in made]).alias("s"))
+    return X.lineage(spark, made).join(seen.select(F.explode("s").alias("s")).select("s.*"), "name").select("name", "primitive", F.size("parents").alias("n_parents"), "n", "zeros")
 
 
 @query("f13_infer_task", f"with {duck('v_li')} select case when count(distinct target) <= 20 then 'classification' else 'regression' end as of_target, case when count(distinct price) <= 0.1 * count(*) then 'classification' else 'regression' end as of_price from v_li")
@@ -125,6 +129,12 @@ def _(spark, d):
 _OF_PRICE = " union all ".join(f"select '{c}' as feature, {c} as v, floor((rank() over (order by price) - 1) * 10 / count(*) over ()) as target from v_li" for c in ("qty", "disc", "tax"))
 
 
+@query("f15_l1_regression", lasso_sql(f"{duck('v_li')}, src as (select qty::double as qty, disc::double * 1000 as disc, tax::double * 1000 as tax, price::double as price from v_li)", ["qty", "disc", "tax"], "price", 1.0, 60))
+def _(spark, d):
+    v = view(spark, d, "v_li").select("k", "qty", (F.col("disc") * 1000).alias("disc"), (F.col("tax") * 1000).alias("tax"), "price")
+    return X.l1_importance(v, ["qty", "disc", "tax"], "price", "regression").select("feature", (F.round("l1", 4) + F.lit(0.0)).alias("l1"))
+
+
 @query("f16_regression_mi", f"with {duck('v_li')}, l as ({_OF_PRICE}), {_MI} select feature, round(greatest(mi, 0), 5) + 0.0 as mi from m")
 def _(spark, d):
     return X.mi_importance(view(spark, d, "v_li"), ["qty", "disc", "tax"], "price", "regression").select("feature", (F.round("mi", 5) + F.lit(0.0)).alias("mi"))
@@ -176,6 +186,13 @@ def _(spark, d):
     return T.knn(_with_role(v.select("k", "target", *[F.col("e")[i].cast("double").alias(c) for i, c in enumerate(cols)])), ["k"], cols, "target")
 
 
+@query("t5_knn_cells", SQL["t5_knn"])
+def _(spark, d):
+    v = view(spark, d, "v_emb")
+    cols = [f"e{i}" for i in range(v.agg(F.max(F.size("e"))).first()[0] or 0)]
+    return T.knn(_with_role(v.select("k", "target", *[F.col("e")[i].cast("double").alias(c) for i, c in enumerate(cols)])), ["k"], cols, "target", most=0)
+
+
 def _fitted(name: str):
     def f(spark, d):
         v = _with_role(view(spark, d, "v_doc").select("k", "n_chars", F.when(F.col("lang") == "en", 1.0).otherwise(0.0).alias("en"), F.length("source").alias("len"), "target"))
@@ -185,7 +202,7 @@ def _fitted(name: str):
     return f
 
 
-for _name in ("logistic_regression", "random_forest", "gradient_boosting", "linear_svm", "mlp"):
+for _name in ("logistic_regression", "random_forest", "extra_trees", "gradient_boosting", "linear_svm", "mlp"):
     QUERIES[f"t_{_name}"] = _fitted(_name)
 
 
@@ -201,11 +218,24 @@ def _(spark, d):
     return out
 
 
-@query("t3_several_classes", f"with {duck('v_ev')}, c as (select {_ROLE} as role, count(*) as n from v_ev group by 1) select model, role, n, n::double as total from c, (select unnest(['gradient_boosting']) as model)")
+@query("t1_logistic_units", newton_sql(f"{duck('v_li')}, src as (select k, flag as unit, {_ROLE} as role, qty::double / 50 as a, disc::double * 10 as b, target as y from v_li)", 14))
+def _(spark, d):
+    v = _with_role(view(spark, d, "v_li")).select("k", F.col("flag").alias("unit"), "role", (F.col("qty") / 50).alias("a"), (F.col("disc") * 10).alias("b"), "target")
+    got = T.over_units(v, ["unit"], ["k"], ["a", "b"], "target", "logistic_regression")
+    return got.groupBy("unit", "role", "y_true", "y_pred").agg(F.count("*").alias("n"), F.round(F.avg(F.col("proba")["1"]), 5).alias("p"))
+
+
+@query("t2_forest_leaves", forest_sql(f"{duck('v_ev')}, src as (select k, (user_id % 2)::bigint as unit, target as y, value::double as value, user_id::double as user_id from v_ev where {duck_u('role')} >= 0.25)", ["value", "user_id"], 100, 3, 1))
+def _(spark, d):
+    v = _with_role(view(spark, d, "v_ev")).withColumn("unit", F.col("user_id") % 2)
+    return leaf_counts(v, ["k"], ["value", "user_id"], "target", ["unit"], depth=3)
+
+
+@query("t3_several_classes", f"with {duck('v_ev')}, c as (select {_ROLE} as role, count(*) as n from v_ev group by 1) select model, role, n, n::double as total from c, (select unnest(['gradient_boosting', 'linear_svm']) as model)")
 def _(spark, d):
     v, out = _with_role(view(spark, d, "v_ev")).select("k", "value", "user_id", "target", "role"), None
-    for name in ("gradient_boosting",):
-        pred, _ = T.fit_score(v, ["k"], ["value", "user_id"], "target", name, rounds=3)
+    for name in ("gradient_boosting", "linear_svm"):
+        pred, _ = T.fit_score(v, ["k"], ["value", "user_id"], "target", name)
         one = pred.groupBy("role").agg(F.lit(name).alias("model"), F.count("*").alias("n"), F.round(F.sum(F.aggregate(F.map_values("proba"), F.lit(0.0), lambda a, x: a + x)), 3).alias("total")).select("model", "role", "n", "total")
         out = one if out is None else out.unionByName(one)
     return out
@@ -225,7 +255,7 @@ def _(spark, d):
 @query("a1_a2_a3_sampled_importance")
 def _(spark, d):
     v = view(spark, d, "v_li")
-    sample, reference = A.evaluation_sample(v, ["k"], 200), A.background(v, LI, 20)
+    sample, reference = A.evaluation_sample(v, ["k"], 200), A.background(v, ["k"], LI, 20)
     return A.sampled_importance(sample, reference, ["k"], LI, lambda t: t.withColumn("score", 2 * F.col("qty") + F.col("price") / 1000 + F.col("disc") * F.col("tax")))
 
 

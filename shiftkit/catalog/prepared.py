@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import duck, duck_u, duck_z, view
+from .unrolled import kmeans_sql
 from ..functions.numeric import r6
 from ..operators import prepare as P
 from ..operators import relational as R
@@ -119,9 +120,14 @@ def _(spark, d):
     return X.covariate_folds(v, ["k"], "target").groupBy("fold").agg(F.count("*").alias("n"))
 
 
-@query("x5_population_folds")
+@query("x5_population_folds", kmeans_sql(f"{duck('v_li')}, src as (select k, qty::double as x0, price::double as x1, disc::double as x2, tax::double as x3 from v_li)", 4, 5, 6))
 def _(spark, d):
-    return X.population_folds(view(spark, d, "v_li"), ["k"], "target").select("k", "fold")
+    return X.population_folds(view(spark, d, "v_li"), ["k"], "target", rounds=6).select("k", "fold")
+
+
+@query("x5_population_folds_settled", kmeans_sql(f"{duck('v_cust')}, src as (select k, bal::double as x0, nat::double as x1 from v_cust)", 2, 5, 20))
+def _(spark, d):
+    return X.population_folds(view(spark, d, "v_cust"), ["k"], "target").select("k", "fold")
 
 
 @query("x6_all_folds", f"with {duck('v_li')}, f as (select target, ({_FOLD} - 1) % 5 + 1 as fold from v_li) select i::int as unit_fold, case when i = fold then 'test' else 'train' end as role, target, count(*) as n from f, range(1, 6) u(i) group by all")
@@ -165,11 +171,11 @@ def _(spark, d):
     return H.structured_label_drift(view(spark, d, "v_li").select("k", "price", "target"), ["k"], "target", 0.1).select("k", "target")
 
 
-@query("h7_feature_removal", f"with {duck('v_li')}, n as (select unnest(['qty', 'price', 'disc', 'tax', 'flag']) as f) select f from n order by md5(concat('42|remove|', f)), f offset 2")
+@query("h7_feature_removal", f"with {duck('v_li')}, n as (select unnest(['qty', 'price', 'disc', 'tax', 'flag']) as f, unnest([count(qty), count(price), count(disc), count(tax), count(flag)]) as n, unnest([count(distinct qty), count(distinct price), count(distinct disc), count(distinct tax), count(distinct flag)]) as k from v_li) select f, n, k from n order by md5(concat('42|remove|', f)), f offset 2")
 def _(spark, d):
-    v = view(spark, d, "v_li")
-    kept = H.feature_removal(v, ["k"], "target", 0.4)
-    return kept.limit(1).select(F.explode(F.array(*[F.lit(c) for c in kept.columns if c not in ("k", "target")])).alias("f"))
+    kept = H.feature_removal(view(spark, d, "v_li"), ["k"], "target", 0.4)
+    names = [c for c in kept.columns if c not in ("k", "target")]
+    return kept.agg(F.array(*[F.struct(F.lit(c).alias("f"), F.count(c).alias("n"), F.countDistinct(c).alias("k")) for c in names]).alias("c")).select(F.explode("c").alias("c")).select("c.*")
 
 
 @query("h8_dispatcher", f"with {duck('v_cust')} select k, case when {duck_u('lost|bal')} >= 0.1 then bal end as bal, case when {duck_u('lost|nat')} >= 0.1 then nat::double end as nat, target from v_cust")

@@ -104,13 +104,9 @@ def _(spark, d):
     return view(spark, d, "v_li").select("k", r6(clip(finite(raw), -1e6, 1e6)).alias("x"))
 
 
-_CELLS = f"with {duck('v_res')}, c as (select dataset, seed, pipeline, max(f1) as f1 from v_res where fold = 1 and condition = 'clean' and model = 'knn' group by all)"
-
-
-@query("r17_strict_pivot", _CELLS + " select dataset, seed, max(f1) filter (where pipeline = 'Raw') as \"Raw\", max(f1) filter (where pipeline = 'AutoFE_MI') as \"AutoFE_MI\" from c group by all")
+@query("r17_strict_pivot", f"with {duck('v_res')} select dataset, seed, fold, condition, model, max(f1) filter (where pipeline = 'Raw') as \"Raw\", max(f1) filter (where pipeline = 'AutoFE_MI') as \"AutoFE_MI\" from v_res group by all")
 def _(spark, d):
-    v = view(spark, d, "v_res").where("fold = 1 and condition = 'clean' and model = 'knn'")
-    return R.strict_pivot(v, ["dataset", "seed"], "pipeline", ["Raw", "AutoFE_MI"], "f1")
+    return R.strict_pivot(view(spark, d, "v_res"), ["dataset", "seed", "fold", "condition", "model"], "pipeline", ["Raw", "AutoFE_MI"], "f1")
 
 
 @query("r18_mean_pivot", f"with {duck('v_res')} select dataset, model, round(avg(f1) filter (where pipeline = 'Raw'), 6) as raw, round(avg(f1) filter (where pipeline = 'AutoFE_MI'), 6) as mi from v_res group by all")
@@ -135,11 +131,11 @@ def _(spark, d):
     return v.agg(R.distinct_count(v, "flag").alias("k"), R.distinct_count(v, "qty").alias("q"))
 
 
-@query("r22_average_rank", f"""with {duck('v_res')}, m as (select dataset, seed, fold, condition, model, round(f1, 1) as f1 from v_res where pipeline = 'Raw')
-select *, rank() over (partition by dataset, seed, fold, condition order by f1 desc) + (count(*) over (partition by dataset, seed, fold, condition, f1) - 1) / 2 as rank from m""")
+@query("r22_average_rank", f"""with {duck('v_res')}, m as (select dataset, seed, fold, condition, pipeline, model, round(f1, 1) as f1 from v_res)
+select *, rank() over (partition by dataset, seed, fold, condition, pipeline order by f1 desc) + (count(*) over (partition by dataset, seed, fold, condition, pipeline, f1) - 1) / 2 as rank from m""")
 def _(spark, d):
-    v = view(spark, d, "v_res").where("pipeline = 'Raw'").select("dataset", "seed", "fold", "condition", "model", F.round("f1", 1).alias("f1"))
-    return R.average_rank(v, ["dataset", "seed", "fold", "condition"], "f1")
+    v = view(spark, d, "v_res").select("dataset", "seed", "fold", "condition", "pipeline", "model", F.round("f1", 1).alias("f1"))
+    return R.average_rank(v, ["dataset", "seed", "fold", "condition", "pipeline"], "f1")
 
 
 @query("r23_missing_report", f"with {duck('v_li_na')}, m as (select 'disc' as \"column\", count(*) - count(disc) as missing from v_li_na union all select 'tax', count(*) - count(tax) from v_li_na union all select 'flag', count(*) - count(flag) from v_li_na union all select 'dead', count(*) from v_li_na union all select 'qty', count(*) - count(qty) from v_li_na) select * from m order by missing desc, \"column\" limit 4")

@@ -16,7 +16,7 @@ CONDITIONS = (
     "'clean', 'gaussian_noise_0.01', 'gaussian_noise_0.05', 'gaussian_noise_0.1', 'missing_values_0.05', 'missing_values_0.1', 'missing_values_0.2', "
     "'label_noise_0.05', 'label_noise_0.1', 'label_noise_0.2', 'covariate_shift', 'feature_removal_0.2', 'population_shift', 'class_prior_shift'"
 )
-MODELS = "'logistic_regression', 'random_forest', 'extra_trees', 'xgboost', 'lightgbm', 'catboost', 'svm', 'knn', 'naive_bayes', 'mlp'"
+MODELS = "'logistic_regression', 'random_forest', 'extra_trees', 'xgboost', 'lightgbm', 'catboost', 'linear_svm', 'knn', 'gaussian_nb', 'mlp'"
 
 VIEWS = {
     "v_li": f"select {LI_KEY} as k, l_quantity as qty, l_extendedprice as price, l_discount as disc, l_tax as tax, l_returnflag as flag, {LI_Y} as target from {{lineitem}}",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -13,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.keys import digest
+from ..functions.numeric import finite
 from ..sources.tables import cap_rows
+from .clusters import kmeans
 
 
 def evaluation_sample(df: DataFrame, keys: list[str], n: int = 500, seed: int = 42) -> DataFrame:
@@ -21,13 +22,12 @@ def evaluation_sample(df: DataFrame, keys: list[str], n: int = 500, seed: int =
     return cap_rows(df, keys, n, seed)
 
 
-def background(df: DataFrame, cols: list[str], k: int = 100, seed: int = 42) -> DataFrame:
+def background(df: DataFrame, keys: list[str], cols: list[str], k: int = 100, seed: int = 42) -> DataFrame:
     """A2. k cluster centres of the columns; all rows, if there are no more."""
-    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
+    rows = df.select(*[F.coalesce(finite(F.col(f"`{c}`")), F.lit(0.0)).alias(c) for c in cols])
     if rows.limit(k + 1).count() <= k:
         return rows
-    v = rows.select(array_to_vector(F.array(*[F.col(f"`{c}`") for c in cols])).alias("v"))
-    centres = KMeans(k=k, seed=seed, featuresCol="v").fit(v).clusterCenters()
+    centres = kmeans(df.select(*keys, F.array(*[F.coalesce(finite(F.col(f"`{c}`")), F.lit(0.0)) for c in cols]).alias("x")), keys, k, seed=seed)
     return df.sparkSession.createDataFrame([tuple(float(x) for x in c) for c in centres], ", ".join(f"`{c}` double" for c in cols))
 
 

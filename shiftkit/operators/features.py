@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +11,7 @@ from ..functions.keys import digest, running_sums
 from ..functions.numeric import finite, numeric_columns
 from .prepare import encode_for_scoring, fill_selected
 from .profile import BINS, binned_information, long_form
+from .unit_models import class_names, fit_units, lasso
 
 PRIMITIVES = ("add", "subtract", "multiply", "divide")
 MAX_BASE, MAX_FEATURES, SHUFFLES = 20, 100, 10
@@ -131,17 +129,13 @@ def infer_task(df: DataFrame, target: str) -> str:
 
 def l1_importance(df: DataFrame, cols: list[str], target: str, task: str, strength: float = 1.0) -> DataFrame:
     """F14, F15. (feature, l1): absolute coefficients, over classes their mean."""
-    spark, n = df.sparkSession, df.count()
-    points = df.select(array_to_vector(F.array(*[F.col(f"`{c}`").cast("double") for c in cols])).alias("x"), F.col(target).alias("y"))
     if task == "classification":
-        levels = {r.y: float(i) for i, r in enumerate(points.select("y").where("y is not null").distinct().orderBy("y").collect())}
-        coded = points.where("y is not null").withColumn("y", F.create_map(*[F.lit(v) for kv in levels.items() for v in kv])[F.col("y")])
-        m = LogisticRegression(featuresCol="x", labelCol="y", elasticNetParam=1.0, regParam=1.0 / (strength * max(n, 1)), standardization=False, maxIter=100, family="multinomial" if len(levels) > 2 else "binomial").fit(coded)
-        w = abs(m.coefficientMatrix.toArray()).mean(0)
+        labels = class_names(df, target)
+        fitted = fit_units(df, cols, target, [], labels, strength, l1=True)
+        w = abs(fitted[()][1]).mean(0)[:-1] if fitted and fitted[()][1].size else [0.0] * len(cols)
     else:
-        m = LinearRegression(featuresCol="x", labelCol="y", elasticNetParam=1.0, regParam=max(1e-4, 1 / max(strength, 1e-4)), standardization=False).fit(points.where("y is not null").withColumn("y", F.col("y").cast("double")))
-        w = abs(m.coefficients.toArray())
-    return spark.createDataFrame([(c, float(x)) for c, x in zip(cols, w, strict=True)], "feature string, l1 double")
+        w = abs(lasso(df, cols, target, max(1e-4, 1 / max(strength, 1e-4)))[0])
+    return df.sparkSession.createDataFrame([(c, float(x)) for c, x in zip(cols, w, strict=True)], "feature string, l1 double")
 
 
 def mi_importance(df: DataFrame, cols: list[str], target: str, task: str, bins: int = BINS) -> DataFrame:

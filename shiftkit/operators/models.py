@@ -1,19 +1,23 @@
-"""T. Classifiers: naive Bayes and nearest neighbours as plans over all units, the others by MLlib, one fit a unit."""
+"""T. Classifiers: naive Bayes, logistic regression and trees over all units at once, nearest neighbours, the others by MLlib."""
 
 from __future__ import annotations
 
 import math
 import time
 
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.keys import u
+from .neighbours import nearest_rows, pivots_for
+from .trees import tree_units
+from .unit_models import class_names, logistic_units
 
-NAMES = ("logistic_regression", "random_forest", "gradient_boosting", "linear_svm", "knn", "naive_bayes", "mlp")
+#: Tree models by the grid's names.
+TREES = {"random_forest": "random_forest", "extra_trees": "extra_trees", "gradient_boosting": "gradient_boosting", "xgboost": "gradient_boosting", "lightgbm": "gradient_boosting", "catboost": "gradient_boosting"}
 
 
 def naive_bayes(df: DataFrame, keys: list[str], cols: list[str], target: str, unit: list[str], role: str = "role", smoothing: float = 1e-9, labels: list[str] | None = None) -> DataFrame:
@@ -52,41 +56,32 @@ def naive_bayes(df: DataFrame, keys: list[str], cols: list[str], target: str, un
     return scored.withColumn("__total", total).select(*unit, *keys, role, "y_true", label.alias("y_pred"), proba.alias("proba"))
 
 
-def knn(df: DataFrame, keys: list[str], cols: list[str], target: str, k: int = 5, role: str = "role", blocks: int = 16, most: int = 200_000) -> DataFrame:
+def knn(df: DataFrame, keys: list[str], cols: list[str], target: str, k: int = 5, role: str = "role", most: int = 200_000, counts: bool = False) -> DataFrame:
     """T5. Exact k nearest training rows by squared distance, ties by key; majority vote, ties to the smaller label.
 
-    A training side of at most ``most`` rows is broadcast; a larger one is cut into blocks by hash, test rows meet each
-    block, and only the k best of each block go on.
+    A training side of at most ``most`` rows is broadcast; of a larger one cells that lie too far are left out.
+    ``counts`` adds how many training rows each test row was compared with.
     """
-    vec = F.array(*[F.col(f"`{c}`").cast("double") for c in cols])
-    ident = F.struct(*keys)
-    train = df.where(F.col(role) == "train").select(ident.alias("t_key"), F.col(target).cast("string").alias("t_y"), vec.alias("t_x"))
-    test = df.where(F.col(role) == "test").select(ident.alias("q_key"), F.col(target).cast("string").alias("y_true"), vec.alias("q_x"))
-    n = train.count()
-    parts = 1 if n <= most else max(blocks, math.ceil(n / most))
-    train = train.withColumn("b", F.pmod(F.xxhash64("t_key"), F.lit(parts)))
-    test = test.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    pairs = test.join(F.broadcast(train) if parts == 1 else train, "b")
-    d = F.aggregate(F.zip_with("q_x", "t_x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-    near = pairs.select("q_key", "y_true", "b", "t_key", "t_y", F.round(d, 9).alias("d"))
-    of_block = near.withColumn("r", F.row_number().over(W.partitionBy("q_key", "b").orderBy("d", "t_key"))).where(F.col("r") <= k)
-    top = of_block.withColumn("r", F.row_number().over(W.partitionBy("q_key").orderBy("d", "t_key"))).where(F.col("r") <= k)
-    votes = top.groupBy("q_key", "y_true", "t_y").agg(F.count("*").alias("n"))
-    ranked = votes.withColumn("r", F.row_number().over(W.partitionBy("q_key").orderBy(F.desc("n"), "t_y"))).where("r = 1")
-    return ranked.select("q_key.*", "y_true", F.col("t_y").alias("y_pred"), (F.col("n") / k).alias("share"))
-
-
-def build_model(name: str, n: int, d: int, classes: int, seed: int = 42, rounds: int = 100):
-    """T1 to T4, T7. An MLlib estimator by name."""
+    vec = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in cols])
+    train = df.where(F.col(role) == "train").select(*[F.col(c).alias(f"t_{c}") for c in keys], F.col(target).cast("string").alias("t_y"), vec.alias("t_x"))
+    test = df.where(F.col(role) == "test").select(*[F.col(c).alias(f"q_{c}") for c in keys], F.col(target).cast("string").alias("y_true"), vec.alias("q_x"))
+    n, asks = train.count(), [f"q_{c}" for c in keys]
+    if n > most:
+        top = nearest_rows(train, test, keys, k, pivots_for(n))
+    else:
+        d = F.aggregate(F.zip_with("q_x", "t_x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+        near = test.crossJoin(F.broadcast(train)).select(*asks, "y_true", *[f"t_{c}" for c in keys], "t_y", F.round(d, 9).alias("d"), F.lit(n).alias("compared"))
+        top = near.withColumn("r", F.row_number().over(W.partitionBy(*asks).orderBy("d", *[f"t_{c}" for c in keys]))).where(F.col("r") <= k)
+    votes = top.groupBy(*asks, "y_true", "t_y").agg(F.count("*").alias("n"), F.max("compared").alias("compared"))
+    ranked = votes.withColumn("r", F.row_number().over(W.partitionBy(*asks).orderBy(F.desc("n"), "t_y"))).where("r = 1")
+    return ranked.select(*[F.col(f"q_{c}").alias(c) for c in keys], "y_true", F.col("t_y").alias("y_pred"), (F.col("n") / k).alias("share"), *(["compared"] if counts else []))
+
+
+def build_model(name: str, d: int, classes: int, seed: int = 42):
+    """T4, T7. An MLlib estimator by name."""
     cols = {"featuresCol": "features", "labelCol": "label"}
-    if name == "logistic_regression":
-        return LogisticRegression(**cols, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=1000)
-    if name == "random_forest":
-        return RandomForestClassifier(**cols, numTrees=100, seed=seed)
-    if name in ("gradient_boosting", "xgboost", "lightgbm", "catboost"):
-        return GBTClassifier(**cols, maxIter=rounds, seed=seed)  # of two classes; fit_score sees to more
     if name == "linear_svm":
-        return LinearSVC(**cols, maxIter=100)  # likewise
+        return LinearSVC(**cols, maxIter=100)  # of two classes; fit_score sees to more
     if name == "mlp":
         return MultilayerPerceptronClassifier(**cols, layers=[d, 100, classes], seed=seed, maxIter=100)
     raise ValueError(f"unknown model {name}")
@@ -100,21 +95,42 @@ def points(df: DataFrame, keys: list[str], cols: list[str], target: str) -> tupl
     return df.select(*kept, array_to_vector(F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in cols])).alias("features"), code[F.col(target)].alias("label")), classes
 
 
+def batched(df: DataFrame, unit: list[str], keys: list[str], cols: list[str], target: str, name: str, seed: int = 42, rounds: int = 100) -> DataFrame | None:
+    """T1 to T3, T6, T10. Predictions of a model that fits all units in one plan; None for the others."""
+    if name == "logistic_regression":
+        return logistic_units(df, keys, cols, target, unit)
+    if name in TREES:
+        return tree_units(df, keys, cols, target, unit, TREES[name], trees=rounds, seed=seed)
+    if name in ("gaussian_nb", "naive_bayes"):
+        one = df if unit else df.withColumn("__one", F.lit(1))
+        got = naive_bayes(one, keys, cols, target, unit or ["__one"])
+        return got if unit else got.drop("__one")
+    return None
+
+
 def fit_score(df: DataFrame, keys: list[str], cols: list[str], target: str, name: str, seed: int = 42, rounds: int = 100) -> tuple[DataFrame, dict[str, float]]:
     """T8, T9. Fit on role = train, predict both roles: (keys..., role, y_true, y_pred, proba), and the seconds it took.
 
-    ``rounds``: trees of a boosting model.
+    ``rounds``: trees of a forest or boosting model. Any name of the grid will do; "knn" predicts test rows only.
     """
+    began = time.time()
+    if name == "knn":
+        got = knn(df, keys, cols, target)
+        names = class_names(df, target)
+        proba = F.map_from_arrays(F.array(*[F.lit(v) for v in names]), F.array(*[F.when(F.col("y_pred") == v, F.col("share")).otherwise((1 - F.col("share")) / max(1, len(names) - 1)) for v in names]))
+        return got.select(*keys, F.lit("test").alias("role"), "y_true", "y_pred", proba.alias("proba")), {"train_time_s": time.time() - began}
+    together = batched(df, [], keys, cols, target, name, seed, rounds)
+    if together is not None:
+        return together, {"train_time_s": time.time() - began}
     rows, classes = points(df, keys, cols, target)
     train = rows.where((F.col("role") == "train") & F.col("label").isNotNull())
-    began = time.time()
     if name == "linear_svm" and len(classes) == 2:
         model, extra = _calibrated_svm(train, keys, seed)
         got = extra(model.transform(rows))
-    elif len(classes) > 2 and name in ("linear_svm", "gradient_boosting", "xgboost", "lightgbm", "catboost"):
-        got = _one_against_rest(train, rows, keys, name, len(cols), len(classes), seed, rounds)
+    elif name == "linear_svm" and len(classes) > 2:
+        got = _one_against_rest(train, rows, keys, len(classes), seed)
     else:
-        model = build_model(name, train.count(), len(cols), len(classes), seed, rounds).fit(train)
+        model = build_model(name, len(cols), len(classes), seed).fit(train)
         got = model.transform(rows)
     seconds = {"train_time_s": time.time() - began}
     names = F.array(*[F.lit(str(c)) for c in classes])
@@ -123,15 +139,12 @@ def fit_score(df: DataFrame, keys: list[str], cols: list[str], target: str, name
     return got.select(*keys, "role", F.when(F.col("label").isNotNull(), at("label")).alias("y_true"), at("prediction").alias("y_pred"), F.map_from_arrays(names, proba).alias("proba")), seconds
 
 
-def _one_against_rest(train: DataFrame, rows: DataFrame, keys: list[str], name: str, d: int, classes: int, seed: int, rounds: int) -> DataFrame:
-    """T3, T4 for more than two classes: each class' probability against the rest, together 1; ties go to the smaller class."""
+def _one_against_rest(train: DataFrame, rows: DataFrame, keys: list[str], classes: int, seed: int) -> DataFrame:
+    """T4 for more than two classes: each class' probability against the rest, together 1; ties go to the smaller class."""
     got = rows
     for k in range(classes):
         side = train.withColumn("label", (F.col("label") == k).cast("double"))
-        if name == "linear_svm":
-            model, extra = _calibrated_svm(side, keys, seed)
-        else:
-            model, extra = build_model(name, 0, d, 2, seed, rounds).fit(side), lambda x: x
+        model, extra = _calibrated_svm(side, keys, seed)
         scored = extra(model.transform(got))
         got = scored.select(*got.columns, vector_to_array("probability")[1].alias(f"__c{k}"))
     total = sum((F.col(f"__c{k}") for k in range(classes)), F.lit(0.0))
@@ -155,7 +168,10 @@ def _calibrated_svm(train: DataFrame, keys: list[str], seed: int, cv: int = 3):
 
 
 def over_units(df: DataFrame, unit: list[str], keys: list[str], cols: list[str], target: str, name: str) -> DataFrame:
-    """T10. A fit for each unit, predictions together."""
+    """T10. Predictions of every unit: one plan for all units where the model has one, else a fit for each."""
+    together = batched(df, unit, keys, cols, target, name)
+    if together is not None:
+        return together
     out = None
     for r in df.select(*unit).distinct().orderBy(*unit).collect():
         one = df.where(" and ".join(f"`{c}` <=> {r[c]!r}" for c in unit))

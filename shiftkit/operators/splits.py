@@ -4,8 +4,6 @@ from __future__ import annotations
 
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +11,7 @@ from pyspark.sql import Window as W
 
 from ..functions.keys import dist_rank, u
 from ..functions.numeric import finite
+from .clusters import LLOYD_ROUNDS, PLACES, kmeans, nearest_centre
 from .profile import correlations
 
 
@@ -91,15 +90,17 @@ def covariate_folds(df: DataFrame, keys: list[str], target: str, k: int = 5, see
     return ranked.withColumn("fold", fold.cast("int")).drop("__rank")
 
 
-def population_folds(df: DataFrame, keys: list[str], target: str, k: int = 5, seed: int = 42, include_target: bool = False) -> DataFrame:
+def population_folds(df: DataFrame, keys: list[str], target: str, k: int = 5, seed: int = 42, include_target: bool = False, rounds: int = LLOYD_ROUNDS) -> DataFrame:
     """X5. Each of k clusters is a fold; an empty cluster's fold takes a fifth of the rows by hash (they leave theirs)."""
     cols = _features(df, keys, None if include_target else target)
     if not cols:
         return plain_folds(df, keys, k, seed)
     z = _standardised(df, cols)
-    points = df.withColumn("__v", array_to_vector(F.array(*[z[c] for c in cols])))
-    model = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="__c").fit(points)
-    got = model.transform(points).withColumn("fold", (F.col("__c") + 1).cast("int")).drop("__v", "__c")
+    points = df.withColumn("__x", F.array(*[F.round(z[c], PLACES) for c in cols]))
+    centres = kmeans(points.select(*keys, F.col("__x").alias("x")), keys, k, rounds, seed)
+    if not centres:
+        return df.withColumn("fold", F.lit(1))
+    got = points.withColumn("fold", nearest_centre("__x", centres) + 1).drop("__x")
     there = {r.fold for r in got.select("fold").distinct().collect()}
     for empty in sorted(set(range(1, k + 1)) - there):
         got = got.withColumn("fold", F.when(u(f"empty{empty}", *keys, seed=seed) < 0.2, empty).otherwise(F.col("fold")).cast("int"))
