@@ -56,6 +56,22 @@ def test_chunks_give_the_ids_of_whole_texts(name, drops):
             assert ids[a:b].tolist() == t.encode(x or "", add_special_tokens=False).ids, repr(x)
 
 
+@pytest.mark.parametrize("name,drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_twenty_thousand_odd_strings(name, drops):
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(tokens.tokenizer_path(name)), tokens.Encoder(tokens.tokenizer_path(name), drops)
+    rng = np.random.default_rng(7)
+    letters = list("abcXYZ éßÀÿ×÷ªµ.,;'’\n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u2003\u200b12٣²中éİΣς_-\x00  \n\n") + ["<|endoftext|>", "<|startoftext|>", "<|ENDoftext|>", "  <|endoftext|>", "\n\n<|endoftext|>"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(20_000)]
+    wrong = 0
+    for lo in range(0, len(texts), 2000):
+        part = texts[lo : lo + 2000]
+        ids, at = e.encode(pa.array(part))
+        wrong += sum(ids[a:b].tolist() != t.encode(x, add_special_tokens=False).ids for x, a, b in zip(part, at, at[1:], strict=False))
+    assert wrong == 0
+
+
 def test_packing_is_whole_gapless_and_tight(spark, odd, empty):
     pieces = packing.token_pieces(odd, tokens.tokenizer_path("word_bpe_49k.json"))
     rows = packing.pack(pieces).collect()
@@ -72,6 +88,16 @@ def test_packing_is_whole_gapless_and_tight(spark, odd, empty):
     by_doc = Counter()
     for r in rows:
         by_doc[r.doc_id] += r.length
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.tokenizer_path("word_bpe_49k.json"))
+    want = Counter()
+    for d in odd.collect():  # each piece against the whole text's ids
+        ids = [*t.encode(d.text or "", add_special_tokens=False).ids, 0]
+        for i, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            want[d.doc_id, i, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
     long = [r for r in rows if r.doc_id == 9]
     assert sorted(r.piece for r in long) == list(range(len(long))) and all(r.length == 2048 for r in long if r.piece < len(long) - 1)
     assert len(seqs) == -(-sum(r.length for r in rows) // 2048)
