@@ -84,7 +84,7 @@ def shingles_of(texts: list[str | None], k: int) -> list[np.ndarray]:
     """For each text the sorted hashes of its distinct k-word shingles."""
     h, at = word_hashes(texts)
     part = np.full(len(h), k, np.uint64)
-    for i in range(k):
+    for i in range(min(k, len(h))):  # a batch may have fewer words than k
         part[: len(h) - i] = _mixed(part[: len(h) - i] * _BASE + h[i:])
     out = []
     for a, b in zip(at, at[1:], strict=False):

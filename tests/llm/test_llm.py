@@ -72,6 +72,10 @@ def test_twenty_thousand_odd_strings(name, drops):
     assert wrong == 0
 
 
+def test_a_batch_of_fewer_words_than_a_shingle():
+    assert [len(x) for x in jaccard.shingles_of(["two words", None, "one"], 5)] == [1, 0, 1] and [len(x) for x in jaccard.shingles_of(["a"], 5)] == [1]
+
+
 def test_packing_is_whole_gapless_and_tight(spark, odd, empty):
     pieces = packing.token_pieces(odd, tokens.tokenizer_path("word_bpe_49k.json"))
     rows = packing.pack(pieces).collect()
