@@ -31,6 +31,7 @@ from .common import materialize
 from .tokens import lean
 
 BLOCK, WIDE, SHARD_TURNS, SHARD_CONVS = 64, 16, 400_000, 50_000
+FEW = 200_000  # spine nodes up to which their table is broadcast; each takes about 50 bytes
 NONE = hashlib.sha256(b"").hexdigest()
 
 
@@ -278,6 +279,8 @@ def _merged(found: DataFrame) -> DataFrame:
     pieces = spine.where(F.col("ends").isNotNull()).select("node", "shard", "ends")
     ends = pieces.repartition("node").sortWithinPartitions("node", "shard").mapInArrow(lean(_hashed), "node string, sha string")
     ups = each.select(F.col("node").alias("up"), F.col("conv_id").alias("up_conv"))
+    if each.count() <= FEW:  # else many children of one spine node, as of the root, would meet in one task
+        ups = F.broadcast(ups)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     shared = each.join(fixed, "node", "left").join(twice, "node", "left").join(ends, "node", "left").join(ups, F.col("parent") == F.col("up"), "left")
     shared = shared.select(
