@@ -10,6 +10,7 @@ from ..fixtures import duck, view
 from ..functions.numeric import r6
 from ..functions.shared import folder
 from ..operators import compare as C
+from ..operators import sketches as K
 from ..operators.prepare import fit_numeric
 from ..plans import grid as G
 from ..sources import tables as S
@@ -132,6 +133,19 @@ def _(spark, d):
     return _six(C.runtime_summary(view(spark, d, "v_res")), "q25", "median", "q75")
 
 
+@query("c15_runtime_sketched", f"with {duck('v_res')} select model, count(*) as n, true as within, count(distinct infer_time_s) > 0 as some from v_res group by 1")
+def _(spark, d):
+    """Sketches of each dataset, seed and fold, stored and merged by model: the ranks of their quartiles against the rows."""
+    v, path = view(spark, d, "v_res"), f"{folder(spark)}/sketches-{uuid.uuid4().hex}"
+    K.unit_sketches(v, ["model", "dataset", "seed", "fold"], ["infer_time_s"]).write.parquet(path)
+    whole = K.merged(spark.read.parquet(path), ["model"])
+    q = K.quantiles(whole, ["model"], "infer_time_s", {"q25": 0.25, "median": 0.5, "q75": 0.75}).join(K.distinct_counts(whole, ["model"], ["infer_time_s"]).withColumnRenamed("infer_time_s", "k"), "model")
+    ranks = v.join(F.broadcast(q), "model").groupBy("model").agg(F.count("*").alias("n"), F.countDistinct("infer_time_s").alias("exact"), F.max("k").alias("k"), *[F.avg((F.col("infer_time_s") < F.col(c)).cast("double")).alias(f"lo_{c}") for c in ("q25", "median", "q75")], *[F.avg((F.col("infer_time_s") <= F.col(c)).cast("double")).alias(f"hi_{c}") for c in ("q25", "median", "q75")])
+    near = [(F.col(f"lo_{c}") <= p + K.RANK_ERROR) & (F.col(f"hi_{c}") >= p - K.RANK_ERROR) for c, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))]
+    close = F.abs(F.col("k") / F.col("exact") - 1) <= 4 * K.DISTINCT_ERROR
+    return ranks.select("model", "n", (near[0] & near[1] & near[2] & close).alias("within"), (F.col("exact") > 0).alias("some"))
+
+
 @query("c16_mean_by_pipeline", f"with {duck('v_res')} select case pipeline when 'Raw' then 'Original' else pipeline end as label, round(avg(f1), 6) as mean, round(stddev_samp(f1), 6) as std from v_res group by 1")
 def _(spark, d):
     from ..operators.relational import labelled, mean_std
@@ -217,13 +231,14 @@ def _(spark, d):
     return got.groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
 
 
-@query("s16_prepared", f"with {duck('v_ev')} select count(*) filter (where k % 5 <> 0) as train, count(*) filter (where k % 5 = 0) as test, round(avg(value) filter (where k % 5 <> 0), 6) as mean from v_ev")
+@query("s16_prepared", f"with {duck('v_ev')} select case when k % 5 <> 0 then 'train' else 'test' end as side, count(*) as n, round(sum(value), 2) as total, min(k) as low, max(k) as high, round((select avg(value) from v_ev where k % 5 <> 0), 6) as mean, round((select stddev_pop(value) from v_ev where k % 5 <> 0), 6) as sd from v_ev group by 1")
 def _(spark, d):
     path, v = f"{folder(spark)}/prepared-{uuid.uuid4().hex}", view(spark, d, "v_ev").select("k", "value")
     train, test = v.where("k % 5 != 0"), v.where("k % 5 = 0")
     S.write_prepared(train, test, fit_numeric(train, ["value"]), path)
     a, b, p = S.read_prepared(spark, path)
-    return a.agg(F.count("*").alias("train")).crossJoin(b.agg(F.count("*").alias("test"))).crossJoin(p.select(F.round("value__mean", 6).alias("mean")))
+    both = a.withColumn("side", F.lit("train")).unionByName(b.withColumn("side", F.lit("test"))).groupBy("side").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.min("k").alias("low"), F.max("k").alias("high"))
+    return both.crossJoin(F.broadcast(p.select(r6(F.col("value__mean")).alias("mean"), r6(F.col("value__sd")).alias("sd"))))  # one row of parameters
 
 
 @query("s18_dataset_names", f"with {duck('v_ev')} select distinct target as dataset from v_ev")

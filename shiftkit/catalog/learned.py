@@ -12,8 +12,11 @@ from ..operators import features as X
 from ..operators import metrics as M
 from ..operators import models as T
 from ..operators import splits as S
+from ..operators.compare import robustness
+from ..operators.shifts import conditions
 from ..operators.trees import leaf_counts
-from .unrolled import forest_sql, lasso_sql, newton_sql
+from ..plans.results import experiment
+from .unrolled import experiment_sql, forest_sql, lasso_sql, newton_sql
 
 QUERIES, SQL = {}, {}
 LI = ["qty", "price", "disc", "tax"]
@@ -247,6 +250,22 @@ def _(spark, d):
     return T.over_units(v, ["unit"], ["k"], ["value", "user_id"], "target", "logistic_regression").groupBy("unit", "role", "y_true").agg(F.count("*").alias("n"))
 
 
+@query("g6_experiment_accuracy", experiment_sql(f"{duck('v_cust')}, src as (select k, bal::double as a, nat::double as b, target from v_cust)", ("covariate_shift", "population_shift", "class_prior_shift")))
+def _(spark, d):
+    v = view(spark, d, "v_cust").select("k", F.col("bal").cast("double").alias("a"), F.col("nat").cast("double").alias("b"), "target")
+    chosen = conditions(spark).where(~F.col("family").isin("covariate_shift", "population_shift", "class_prior_shift"))
+    got = experiment(v, "customers", ["k"], "target", chosen, models=("gaussian_nb",))
+    return got.groupBy("condition", "pipeline").agg(F.round(F.avg("accuracy"), 6).alias("accuracy"), F.max("n_retained").alias("n_retained"), F.count("*").alias("folds"))
+
+
+@query("g7_experiment_rows")
+def _(spark, d):
+    """Every condition, fold, pipeline and both models, compared as the comparison operators compare them."""
+    v = view(spark, d, "v_cust").select("k", F.col("bal").cast("double").alias("bal"), F.col("nat").cast("double").alias("nat"), "target")
+    rows = experiment(v, "customers", ["k"], "target")
+    return robustness(rows, metric="accuracy").join(rows.groupBy("model").agg(F.count("*").alias("rows"), F.count_if(F.col("status") == "success").alias("done"), F.avg("wasserstein").alias("wasserstein")), "model")
+
+
 @query("a3_linear_importance", f"with {duck('v_li')}, m as (select avg(qty) as a, avg(price) as b from v_li), r as (select round(avg(abs(2.0 * (qty - a))), 6) as q, round(avg(abs(-0.001 * (price - b))), 6) as p from v_li, m) select 'qty' as feature, q as importance from r union all select 'price', p from r")
 def _(spark, d):
     return A.linear_importance(view(spark, d, "v_li"), {"qty": 2.0, "price": -0.001}).select("feature", r6(F.col("importance")).alias("importance"))

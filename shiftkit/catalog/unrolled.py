@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..fixtures import duck_u
+from ..fixtures import duck_u, duck_z
+from ..operators.features import VARIANTS
+from ..operators.shifts import FAMILIES, condition_name, removed_features
 from ..operators.trees import POISSON, P, tree_hash
 
 
@@ -87,3 +89,38 @@ def forest_sql(source: str, features: list[str], trees: int, depth: int, take: i
         value = "case p.f " + " ".join(f"when {i} then b{i}" for i in range(len(features))) + " end"
         out.append(f"n{level + 1} as materialized (select n.unit, n.t, y, {bs}, w, case when p.f is null then n.node else 2 * n.node + 1 + ({value} > p.bin)::int end as node from n{level} n left join p{level} p on n.unit = p.unit and n.t = p.t and n.node = p.node)")
     return "with " + ",\n".join(out) + f"\nselect unit, t as tree, node, y::varchar as label, sum(w)::bigint as n from n{depth} group by all"
+
+
+def experiment_sql(source: str, left_out: tuple[str, ...]) -> str:
+    """(condition, pipeline, accuracy, n_retained, folds) of naive Bayes over ``src`` (k, a, b, target), whose classes have five rows or more."""
+    conds = [(condition_name(f, s), f, s or 0.0) for f, ss in FAMILIES.items() if f not in left_out for s in ss]
+    gone = removed_features(["a", "b"], 0.2, 42)
+    other = "classes[((list_position(classes, target) - 1 + floor({u} * (len(classes) - 1))::int + 1) % len(classes)) + 1]".format(u=duck_u("to"))
+    cell = lambda c: (
+        f"case when train and family = 'missing_values' and {duck_u(f'lost|{c}')} < sev then null when train and family = 'gaussian_noise' then {c} + {duck_z(f'noise|{c}')} * sev * coalesce(nullif(sd_{c}, 0), 1)"
+        + (" when family = 'feature_removal' then null" if c in gone else "") + f" else {c} end as {c}"
+    )
+    scaled = lambda c: f"coalesce((coalesce({c}, mean_{c}) - mean_{c}) / sdev_{c}, 0) as {c}"
+    made = {"a": "a", "b": "b", "a + b": "a + b", "a - b": "a - b", "a * b": "a * b", "a / b": "coalesce(a / nullif(b, 0), 0)", "b / a": "coalesce(b / nullif(a, 0), 0)"}
+    marks = {"add": "+", "subtract": "-", "multiply": "*", "divide": "/"}
+    sets = [(p, f) for p, (derived, _, primitives) in VARIANTS.items() for f in made if f in ("a", "b") or (derived and f.split()[1] in {marks[x] for x in primitives})]
+    text = lambda x: "'" + x + "'"
+    return (
+        f"with {source}, cond(condition, family, sev) as (values {', '.join(f'({text(c)}, {text(f)}, {s}::double)' for c, f, s in conds)}), cl as (select list(distinct target order by target) as classes from src),\n"
+        f"fo as materialized (select *, (row_number() over (order by target, {duck_u('fold')}, k) - 1) % 5 + 1 as fold from src),\n"
+        "un as materialized (select u.i::int as unit_fold, fo.*, fold <> u.i as train from fo, range(1, 6) u(i)),\n"
+        "sd as (select unit_fold, stddev_pop(a) as sd_a, stddev_pop(b) as sd_b from un where train group by 1),\n"
+        f"sh as materialized (select unit_fold, condition, k, train, {cell('a')}, {cell('b')}, target as y, case when train and family = 'label_noise' and {duck_u('flip')} < sev then {other} else target end as target from un join sd using (unit_fold), cond, cl),\n"
+        "pa as (select unit_fold, condition, " + ", ".join(f"avg({c}) as mean_{c}, coalesce(nullif(stddev_pop({c}) * sqrt(count({c}) / count(*)), 0), 1) as sdev_{c}" for c in "ab") + " from sh where train group by 1, 2),\n"
+        f"pr as materialized (select unit_fold, condition, k, train, y, target, {scaled('a')}, {scaled('b')} from sh join pa using (unit_fold, condition)),\n"
+        f"lo as materialized (select unit_fold, condition, k, train, y, target, unnest([{', '.join(map(text, made))}]) as f, unnest([{', '.join(made.values())}]) as v from pr),\n"
+        f"st as materialized (select unit_fold, condition, f, target as c, avg(v) as m, var_pop(v) as s from lo where train group by all),\n"
+        "va as (select unit_fold, condition, f, var_pop(v) as s from lo where train group by all),\n"
+        "nc as (select unit_fold, condition, target as c, count(*) as nc, sum(count(*)) over (partition by unit_fold, condition) as n from pr where train group by unit_fold, condition, target),\n"
+        f"se(pipeline, f) as (values {', '.join(f'({text(p)}, {text(f)})' for p, f in sets)}),\n"
+        "ep as (select unit_fold, condition, pipeline, 1e-9 * max(s) as eps from va join se using (f) group by all),\n"
+        "ll as (select unit_fold, condition, pipeline, k, y, c, ln(max(nc) / max(n)) - sum(ln(2 * pi() * (s + eps)) / 2 + (v - m) ** 2 / (2 * (s + eps))) as l from lo join se using (f) join ep using (unit_fold, condition, pipeline) join st using (unit_fold, condition, f) join nc using (unit_fold, condition, c) where not train group by all),\n"
+        "pd as (select unit_fold, condition, pipeline, k, y, arg_max(c, l) as p from ll group by all),\n"
+        "ac as (select unit_fold, condition, pipeline, avg((y = p)::int) as accuracy from pd group by all)\n"
+        "select condition, pipeline, round(avg(accuracy), 6) as accuracy, max(kept) as n_retained, count(*) as folds from ac join (select pipeline, count(*)::int as kept from se group by 1) using (pipeline) group by condition, pipeline"
+    )

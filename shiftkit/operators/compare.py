@@ -12,8 +12,10 @@ from pyspark.sql import Window as W
 
 from ..functions.keys import least_from, running_sums
 from ..functions.numeric import chi2_tail, finite, normal_two_sided, ratio, signed_rank_exact, studentized_range_tail
+from ..functions.shared import written
 from .metrics import two_samples
 from .relational import average_rank, family_of, mean_pivot, severity
+from .sketches import exact_quantiles, quantiles, unit_sketches
 
 PAIR_KEY = ["dataset", "seed", "fold", "condition", "model"]
 BLOCK = ["dataset", "seed", "fold", "condition"]
@@ -97,7 +99,7 @@ def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05, few: bool = F
         down = valid.orderBy(F.desc(p)).rangeBetween(W.unboundedPreceding, 0)
         out = df.withColumn("__q", F.col(p) * F.count(p).over(valid) / F.row_number().over(up)).withColumn("__least", F.min("__q").over(down)).drop("__q")
     else:
-        steps = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__n")).persist()
+        steps = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__n")).transform(lambda t: written(t, "steps"))
         run = running_sums(steps, F.col("__p"), {"__c": "__n"}).crossJoin(F.broadcast(steps.agg(F.sum("__n").alias("__m"))))
         least = least_from(run.withColumn("__q", F.col("__p") * F.col("__m") / F.col("__c")), F.col("__p"), "__q", "__least").select("__p", "__least")
         out = df.join(least, F.col(p) == F.col("__p"), "left").drop("__p")
@@ -194,10 +196,9 @@ def degradation(results: DataFrame, family: str, metric: str = "f1") -> DataFram
 
 
 def runtime_summary(results: DataFrame, c: str = "infer_time_s", exact: bool = True) -> DataFrame:
-    """C15. (model, pipeline, q25, median, q75)."""
-    at = [0.25, 0.5, 0.75]
-    q = F.percentile(c, F.array(*[F.lit(x) for x in at])) if exact else F.percentile_approx(c, at)
-    return results.groupBy("model", "pipeline").agg(q.alias("q")).select("model", "pipeline", *[F.col("q")[i].alias(n) for i, n in enumerate(("q25", "median", "q75"))])
+    """C15. (model, pipeline, q25, median, q75): exact from counts of values, or from sketches."""
+    by, at = ["model", "pipeline"], {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    return exact_quantiles(results, by, c, at) if exact else quantiles(unit_sketches(results, by, [c]), by, c, at)
 
 
 def drop_from_clean(results: DataFrame, metric: str, keys: list[str]) -> DataFrame:

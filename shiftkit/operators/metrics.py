@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.keys import running_sums
+from ..functions.keys import place_among, running_sums
 from ..functions.numeric import finite, ratio
+from ..functions.shared import written
 
 EPS = 1e-15
 
@@ -99,8 +100,9 @@ def distances(df: DataFrame, value: Column, is_first: Column, by: list[str] | No
     t = two_samples(df, value, is_first, by)
     gap = F.abs(ratio(F.col("ca"), F.col("na")) - ratio(F.col("cb"), F.col("nb")))
     # The next value: in the block by lead, across blocks from the blocks' first values.
-    edges = t.groupBy(*by).agg(F.percentile_approx("v", [(i + 1) / blocks for i in range(blocks - 1)], 1000).alias("__e"))
-    t = (t.join(edges, by) if by else t.crossJoin(F.broadcast(edges))).withColumn("__b", F.size(F.filter("__e", lambda e: e < F.col("v")))).drop("__e")
+    t = written(t, "counts")  # asked for three times
+    edges = written(t.groupBy(*by).agg(F.percentile_approx("v", [(i + 1) / blocks for i in range(blocks - 1)], 1000).alias("__e")), "edges")  # one row a group
+    t = (t.join(edges, by) if by else t.crossJoin(F.broadcast(edges))).withColumn("__b", place_among("__e", F.col("v"), blocks)).drop("__e")
     firsts = t.groupBy(*by, "__b").agg(F.min("v").alias("__f"))
     after = firsts.select(*by, "__b", F.lead("__f").over(W.partitionBy(*by).orderBy("__b")).alias("__after"))
     t = t.join(after, [*by, "__b"])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.keys import u
+from ..functions.shared import written
 from .neighbours import nearest_rows, pivots_for
 from .trees import tree_units
 from .unit_models import class_names, logistic_units
@@ -26,7 +27,7 @@ def naive_bayes(df: DataFrame, keys: list[str], cols: list[str], target: str, un
     A unit's class statistics are one wide row (its size is classes x columns), so likelihoods are plain arithmetic on
     each row and no row is multiplied. Ties go to the smaller label; a class absent from a unit can't win there.
     """
-    labels = labels or sorted(str(r[0]) for r in df.where(F.col(target).isNotNull()).select(target).distinct().collect())
+    labels = labels or class_names(df, target) or ["0"]
     x = {c: F.col(f"`{c}`").cast("double") for c in cols}
     y = F.col(target).cast("string")
     train = df.where((F.col(role) == "train") & F.col(target).isNotNull())
@@ -36,7 +37,7 @@ def naive_bayes(df: DataFrame, keys: list[str], cols: list[str], target: str, un
         for i, c in enumerate(cols):
             own = F.when(y == label, x[c])
             stats += [F.avg(own).alias(f"__m{k}_{i}"), F.var_pop(own).alias(f"__v{k}_{i}")]
-    models = train.groupBy(*unit).agg(*stats).persist()  # one row a unit, asked for with each use of the predictions
+    models = written(train.groupBy(*unit).agg(*stats), "bayes")  # one row a unit, asked for with each use of the predictions
     joined = df.join(F.broadcast(models), unit)  # one row a unit
     eps = F.greatest(F.lit(1e-300), F.lit(smoothing) * F.col("__eps"))
     likely = []
@@ -95,15 +96,15 @@ def points(df: DataFrame, keys: list[str], cols: list[str], target: str) -> tupl
     return df.select(*kept, array_to_vector(F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in cols])).alias("features"), code[F.col(target)].alias("label")), classes
 
 
-def batched(df: DataFrame, unit: list[str], keys: list[str], cols: list[str], target: str, name: str, seed: int = 42, rounds: int = 100) -> DataFrame | None:
+def batched(df: DataFrame, unit: list[str], keys: list[str], cols: list[str], target: str, name: str, seed: int = 42, rounds: int = 100, labels: list[str] | None = None) -> DataFrame | None:
     """T1 to T3, T6, T10. Predictions of a model that fits all units in one plan; None for the others."""
     if name == "logistic_regression":
-        return logistic_units(df, keys, cols, target, unit)
+        return logistic_units(df, keys, cols, target, unit, labels=labels)
     if name in TREES:
-        return tree_units(df, keys, cols, target, unit, TREES[name], trees=rounds, seed=seed)
+        return tree_units(df, keys, cols, target, unit, TREES[name], trees=rounds, seed=seed, labels=labels)
     if name in ("gaussian_nb", "naive_bayes"):
         one = df if unit else df.withColumn("__one", F.lit(1))
-        got = naive_bayes(one, keys, cols, target, unit or ["__one"])
+        got = naive_bayes(one, keys, cols, target, unit or ["__one"], labels=labels)
         return got if unit else got.drop("__one")
     return None
 

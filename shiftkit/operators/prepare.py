@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import check_plain, clip, finite, numeric_columns
+from ..functions.shared import written
 from .relational import factorize, levels
 
 ENCODINGS = ("onehot", "label")
@@ -49,6 +51,39 @@ def one_hot(df: DataFrame, c: str, known: list[str]) -> DataFrame:
     return df.select(*[x for x in df.columns if x != c], *[F.when(F.col(f"`{c}`").cast("string") == v, 1.0).otherwise(0.0).alias(f"{c}_{v}") for v in known])
 
 
+def sparse_prepare(train: DataFrame, test: DataFrame, keys: list[str], target: str, scale: bool = True, most: int = 500_000) -> tuple[DataFrame, DataFrame, list[str]]:
+    """P4, P6. (keys..., target, features) of both sides, one sparse vector a row, and the names of its first places (the numbers).
+
+    Each text column has a place for each of its training levels, in their order, however many there are: levels are ranked in many
+    tasks and joined to the rows by key beyond ``most`` of them, broadcast below; none comes to the driver. Missing cells
+    take the training mode, unknown levels are 0 in all their places.
+    """
+    check_plain(train.drop(*keys))
+    features = [c for c in train.columns if c not in (*keys, target)]
+    numeric = [c for c in numeric_columns(train) if c in features]
+    text = [c for c in features if c not in numeric]
+    seen = train.agg(*[F.count(finite(F.col(f"`{c}`")) if c in numeric else F.col(f"`{c}`")).alias(c) for c in features]).first() if features else {}
+    numeric, text = [c for c in numeric if seen[c]], [c for c in text if seen[c]]
+    if not numeric + text:
+        raise ValueError("no column is left")
+    params, modes = fit_numeric(train, numeric) if numeric else None, fit_modes(train, text).first() if text else None
+    filled = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(modes[f"{c}__mode"]))
+    sides = [apply_numeric(s.select(*keys, target, *numeric, *text), params, numeric, scale=scale) if numeric else s.select(*keys, target, *text) for s in (train, test)]
+    spark, parts = train.sparkSession, [f"__n{i}" for i in range(len(numeric))]
+    sides = [s.select(*keys, target, *[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(numeric, parts, strict=True)], *[filled(c).alias(f"__t{i}") for i, c in enumerate(text)]) for s in sides]
+    for i, c in enumerate(text):
+        table = levels(train.select(filled(c).alias("__l")), "__l").select(F.col("level").alias(f"__t{i}"), F.col("index").cast("double").alias(f"__i{i}")).transform(lambda t: written(t, "levels"))
+        n = table.count()
+        known = F.broadcast(table) if n <= most else table
+        # The place after the last level stands for unknown ones, and is dropped.
+        encoder = OneHotEncoder(inputCol=f"__i{i}", outputCol=f"__v{i}", handleInvalid="keep", dropLast=True).fit(spark.createDataFrame([(float(n - 1),)], f"__i{i} double"))
+        sides = [encoder.transform(s.join(known, f"__t{i}", "left").fillna(float(n), [f"__i{i}"])).drop(f"__t{i}", f"__i{i}") for s in sides]
+        parts.append(f"__v{i}")
+    assembler = VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="keep")
+    a, b = (assembler.transform(s).select(*keys, target, "features") for s in sides)
+    return a, b, numeric
+
+
 def ordinal(df: DataFrame, c: str, level_table: DataFrame) -> DataFrame:
     """P5. Number of the level, -1 for unknown and missing ones."""
     known = level_table.select(F.col("level").alias("__l"), F.col("index").alias("__i"))

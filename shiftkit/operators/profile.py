@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.keys import running_sums
+from ..functions.keys import order_statistics, place_among
 from ..functions.numeric import finite, ratio
+from ..functions.shared import written
 
 #: Up to so many columns pairs are expressions of one aggregate; beyond, blocks of cross products.
 PAIRS_AS_SQL, BINS = 16, 10
@@ -74,16 +75,13 @@ def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
-    """Exact medians of the finite values: columns' values are counted, and running counts tell the middle ones."""
+    """Exact medians of the finite values."""
     if not cols:
         return {}
     cell = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), finite(F.col(f"`{c}`")).alias("v")) for i, c in enumerate(cols)]))
-    counts = df.select(cell.alias("c")).select("c.*").where("v is not null").groupBy("i", "v").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("i").agg(F.sum("n").alias("all"))  # one row a column
-    run = running_sums(counts, F.col("v"), {"upto": "n"}, ["i"]).join(F.broadcast(totals), "i")
-    low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
-    middle = run.groupBy("i").agg(*[F.min(F.when(F.col("upto") > at, F.col("v"))).alias(name) for at, name in ((low, "a"), (high, "b"))])
-    got = {r.i: (r.a + r.b) / 2 for r in middle.collect()}
+    long = df.select(cell.alias("c")).select("c.*")
+    middle = order_statistics(long, ["i"], "v", [(0.5, lambda n: F.floor((n - 1) / 2) + 1), (0.5, lambda n: F.floor(n / 2) + 1)])
+    got = {r.i: (r.u[0] + r.u[1]) / 2 for r in middle.collect()}
     return {c: got.get(i) for i, c in enumerate(cols)}
 
 
@@ -94,14 +92,15 @@ def binned_information(long: DataFrame, by: list[str], bins: int = BINS) -> Data
     own classes. An estimate from counts: it says nothing about the nearest-neighbour estimate of other tools.
     """
     group = [*by, "feature"]
-    counted = long.where("label is not null and (value is not null or level is not null)").groupBy(*group, "value", "level", "label").agg(F.count("*").alias("n"))
-    # A value goes with the counts of its labels (a class each), so that these needn't be joined back.
-    values = counted.where("level is null").groupBy(*group, "value").agg(F.sum("n").alias("n"), F.collect_list(F.struct("label", "n")).alias("labels"))
-    ranked = running_sums(values, F.col("value"), {"upto": "n"}, group)
-    totals = values.groupBy(*group).agg(F.sum("n").alias("all"))
-    classed = ranked.join(totals, group).select(*group, F.floor((F.col("upto") - F.col("n")) * bins / F.col("all")).cast("string").alias("bin"), F.explode("labels").alias("l"))
-    of_number = classed.select(*group, "bin", F.col("l.label").alias("label"), F.col("l.n").alias("n"))
-    cells = of_number.unionByName(counted.where("level is not null").select(*group, F.col("level").alias("bin"), "label", "n")).groupBy(*group, "bin", "label").agg(F.sum("n").alias("n"))
+    known = long.where("label is not null and (value is not null or level is not null)")
+    numbers = known.where("level is null")
+    # A value's class is the number of order statistics at j / bins of the rows below it; only (feature, class, label) counts are shuffled.
+    edges = order_statistics(numbers, group, "value", [(j / bins, lambda n, j=j: F.ceil(n * j / bins)) for j in range(1, bins)])
+    edges = written(edges.select(*[F.col(c).alias(f"__q{i}") for i, c in enumerate(group)], "u"), "edges")  # one row a feature
+    classed = numbers.join(edges, [F.col(c).eqNullSafe(F.col(f"__q{i}")) for i, c in enumerate(group)])
+    of_number = classed.groupBy(*group, place_among("u", F.col("value"), bins).cast("string").alias("bin"), "label").agg(F.count("*").alias("n"))
+    of_text = known.where("level is not null").groupBy(*group, F.col("level").alias("bin"), "label").agg(F.count("*").alias("n"))
+    cells = written(of_number.unionByName(of_text), "cells")  # features x classes x labels, asked for three times
     xlogx = lambda c: F.col(c) * F.log(F.col(c).cast("double"))
     sums = [cells.groupBy(*group).agg(F.sum(xlogx("n")).alias("xy"), F.sum("n").alias("m"))]
     for c, name in (("bin", "x"), ("label", "y")):

@@ -159,24 +159,31 @@ def all_conditions(df: DataFrame, keys: list[str], target: str, chosen: DataFram
         major = scaled.where((F.col("role") == "train") & (F.col(target) == F.col("__top"))).select("unit_fold", *keys)
         ranks = dist_rank(major, u("prior", *keys, seed=seed), keys, ["unit_fold"], "__rank", uniform=True)
         scaled = scaled.join(ranks, ["unit_fold", *keys], "left")
-    out = scaled.crossJoin(F.broadcast(chosen))  # the conditions: 14 rows at most
+    # Draws depend on key and column only: they are made before a row is copied for each condition.
+    draws = {f"__u{i}": u(f"lost|{c}", *keys, seed=seed) for i, c in enumerate(features)} if "missing_values" in wanted else {}
+    if "gaussian_noise" in wanted:
+        draws |= {f"__z{i}": z(f"noise|{c}", *keys, seed=seed) for i, c in enumerate(features) if c in numeric}
+    draws |= {"__flip": u("flip", *keys, seed=seed), "__to": u("to", *keys, seed=seed), "__minor": u("minor", *keys, seed=seed)} if wanted & {"label_noise", "class_prior_shift"} else {}
+    out = scaled.withColumns(draws).crossJoin(F.broadcast(chosen))  # the conditions: 14 rows at most
     hit = lambda f: (F.col("role") == "train") & (F.col("family") == f)
     new: dict[str, Column] = {}
     gone = {s: set(removed_features(features, s, seed)) for s in FAMILIES["feature_removal"]}
-    for c in features:
+    for i, c in enumerate(features):
         x = finite(F.col(f"`{c}`")) if c in numeric else F.col(f"`{c}`")
-        cases = F.when(hit("missing_values") & (u(f"lost|{c}", *keys, seed=seed) < F.col("severity")), F.lit(None))
+        cases = F.when(hit("missing_values") & (F.col(f"__u{i}") < F.col("severity")), F.lit(None)) if "missing_values" in wanted else F.when(F.lit(False), F.lit(None))
         if c in numeric and "gaussian_noise" in wanted:
-            cases = cases.when(hit("gaussian_noise"), x + z(f"noise|{c}", *keys, seed=seed) * F.col("severity") * F.col(f"`{c}__sd`"))
+            cases = cases.when(hit("gaussian_noise"), x + F.col(f"__z{i}") * F.col("severity") * F.col(f"`{c}__sd`"))
         lost = [s for s, names in gone.items() if c in names]
         if lost:
             cases = cases.when((F.col("family") == "feature_removal") & F.col("severity").isin(lost), F.lit(None))
         new[c] = cases.otherwise(x)
     if len(classes) > 1:
-        y, cases = F.col(target), F.when(hit("label_noise") & F.col(target).isNotNull() & (u("flip", *keys, seed=seed) < F.col("severity")), other_class(F.col(target), classes, u("to", *keys, seed=seed)))
+        y, cases = F.col(target), F.when(F.lit(False), F.col(target))
+        if "label_noise" in wanted:
+            cases = cases.when(hit("label_noise") & F.col(target).isNotNull() & (F.col("__flip") < F.col("severity")), other_class(F.col(target), classes, F.col("__to")))
         if "class_prior_shift" in wanted:
             rest = F.array_remove(F.array(*[F.lit(c) for c in classes]), F.col("__top"))
-            to = F.element_at(rest, (F.floor(u("minor", *keys, seed=seed) * (len(classes) - 1)) + 1).cast("int"))
+            to = F.element_at(rest, (F.floor(F.col("__minor") * (len(classes) - 1)) + 1).cast("int"))
             cases = cases.when(hit("class_prior_shift") & (F.col("__rank") <= F.col("__move")), to)
         new[target] = cases.otherwise(y)
     return out.withColumns(new).select(*keys, *features, target, "unit_fold", "role", "family", "severity", "condition")

@@ -329,7 +329,7 @@ def _prepared(df: DataFrame, keys: list[str], cols: list[str], target: str, unit
 
 def leaf_counts(df: DataFrame, keys: list[str], cols: list[str], target: str, unit: list[str], role: str = "role", trees: int = 100, depth: int = 5, seed: int = 42, extra: bool = False) -> DataFrame:
     """T2. (unit..., tree, node, label, n): how many sampled rows of each class each leaf holds."""
-    labels = class_names(df, target)
+    labels = class_names(df, target) or ["0"]
     rows, units, edges = _prepared(df, keys, cols, target, unit, role, labels, seed)
     grown = forest(rows.where((F.col(role) == "train") & F.col("y").isNotNull()).select("__u", "y", "x", "h"), edges, len(labels), trees, depth, seed, extra=extra)
     out = [(*units[u], t, int(node), labels[c], int(held[node, c])) for (u, t), (feature, _, held) in grown.items() for node in np.flatnonzero((feature < 0) & held.any(1)) for c in np.flatnonzero(held[node])]
@@ -342,7 +342,7 @@ def tree_units(df: DataFrame, keys: list[str], cols: list[str], target: str, uni
 
     A forest's probability is the mean of its leaves' shares, a boosting model's the softmax (or sigmoid) of its scores.
     """
-    labels = labels or class_names(df, target)
+    labels = labels or class_names(df, target) or ["0"]
     boosted = name == "gradient_boosting"
     depth, classes = depth or (3 if boosted else 5), len(labels)
     rows, _, edges = _prepared(df, keys, cols, target, unit, role, labels, seed)

@@ -192,7 +192,7 @@ def logistic_units(df: DataFrame, keys: list[str], cols: list[str], target: str,
 
     Missing cells count as 0, rows without a class are predicted but not learned from; a unit without training rows gives no rows.
     """
-    labels = labels or class_names(df, target)
+    labels = labels or class_names(df, target) or ["0"]
     fitted = fit_units(df.where(F.col(role) == "train"), cols, target, unit, labels, c)
     models = coefficient_rows(fitted, labels, cols, df, unit).withColumnsRenamed({u: f"__m{i}" for i, u in enumerate(unit)})
     on = [F.col(u).eqNullSafe(F.col(f"__m{i}")) for i, u in enumerate(unit)]

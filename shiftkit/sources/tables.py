@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,15 +15,17 @@ from ..functions.numeric import finite
 # Texts that mean a missing cell (fixed values); "?" only on demand.
 MISSING = ["", "NA", "N/A", "n/a", "nan", "NaN", "-nan", "-NaN", "NULL", "null", "None", "<NA>", "#N/A", "#NA"]
 
-_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
-RESULT_SCHEMA = T.StructType()
-for _kind, _names in (
-    ("string", "dataset"), ("int", "seed fold"), ("string", "condition pipeline model status"), ("double", "train_time_s infer_time_s autofe_gen_time_s"),
-    ("boolean", "autofe_cache_hit"), ("int", "n_generated n_retained"), ("double", "ram_used_mb wasserstein ks_stat train_auc test_auc"),
-    ("double", "accuracy balanced_accuracy mcc precision recall f1 log_loss brier_score roc_auc pr_auc"),
-):
-    for _name in _names.split():
-        RESULT_SCHEMA.add(_name, _KINDS[_kind])
+_TEXT, _WHOLE, _REAL = T.StringType(), T.IntegerType(), T.DoubleType()
+#: A result row, in the order of use (fixed names).
+RESULT_SCHEMA = T.StructType(
+    [
+        T.StructField("dataset", _TEXT), T.StructField("seed", _WHOLE), T.StructField("fold", _WHOLE), T.StructField("condition", _TEXT), T.StructField("pipeline", _TEXT), T.StructField("model", _TEXT), T.StructField("status", _TEXT),
+        T.StructField("train_time_s", _REAL), T.StructField("infer_time_s", _REAL), T.StructField("autofe_gen_time_s", _REAL), T.StructField("autofe_cache_hit", T.BooleanType()),
+        T.StructField("n_generated", _WHOLE), T.StructField("n_retained", _WHOLE), T.StructField("ram_used_mb", _REAL), T.StructField("wasserstein", _REAL), T.StructField("ks_stat", _REAL),
+        T.StructField("train_auc", _REAL), T.StructField("test_auc", _REAL), T.StructField("accuracy", _REAL), T.StructField("balanced_accuracy", _REAL), T.StructField("mcc", _REAL), T.StructField("precision", _REAL),
+        T.StructField("recall", _REAL), T.StructField("f1", _REAL), T.StructField("log_loss", _REAL), T.StructField("brier_score", _REAL), T.StructField("roc_auc", _REAL), T.StructField("pr_auc", _REAL),
+    ]
+)
 TASK_KEY = ["dataset", "seed", "fold", "condition", "pipeline", "model"]
 
 
@@ -124,29 +127,70 @@ def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
     return read_labelled_csv(spark, path)
 
 
-def materialise(df: DataFrame, path: str, by: list[str]) -> DataFrame:
-    """S14, S15. Write what isn't there yet under (by...), then read all of it; filters on ``by`` prune folders."""
-    spark = df.sparkSession
+def _there(e: Exception) -> bool:
+    """Whether a read failed for another reason than that nothing is there yet."""
+    return "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e)
+
+
+def committed(spark: SparkSession, path: str, by: list[str]) -> DataFrame | None:
+    """(by..., attempt, rows) of the units that are whole: the first attempt that was marked; None if there is none yet."""
     try:
-        done = spark.read.parquet(path).select(*by).distinct()
+        marks = spark.read.parquet(f"{path}/manifest")
     except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        if _there(e):
             raise
-        done = None
-    new = df if done is None else df.join(F.broadcast(done), by, "left_anti")  # one row a unit
-    new.write.mode("append").partitionBy(*by).parquet(path)
-    return spark.read.parquet(path)
+        return None
+    first = marks.groupBy(*by).agg(F.min_by(F.struct("attempt", "rows"), F.struct("at", "attempt")).alias("__m"))
+    return first.select(*by, "__m.attempt", "__m.rows")
+
+
+def _mark(units: DataFrame, path: str) -> None:
+    """One small file: a unit counts as written from here on."""
+    units.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def read_units(spark: SparkSession, path: str, by: list[str], schema: T.StructType) -> DataFrame:
+    """Rows of committed units only; filters on ``by`` prune folders, and so does the join with the manifest."""
+    done = committed(spark, path, by)
+    if done is None:
+        return spark.createDataFrame([], schema)
+    data = spark.read.schema(T.StructType([*schema.fields, T.StructField("attempt", T.StringType())])).option("basePath", f"{path}/data").parquet(f"{path}/data")
+    units = done.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("attempt").alias("__attempt"))
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col("attempt") == F.col("__attempt")]
+    return data.join(F.broadcast(units), on, "left_semi").select(*schema.fieldNames())  # one row a unit
+
+
+def materialise(df: DataFrame, path: str, by: list[str]) -> DataFrame:
+    """S14, S15. Write the units (by...) that aren't there yet, then read all of them.
+
+    A call writes its units to a folder of its own and then marks them, with their number of rows, in the manifest. What was
+    written but not marked doesn't count: it is never read, and the next call writes just those units again. Of two
+    calls that write one unit at the same time the first to mark it counts.
+    """
+    spark, attempt = df.sparkSession, uuid.uuid4().hex
+    done = committed(spark, path, by)
+    if done is not None:
+        done = done.select(*[F.col(c).alias(f"__{c}") for c in by])
+        df = df.join(F.broadcast(done), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], "left_anti")  # one row a unit
+    folder = f"{path}/data/attempt={attempt}"
+    df.write.partitionBy(*by).parquet(folder)
+    written = spark.read.schema(df.schema).parquet(folder).groupBy(*by).agg(F.count("*").alias("rows"))
+    _mark(written.withColumn("attempt", F.lit(attempt)), path)
+    return read_units(spark, path, by, df.schema)
 
 
 def write_prepared(train: DataFrame, test: DataFrame, params: DataFrame, path: str) -> None:
-    """S16. Both sides and the fitted parameters."""
+    """S16. Both sides and the fitted parameters, as one version that counts once all three are written."""
+    attempt = uuid.uuid4().hex
     for name, df in (("train", train), ("test", test), ("params", params)):
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        df.write.parquet(f"{path}/version={attempt}/{name}")
+    _mark(train.sparkSession.createDataFrame([(attempt,)], "attempt string"), path)
 
 
 def read_prepared(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """S16. Raises where the two sides don't have the same columns."""
-    train, test, params = (spark.read.parquet(f"{path}/{n}") for n in ("train", "test", "params"))
+    """S16. The latest whole version. Raises where there is none, or the two sides don't have the same columns."""
+    version = spark.read.parquet(f"{path}/manifest").agg(F.max_by("attempt", F.struct("at", "attempt"))).first()[0]
+    train, test, params = (spark.read.parquet(f"{path}/version={version}/{n}") for n in ("train", "test", "params"))
     if train.columns != test.columns:
         raise ValueError("train and test have other columns")
     return train, test, params
