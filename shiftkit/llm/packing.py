@@ -25,6 +25,7 @@ from .common import materialize, salted_prefix
 from .tokens import encoder, lean, text_slices
 
 CAPACITY = 2048
+SLICE_BYTES = 2 << 20  # of text that a worker encodes at once
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, sep_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,7 +34,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, sep_
     def run(batches):
         enc, sep = encoder(tokenizer, True), np.array([sep_id], "<u4")
         for b in batches:
-            for part in text_slices(b, 1):
+            for part in text_slices(b, 1, SLICE_BYTES):
                 ids, at = enc.encode(part.column(1))
                 out = []
                 for doc_id, lo, hi in zip(part.column(0).to_pylist(), at, at[1:], strict=False):

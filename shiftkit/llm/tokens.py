@@ -89,6 +89,7 @@ class Encoder:
         self.tok, self.drops, self.young, self.old = Tokenizer.from_file(path), drops_space, {}, {}
         self.model, self.letters = self.tok.model, _byte_letters()
         self.marks = {m: self._whole([m])[0] for m in ("", ".", ",")}
+        self.kept = KEPT // 2 if drops_space else KEPT  # chunks are words there: fewer, and longer
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -128,7 +129,7 @@ class Encoder:
             out[i] = x
             if len(chunks[i]) <= CHUNK_CHARS:
                 young[chunks[i]] = x
-        if len(young) > KEPT:  # what is used again moves on, the rest is forgotten with the next turn
+        if len(young) > self.kept:  # what is used again moves on, the rest is forgotten with the next turn
             self.old, self.young = young, {}
         return out
 
