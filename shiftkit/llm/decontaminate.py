@@ -13,10 +13,10 @@ empty benchmark marks nothing; other columns are ignored by ``scan`` and carried
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -152,10 +152,6 @@ def _windows(bench: DataFrame, n: int, item_col: str, text_col: str) -> DataFram
     return rows.mapInArrow(lean(cut), "m int, w binary, item string").distinct()
 
 
-def _digest(items: set[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
 def _hits(docs: DataFrame, bench: DataFrame, n: int, text_col: str, item_col: str, item_text: str, set_bytes: int, carry: list[str], spans: bool) -> DataFrame:
     """The columns ``carry``, n_words, ``runs`` (hit runs as first word, words) or, with ``spans``, their places in bytes, and ``items``, of every document."""
     spark = docs.sparkSession
@@ -250,7 +246,7 @@ def remove_spans(docs: DataFrame, bench: DataFrame, text_col: str = "text", put:
     found = _hits(named, bench, options.get("n", N), text, options.get("item_col", "item_id"), options.get("item_text", "text"), options.get("set_bytes", SET_BYTES), named.columns, True)
 
     @F.pandas_udf("string")
-    def cut(texts, runs):
+    def cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
         out = []
         for t, r in zip(texts, runs, strict=True):
             if t is not None and r is not None and len(r):
@@ -260,8 +256,6 @@ def remove_spans(docs: DataFrame, bench: DataFrame, text_col: str = "text", put:
                     at = x["first"] + x["words"]
                 t = put.join([*parts, raw[at:].decode()])
             out.append(t)
-        import pandas as pd
-
         return pd.Series(out, dtype=object)
 
     changed = F.when(F.size("runs") > 0, cut(F.col(text).cast("string"), "runs")).otherwise(F.col(text))

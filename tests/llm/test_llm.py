@@ -658,3 +658,40 @@ def test_windows_read_every_byte_once_and_agree_with_whole_texts(spark):
             parts.append((e / e.sum(2, keepdims=True))[a:b, 0])
         assert np.allclose(p[i], np.concatenate(parts).mean(0), atol=1e-4)
         assert len(langid.label_positions(net, texts[i])) == len(r)
+
+
+def test_mixture_against_one_place(spark):
+    """Every placement, from budgets of a temperature found on a grid, and running sums over the documents in their order."""
+    rng = np.random.default_rng(12)
+    docs = [(i, f"s{min(int(rng.integers(0, 9)), 4) if i % 7 else 'rare'}", int(rng.integers(1, 400))) for i in range(500)]
+    rows = spark.createDataFrame(docs, "doc_id long, source string, n long")
+    entropy, repeats = 0.97, 3.0
+    tokens = Counter()
+    for _, s, n in docs:
+        tokens[s] += n
+    names = sorted(tokens)
+    t = np.array([tokens[s] for s in names], float)
+    weights = lambda tau: (t / t.sum()) ** tau / ((t / t.sum()) ** tau).sum()
+    grid = [k / 20_000 for k in range(20_001)]
+    good = [x for x in grid if -(weights(x) * np.log(weights(x))).sum() >= entropy * np.log(len(t)) and (weights(x) * (t / weights(x)).max() / t).max() <= repeats]
+    tau, w, total = mixing.temperature(t, entropy, repeats, None)
+    assert 0 < max(good) < 1 and abs(tau - max(good)) < 1e-4
+    budget = {s: round(x * total) for s, x in zip(names, w, strict=True)}
+    epochs = max(budget[s] // tokens[s] for s in names) + 1
+    order = rows.crossJoin(spark.range(epochs).withColumnRenamed("id", "epoch")).withColumn("__h", F.xxhash64(F.lit(mixing.SEED), "epoch", "doc_id")).withColumn("b", F.pmod(F.xxhash64("__h", "doc_id"), F.lit(64)))
+    order = order.withColumn("m", F.xxhash64(F.lit(mixing.SEED), F.lit(0).cast("long"), "epoch", "doc_id")).collect()
+    blocks = max(1, -(-total // mixing.BLOCK_TOKENS))
+    assert blocks == 1
+    kept = []
+    for s in names:
+        for e in range(budget[s] // tokens[s] + 1):
+            at = e * tokens[s]
+            for r in sorted((r for r in order if r.source == s and r.epoch == e), key=lambda r: (r.b, r["__h"], r.doc_id)):
+                if at + r.n <= budget[s]:
+                    kept.append(r)
+                at += r.n
+    want = {(r.doc_id, r.epoch): i for i, r in enumerate(sorted(kept, key=lambda r: (r.m, r.doc_id, r.epoch)), 1)}
+    got = {(r.doc_id, r.epoch): r.place for r in mixing.placements(rows, entropy, repeats).collect()}
+    assert got == want and {d for d, _ in got} == set(range(500)) and max(Counter(d for d, _ in got).values()) > 1
+    each = spark.createDataFrame([(i, f"s{i}", 1) for i in range(300)], "doc_id long, source string, n long")  # a source a document
+    assert mixing.placements(each).count() == 300
