@@ -72,6 +72,7 @@ def meta_importance(meta: DataFrame, cols: list[str], delta: str, seed: int = 42
         raise ValueError("fewer than five datasets")
     vec = array_to_vector(F.array(*[F.col(f"`{c}`").cast("double") for c in cols]))
     model = RandomForestRegressor(featuresCol="v", labelCol="y", predictionCol="score", numTrees=100, maxDepth=5, seed=seed).fit(rows.select(vec.alias("v"), F.col(delta).alias("y")))
-    return sampled_importance(rows, rows, ["dataset"], cols, lambda d: model.transform(d.withColumn("v", vec)), seed=seed)
+    reference = background(rows, ["dataset"], cols, 100, seed)
+    return sampled_importance(rows, reference, ["dataset"], cols, lambda d: model.transform(d.withColumn("v", vec)), seed=seed)
 
 

@@ -146,7 +146,10 @@ def profile(df: DataFrame, target: str, keys: list[str] | None = None) -> DataFr
     zero = [F.coalesce(F.count_if(F.col(f"`{c}`") == (F.lit(False) if isinstance(df.schema[c].dataType, T.BooleanType) else 0)), F.lit(0)) for c in features if isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType))]
     missing = [F.count_if(finite(F.col(f"`{c}`")).isNull() if c in numeric else F.col(f"`{c}`").isNull()) for c in features]
     add = lambda xs: reduce(lambda a, b: a + b, xs, F.lit(0))
-    base = df.agg(F.count("*").alias("n"), add(missing).alias("missing"), add(zero).alias("zeros")).first()
+    # One job for all counts and moments; skewness and kurtosis are those of the rows in which every number is there.
+    whole = reduce(lambda a, b: a & b, [finite(F.col(f"`{c}`")).isNotNull() for c in numeric], F.lit(True))
+    shape = [f(F.when(whole, finite(F.col(f"`{c}`")))).alias(f"{k}{i}") for i, c in enumerate(numeric) for k, f in (("s", F.skewness), ("k", F.kurtosis))]
+    base = df.agg(F.count("*").alias("n"), add(missing).alias("missing"), add(zero).alias("zeros"), *shape).first()
     n, d = base.n, len(features)
     out: dict[str, float | None] = dict.fromkeys(KEYS)
     out["number_of_samples"], out["number_of_features"] = float(n), float(d)
@@ -159,15 +162,11 @@ def profile(df: DataFrame, target: str, keys: list[str] | None = None) -> DataFr
         if len(numeric) > 1:
             r = correlations(df, numeric).agg(F.avg(F.abs("r")).alias("a"), F.count_if(F.abs("r") > 0.8).alias("k")).first()
             out["average_correlation"], out["feature_redundancy"] = r.a or 0.0, r.k / (len(numeric) * (len(numeric) - 1) / 2)
-        complete = df.select(*[finite(F.col(f"`{c}`")).alias(c) for c in numeric]).dropna() if numeric else None
-        out["average_skewness"], out["average_kurtosis"] = 0.0, 0.0
-        if numeric:
-            m = complete.agg(*[f(F.col(f"`{c}`")).alias(f"{k}{i}") for i, c in enumerate(numeric) for k, f in (("s", F.skewness), ("k", F.kurtosis))]).first()
-            for k, name in (("s", "average_skewness"), ("k", "average_kurtosis")):
-                got = [m[f"{k}{i}"] for i in range(len(numeric)) if m[f"{k}{i}"] is not None and not math.isnan(m[f"{k}{i}"])]
-                out[name] = sum(got) / len(got) if got else 0.0
-        cells = long_form(df.withColumn("__y", F.lit("")), numeric, text, "__y").select("feature", F.coalesce(F.col("value").cast("string"), "level").alias("v")).where("v is not null")
-        counts = cells.groupBy("feature", "v").agg(F.count("*").alias("c"))
+        for k, name in (("s", "average_skewness"), ("k", "average_kurtosis")):
+            got = [base[f"{k}{i}"] for i in range(len(numeric)) if base[f"{k}{i}"] is not None and not math.isnan(base[f"{k}{i}"])]
+            out[name] = sum(got) / len(got) if got else 0.0
+        cells = long_form(df.withColumn("__y", F.lit("")), numeric, text, "__y").where("value is not null or level is not null")
+        counts = cells.groupBy("feature", "value", "level").agg(F.count("*").alias("c"))
         entropy = counts.groupBy("feature").agg((F.log(F.sum("c").cast("double")) - F.sum(F.col("c") * F.log(F.col("c").cast("double"))) / F.sum("c")).alias("h"))
         out["average_entropy"] = entropy.agg(F.avg("h")).first()[0] or 0.0
         middle = medians(df, numeric)
