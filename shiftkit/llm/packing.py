@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_prefix
+from .common import batches_of, materialize, salted_prefix
 from .tokens import encoder, lean, text_slices
 
 CAPACITY = 2048
-SLICE_BYTES = 2 << 20  # of text that a worker encodes at once
+SLICE_BYTES, BATCH_ROWS = 1 << 20, 2000  # text that a worker encodes at once; documents sent to it at once
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, sep_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,7 +146,8 @@ def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ..
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ids_crc32, ...)."""
-    pieces = materialize(pieces, "pieces")
+    with batches_of(pieces.sparkSession, BATCH_ROWS):
+        pieces = materialize(pieces, "pieces")
     counts = {r.length: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs, base = defaultdict(list), 0  # for each length: first rank, items a sequence, first sequence, first offset
     used: dict[int, int] = defaultdict(int)

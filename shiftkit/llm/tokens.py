@@ -47,6 +47,7 @@ def text_slices(batch: pa.RecordBatch, column: int, at_once: int = AT_ONCE) -> I
         before = int(size[lo - 1]) if lo else 0
         hi = max(lo + 1, int(np.searchsorted(size, before + at_once, "right")))
         yield batch.slice(lo, hi - lo)
+        pa.default_memory_pool().release_unused()  # what was made of a slice isn't kept for the next
         lo = hi
 
 
