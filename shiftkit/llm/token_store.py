@@ -98,7 +98,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(at) + 1), pa.array(frames, pa.binary())], ["doc_id", "h", "size", "frame"])
 
     # What is put in order are the compressed frames, not the texts; written first, as finding the ranges reads ids twice.
-    encoded = materialize(rows.withColumn("h", F.xxhash64("text")).select("doc_id", "text", "h").mapInArrow(lean(compress), "doc_id long, h long, size long, frame binary"), "frames")
+    encoded = materialize(rows.withColumn("h", F.xxhash64("text")).select("doc_id", "text", "h").mapInArrow(lean(compress, keeps=True), "doc_id long, h long, size long, frame binary"), "frames")
 
     def pack(batches):
         part, block, start = TaskContext.get().partitionId(), 0, 0

@@ -51,25 +51,28 @@ def text_slices(batch: pa.RecordBatch, column: int, at_once: int = AT_ONCE) -> I
         lo = hi
 
 
-def trim() -> None:
-    """Lets this worker forget its chunks and give unused memory back."""
+def trim(keeps: bool = False) -> None:
+    """Lets this worker give unused memory back and, unless it ``keeps`` them, forget its chunks."""
     import ctypes
 
-    for e in _ENCODERS.values():
+    for e in () if keeps else _ENCODERS.values():
         e.young, e.old = {}, {}
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def lean(run):
-    """``run`` of a mapInArrow whose worker is trimmed when a partition is done: other stages use it again."""
+def lean(run, keeps: bool = False):
+    """``run`` of a mapInArrow whose worker is trimmed when a partition is done: other stages use it again.
+
+    ``keeps``: the next partition finds the chunks of this one, of which there is a bounded number.
+    """
 
     def whole(batches):
         try:
             yield from run(batches)
         finally:
-            trim()
+            trim(keeps)
 
     return whole
 
