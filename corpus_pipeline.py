@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from shiftkit.llm import jaccard, langid, mixing, packing
-from shiftkit.llm.common import crc_mod, materialize, table
+from shiftkit.llm.common import batches_of, crc_mod, materialize, table
 from shiftkit.llm.tokens import tokenizer_path
 
 
@@ -20,7 +20,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose language can be told; those without a letter, and those that look like none of the learned languages, go."""
     train = crc_mod("doc_id", 4) != 2
     keyed = docs.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))  # texts alike have one verdict
-    found = materialize(langid.predict(keyed, train, carry=["__text_hash"], names=("__lang", "__score"), rejects=True), "languages")
+    with batches_of(spark, jaccard.TEXTS):
+        found = materialize(langid.predict(keyed, train, carry=["__text_hash"], names=("__lang", "__score"), rejects=True), "languages")
     gone = materialize(found.where(F.col("__lang") == langid.UND).select("__text_hash").distinct(), "rejected")
     few = gone.count() <= jaccard.BROADCAST_IDS
     return keyed.join(F.broadcast(gone) if few else gone, "__text_hash", "left_anti").select(*docs.columns)

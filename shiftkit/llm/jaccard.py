@@ -23,19 +23,23 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import batches_of, materialize
 from .components import components
 from .tokens import lean
 
 RATIO, RESERVE, THIN, FULL = 1.4, 24, 2, 4  # size bands; one reserved segment in so many; sizes not probed, and probed with one difference
 FEW, BLOCK = 8, 2048
 HEAVY, SHARE, SAMPLED = 4096, 1000, 64  # members of a heavy key: so many, and one in SHARE of all rows; found in one in SAMPLED sets
+AT_ONCE = 1 << 18  # pairs of one key's members
+TEXTS, PAIRS = 1000, 1000  # rows of texts, and of pairs of sets, that a worker gets at once
 BROADCAST_IDS = 1_000_000
 SEEN = 200_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -174,30 +178,54 @@ def _folded(raw: bytes, size: int) -> np.ndarray:
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint16)  # bits set in a byte
 
 
-def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """id, h (hash of the text), n, node, map, keys, kinds; keys only where this task has not lately seen the same set."""
-
-    def run(batches):
-        bands, seen = Bands(num, den), set()
-        for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                part = b.slice(lo, 128)
-                n, node, maps, keys, kinds = [], [], [], [], []
-                for h in shingles_of(part.column(1).to_pylist(), k):
-                    f = int(_mixed(h).sum(dtype=np.uint64).astype(np.int64)) if len(h) else None
-                    n.append(len(h))
-                    node.append(f)
-                    if f is None or f in seen:
-                        maps.append(None), keys.append(None), kinds.append(None)
-                        continue
+def _told_apart(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[int | None], list[bool]]]:
+    """Slices of 128 rows (second column: text), their sets, the sets' numbers (None: empty), and which of them this task has not lately seen."""
+    seen: set[int] = set()
+    for b in batches:
+        for lo in range(0, b.num_rows, 128):
+            part = b.slice(lo, 128)
+            sets, nodes, new = shingles_of(part.column(1).to_pylist(), k), [], []
+            for h in sets:
+                f = int(_mixed(h).sum(dtype=np.uint64).astype(np.int64)) if len(h) else None
+                nodes.append(f)
+                new.append(f is not None and f not in seen)
+                if new[-1]:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(f)
-                    a, c = signatures(h, bands)
-                    maps.append(bitmap(h, bands.bitmap_bits(len(h))).tobytes()), keys.append(a.view(np.int64)), kinds.append(c.astype(np.int8))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int8()))], ["id", "h", "n", "node", "map", "keys", "kinds"])
+            yield part, sets, nodes, new
+
+
+def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """id, h (hash of the text), n, node, map (where this task has not lately seen the same set), sample (keys, of one in SAMPLED of these)."""
+    one_in = SAMPLED
 
-    return docs.select("id", "text", F.xxhash64("text").alias("h")).mapInArrow(lean(run), "id long, h long, n long, node long, map binary, keys array<long>, kinds array<byte>")
+    def run(batches):
+        bands = Bands(num, den)
+        for part, sets, nodes, new in _told_apart(batches, k):
+            maps = [bitmap(h, bands.bitmap_bits(len(h))).tobytes() if fresh else None for h, fresh in zip(sets, new, strict=True)]
+            sample = [signatures(h, bands)[0].view(np.int64) if fresh and f % one_in == 0 else None for h, f, fresh in zip(sets, nodes, new, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(h) for h in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary()), pa.array(sample, pa.list_(pa.int64()))], ["id", "h", "n", "node", "map", "sample"])
+
+    return docs.select("id", "text", F.xxhash64("text").alias("h")).mapInArrow(lean(run), "id long, h long, n long, node long, map binary, sample array<long>")
+
+
+def _entries(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """key, node, n, kind of every set, made from the texts again: stored beside the sets they would be most of the disk that is used."""
+
+    def run(batches):
+        bands = Bands(num, den)
+        for _, sets, nodes, new in _told_apart(batches, k):
+            kept = [(h, f) for h, f, fresh in zip(sets, nodes, new, strict=True) if fresh]
+            if not kept:
+                continue
+            found = [signatures(h, bands) for h, _ in kept]
+            size = [len(keys) for keys, _ in found]
+            node, n = np.array([f for _, f in kept], np.int64), np.array([len(h) for h, _ in kept], np.int32)
+            keys, kinds = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(node, size)), pa.array(np.repeat(n, size)), pa.array(kinds.astype(np.int8))], ["key", "node", "n", "kind"])
+
+    return docs.select("id", "text").mapInArrow(lean(run), "key long, node long, n int, kind byte")
 
 
 def _probed(x: str, y: str) -> F.Column:
@@ -246,7 +274,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h.tobytes() for h in raw], pa.binary()), pa.array(same)], ["node", "hs", "same"])
 
     sets = texts.select("node", "text").mapInArrow(lean(run), "node long, hs binary, same boolean").where("same").drop("same")
-    sets = materialize(sets if few else sets.dropDuplicates(["node"]), f"{label}-sets")
+    with batches_of(docs.sparkSession, TEXTS):
+        sets = materialize(sets if few else sets.dropDuplicates(["node"]), f"{label}-sets")
     sets = sets.groupBy("node").agg(F.first("hs").alias("hs"))
 
     @F.pandas_udf("boolean")
@@ -260,15 +289,15 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num:
 
     with_b = close.join(sets.select(F.col("node").alias("b"), F.col("hs").alias("hb")), "b")
     both = with_b.join(sets.select(F.col("node").alias("a"), F.col("hs").alias("ha")), "a")
-    return materialize(both.where(links("ha", "hb")).select("a", "b"), f"{label}-links")
+    with batches_of(docs.sparkSession, PAIRS):
+        return materialize(both.where(links("ha", "hb")).select("a", "b"), f"{label}-links")
 
 
-def _distances(maps: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """Bits in which the bitmaps of rows lo..hi differ from those of all rows, by products of slices of signs."""
-    out = np.zeros((hi - lo, len(maps)), np.float32)
-    for at in range(0, maps.shape[1], 256):
-        bits = np.unpackbits(maps[:, at : at + 256], axis=1).astype(np.float32) * 2 - 1
-        out += (bits.shape[1] - bits[lo:hi] @ bits.T) / 2
+def _apart(words: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Bits in which the bitmaps of columns lo..hi of ``words`` (64 bits a row) differ from those of all columns from lo on."""
+    out = np.zeros((hi - lo, words.shape[1] - lo), np.int32)
+    for w in words:
+        out += np.bitwise_count(w[lo:hi, None] ^ w[lo:])
     return out
 
 
@@ -297,6 +326,88 @@ def _forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, size: int) -> np.nd
     return order[np.concatenate(chosen)]
 
 
+def open_pairs(node: np.ndarray, n: np.ndarray, root: np.ndarray, kind: np.ndarray, own: np.ndarray, maps: np.ndarray, num: int, den: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(nodes, nodes, False) of a key's members that lie in different components and may link; pairs within a block only if there's one block.
+
+    ``every``: all of them, as they are found; else those of a spanning forest, with whether there are more. AT_ONCE pairs
+    are looked at at once, so that a large group needs no more memory than a small one.
+    """
+    n, gone, allow, code = n.astype(np.int64), kind >= 4, kind % 4, np.unique(root, return_inverse=True)[1]
+    words, blocks = np.ascontiguousarray(np.ascontiguousarray(maps).view(np.uint64).T), own.min() != own.max()
+    x, y, far, more, lo = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32), False, 0
+    while lo < len(node) - 1:
+        hi = min(len(node), lo + max(1, AT_ONCE // (len(node) - lo)))
+        row, col = lambda v: v[lo:hi, None], lambda v: v[lo:]  # noqa: B023, E731
+        ok = row(code) != col(code)
+        if blocks:
+            ok &= row(own) != col(own)
+        ok &= np.arange(lo, len(node)) > np.arange(lo, hi)[:, None]  # each pair once
+        ok &= den * np.minimum(row(n), col(n)) >= num * np.maximum(row(n), col(n))
+        larger = (row(n) > col(n)) | ((row(n) == col(n)) & (row(node) > col(node)))
+        ok &= ~(row(gone) & col(gone)) & (np.where(larger, row(allow), col(allow)) >= 1 + (row(gone) | col(gone)))
+        if ok.any():
+            apart = _apart(words, lo, hi)
+            ok &= apart <= (den - num) * (row(n) + col(n)) // (den + num)
+            p, q = np.nonzero(ok)
+            if every and len(p):
+                yield node[p + lo], node[q + lo], False
+            elif len(p):
+                x, y, far = np.concatenate([x, (p + lo).astype(np.int32)]), np.concatenate([y, (q + lo).astype(np.int32)]), np.concatenate([far, apart[p, q]])
+                keep = _forest(code[x], code[y], far, int(code.max()) + 1)
+                more |= len(keep) < len(x)
+                x, y, far = x[keep], y[keep], far[keep]
+        lo = hi
+    if len(x):
+        yield node[x], node[y], more
+
+
+def _fold(maps: np.ndarray, size: int) -> np.ndarray:
+    """Rows of larger bitmaps folded to ``size`` bytes."""
+    return maps if maps.shape[1] == size else np.bitwise_xor.reduce(maps.reshape(len(maps), -1, size), 1)
+
+
+def _cut(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bitmaps that begin at bytes ``at`` (with the end) of ``raw``, folded to the smallest one's size."""
+    sizes = np.diff(at)
+    least = int(sizes.min())
+    out = np.empty((len(sizes), least), np.uint8)
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        same = raw[at[0] : at[-1]].reshape(-1, size) if len(rows) == len(sizes) else raw[at[rows][:, None] + np.arange(size)]
+        out[rows] = _fold(same, least)
+    return out
+
+
+def key_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of each run of rows alike in the first three (key, i, j); the last column, bitmaps, as a matrix."""
+    kept: list[list[np.ndarray]] = []
+    last = None
+
+    def whole() -> list[np.ndarray]:
+        *cols, maps = zip(*kept, strict=True)
+        least = min(m.shape[1] for m in maps)
+        return [*(np.concatenate(c) for c in cols), np.concatenate([_fold(m, least) for m in maps])] if len(kept) > 1 else kept[0]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        *cols, maps = b.columns
+        cols = [c.to_numpy(zero_copy_only=False) for c in cols]
+        maps = maps.cast(pa.large_binary())
+        offsets = np.frombuffer(maps.buffers()[1], np.int64)[maps.offset : maps.offset + len(maps) + 1]
+        raw = np.frombuffer(maps.buffers()[2], np.uint8)
+        now = np.stack(cols[:3])
+        at = [0, *(np.flatnonzero((now[:, 1:] != now[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(at, at[1:], strict=False):
+            if kept and (lo or (now[:, 0] != last).any()):
+                yield whole()
+                kept = []
+            kept.append([*(c[lo:hi] for c in cols), _cut(raw, offsets[lo : hi + 1])])
+        last = now[:, -1]
+    if kept:
+        yield whole()
+
+
 def _remaining(many: DataFrame, nodes: DataFrame, roots: DataFrame, num: int, den: int, every: bool) -> DataFrame:
     """(a, b, more): pairs of many-member keys that lie in different components and may link by their bitmaps.
 
@@ -308,44 +419,20 @@ def _remaining(many: DataFrame, nodes: DataFrame, roots: DataFrame, num: int, de
     rows = rooted.join(open_, "key").join(nodes.select("node", "map"), "node")
     cut = F.ceil(F.col("c") / BLOCK)
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), cut)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = min(len(x) for x in pdf["map"])
-        maps = np.stack([_folded(x, size) for x in pdf["map"]])
-        node, n, root, kind, own = (pdf[c].to_numpy() for c in ("node", "n", "root", "kind", "own"))
-        gone, allow, n = kind >= 4, kind % 4, n.astype(np.int64)
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        code = np.unique(root, return_inverse=True)[1]
-        x, y, far, more = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32), False
-        for lo in range(0, len(pdf), 512):
-            t = slice(lo, lo + 512)
-            col = lambda v: v[t, None]  # noqa: B023, E731
-            larger = (col(n) > n) | ((col(n) == n) & (col(node) > node))
-            ok = (col(root) != root) & ~(col(gone) & gone) & (np.where(larger, col(allow), allow) >= 1 + (col(gone) | gone))
-            ok &= den * np.minimum(col(n), n) >= num * np.maximum(col(n), n)
-            ok &= np.arange(len(pdf)) > np.arange(lo, lo + len(ok))[:, None]  # each pair once
-            if i != j:
-                ok &= col(own) != own
-            if not ok.any():
-                continue
-            apart = _distances(maps, lo, min(lo + 512, len(pdf)))
-            ok &= apart <= (den - num) * (col(n) + n) // (den + num)
-            p, q = np.nonzero(ok)
-            x, y, far = np.concatenate([x, p + lo]), np.concatenate([y, q]), np.concatenate([far, apart[p, q]])
-            if not every:
-                keep = _forest(code[x], code[y], far, int(code.max()) + 1)
-                more |= len(keep) < len(x)
-                x, y, far = x[keep], y[keep], far[keep]
-        out = pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y]), "more": False})
-        return pd.concat([out, pd.DataFrame({"a": [pdf["key"].iloc[0]], "b": [0], "more": [True]})]) if more else out
-
-    return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long, more boolean").distinct()
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "root", F.col("kind").cast("int").alias("kind"), "map")
 
+    def run(batches):
+        fields = ["a", "b", "more"]
+        for key, i, j, own, node, n, root, kind, maps in key_groups(batches):
+            if i[0] != j[0] and own.min() == own.max():
+                continue  # the other block is empty
+            for x, y, more in open_pairs(node, n, root, kind, own, maps, num, den, every):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.zeros(len(x), bool))], fields)
+                if more:
+                    yield pa.RecordBatch.from_arrays([pa.array(key[:1]), pa.array(np.zeros(1, np.int64)), pa.array([True])], fields)
 
-def _entries(sets: DataFrame) -> DataFrame:
-    zipped = sets.where("keys is not null").select("node", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("keys", "kinds")).alias("e"))
-    return zipped.select(F.col("e.keys").alias("key"), "node", "n", F.col("e.kinds").alias("kind"))
+    alike = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")  # one task has all of a group, and groups follow each other
+    return alike.mapInArrow(lean(run), "a long, b long, more boolean").distinct()
 
 
 def _heavy_keys(sets: DataFrame) -> DataFrame | None:
@@ -354,7 +441,7 @@ def _heavy_keys(sets: DataFrame) -> DataFrame | None:
     Their number is at most SHARE times the keys of a set. A key that the sample misses is only slower.
     """
     least = max(HEAVY, sets.count() // SHARE) / SAMPLED
-    found = _entries(sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0)).groupBy("key").agg(F.countDistinct("node").alias("c")).where(F.col("c") >= least).select("key")
+    found = sets.where("sample is not null").select("node", F.explode("sample").alias("key")).groupBy("key").agg(F.countDistinct("node").alias("c")).where(F.col("c") >= least).select("key")
     found = materialize(found, "jac-heavy")
     return found if found.limit(1).count() else None
 
@@ -373,19 +460,21 @@ def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     (id, hash), null ids last; rows alike in both are all first, and so is every row with an empty set.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = materialize(_sets(rows, k, num, den), "jac-sets")
+    with batches_of(docs.sparkSession, TEXTS):
+        sets = materialize(_sets(rows, k, num, den), "jac-sets")
     place = F.struct(F.col("id").isNull().alias("z"), "id", "h")
     owner = sets.where("node is not null").groupBy("node").agg(F.min(place).alias("least"))
-    nodes = sets.where("keys is not null").groupBy("node").agg(F.first("n").alias("n"), F.min("id").alias("id"), F.first("map").alias("map"))
-    entries = _entries(sets)
+    nodes = sets.where("map is not null").groupBy("node").agg(F.first("n").alias("n"), F.min("id").alias("id"), F.first("map").alias("map"))
+    entries = _entries(rows, k, num, den)
     # Keys of one entry end here; so the shuffle of all entries is the only one. Heavy keys (a bounded list) need no window.
     heavy = _heavy_keys(sets)
     light = entries.join(F.broadcast(heavy), "key", "left_anti") if heavy else entries
     alike = "partition by key order by node"
     shared = light.selectExpr("*", f"lag(node) over ({alike}) as p", f"lead(node) over ({alike}) as q").where("p is not null or q is not null").select("key", "node", "n", "kind")
-    shared = _counted(materialize(shared, "jac-shared"), False)
-    if heavy:
-        shared = shared.unionByName(_counted(entries.join(F.broadcast(heavy), "key", "left_semi"), True))
+    with batches_of(docs.sparkSession, TEXTS):
+        shared = _counted(materialize(shared, "jac-shared"), False)
+        if heavy:
+            shared = shared.unionByName(_counted(materialize(entries.join(F.broadcast(heavy), "key", "left_semi"), "jac-many"), True))
     shared = materialize(shared, "jac-counted")
     few, many = shared.where(F.col("c") <= FEW), shared.where(F.col("c") > FEW)
     x, y = few.alias("x"), few.alias("y")

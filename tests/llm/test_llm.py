@@ -1,6 +1,7 @@
 """The training-data operations against brute force, on hand-made tables with nulls, ties, repeated rows and odd columns."""
 
 import hashlib
+import tracemalloc
 import uuid
 import zlib
 from collections import Counter, defaultdict
@@ -272,6 +273,52 @@ def test_forest_joins_what_the_edges_join_by_the_least_distances():
         assert sorted(far[at]) == sorted(least)
 
 
+def test_open_pairs_of_a_large_key_in_little_memory():
+    """Eight million pairs of one key's members: all are found, a slice at a time."""
+    size = 4096
+    node, same = np.arange(size), np.zeros(size, np.int64)
+    maps = np.zeros((size, 32), np.uint8)
+    for every, pairs in ((True, size * (size - 1) // 2), (False, size - 1)):
+        tracemalloc.start()
+        found = sum(len(x) for x, _, _ in jaccard.open_pairs(node, same + 50, node, same + 1, same, maps, 80, 100, every))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found == pairs and peak < 48 << 20
+
+
+def test_open_pairs_and_key_groups_against_brute_force(monkeypatch):
+    """Groups over several batches, bitmaps of several sizes, one block and two, deletions, kinds, components."""
+    monkeypatch.setattr(jaccard, "AT_ONCE", 100)
+    rng = np.random.default_rng(8)
+    groups = [(key, i, j) for key in range(6) for i, j in ((0, 0), (0, 1))]
+    rows = []
+    for key, i, j in groups:
+        seed = rng.integers(0, 256, 64).astype(np.uint8)
+        for _ in range(rng.integers(2, 50)):
+            bits = seed.copy()
+            bits[rng.integers(0, 64)] ^= rng.integers(0, 256)
+            kind = int(rng.choice([0, 1, 1, 2, 5, 6]))
+            rows.append((key, i, j, int(rng.choice([i, j])), int(rng.integers(0, 1 << 40)), int(rng.integers(40, 60)), int(rng.integers(0, 9)), kind, bits.tobytes() if rng.random() < 0.7 else jaccard._fold(bits[None], 32).tobytes()))
+    batches = [pa.RecordBatch.from_pylist([dict(zip("abcdefghi", r, strict=True)) for r in rows[lo : lo + 37]]) for lo in range(0, len(rows), 37)]
+    got = set()
+    for key, i, j, own, node, n, root, kind, maps in jaccard.key_groups(batches):
+        for x, y, _ in jaccard.open_pairs(node, n, root, kind, own, maps, 80, 100, True):
+            got |= {(key[0], i[0], j[0], *sorted(p)) for p in zip(x.tolist(), y.tolist(), strict=True)}
+    want = set()
+    for g in groups:
+        mine = [r[3:] for r in rows if r[:3] == g]
+        least = min(len(r[-1]) for r in mine)
+        for a, x in enumerate(mine):
+            for y in mine[:a]:
+                deletions = (x[4] >= 4) + (y[4] >= 4)
+                allowed = (x if (x[2], x[1]) > (y[2], y[1]) else y)[4] % 4
+                far = sum(bin(p ^ q).count("1") for p, q in zip(*(jaccard._fold(np.frombuffer(r[-1], np.uint8)[None], least)[0].tolist() for r in (x, y)), strict=True))
+                blocks = g[1] == g[2] or x[0] != y[0]
+                if blocks and x[3] != y[3] and deletions < 2 and allowed >= 1 + deletions and 100 * min(x[2], y[2]) >= 80 * max(x[2], y[2]) and far <= 20 * (x[2] + y[2]) // 180:
+                    want.add((*g, *sorted((x[1], y[1]))))
+    assert want and got == want
+
+
 def test_components_say_when_they_are_not_whole(spark):
     with pytest.raises(RuntimeError):
         components.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), rounds=1)
