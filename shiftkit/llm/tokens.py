@@ -21,8 +21,8 @@ _SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _ODD = re.compile("[\0\x1c-\x1f]")
 #: Texts whose gaps are other than single spaces and line ends.
 _GAPS = r"[\x00\t\x0B\x0C\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|[ \n][ \n]"
-#: One piece of letters, perhaps with a space before and a mark behind: the model alone gives its ids.
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: One piece of letters, perhaps with a space before: the model alone gives its ids, also if a mark is behind.
+_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -103,16 +103,23 @@ class Encoder:
         out: list[bytes] = [b""] * len(chunks)
         words: dict[str, bytes] = {}
         rest = []
+        marks, tokenize = self.marks, self.model.tokenize
         for i, c in enumerate(chunks):
-            if m := _PLAIN.fullmatch(c):
-                word, mark = m.groups()
-                x = words.get(word) or self.young.get(word)
-                if x is None:
-                    seen = (word.lower() if self.drops else word).encode().decode("latin-1").translate(self.letters)
-                    x = words[word] = array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
-                out[i] = x + self.marks[mark] if mark else x
+            mark = c[-1:] if c.endswith((".", ",")) else ""
+            word = c[:-1] if mark else c
+            letters = word[1:] if word.startswith(" ") else word
+            if letters.isascii() and letters.isalpha():  # the bytes' letters are themselves, but for the space
+                seen = word if letters is word else "Ġ" + letters
+                seen = seen.lower() if self.drops else seen
+            elif _PLAIN.fullmatch(word):
+                seen = (word.lower() if self.drops else word).encode().decode("latin-1").translate(self.letters)
             else:
                 rest.append(i)
+                continue
+            x = words.get(word) or mark and self.young.get(word)  # without a mark the chunk is the word, and isn't known
+            if not x:
+                x = words[word] = array("I", [t.id for t in tokenize(seen)]).tobytes()
+            out[i] = x + marks[mark] if mark else x
         for i, x in zip(rest, self._whole([chunks[i] for i in rest]), strict=True):
             out[i] = x
         return out
@@ -168,7 +175,7 @@ class Encoder:
                 texts = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
             pieces = pc.split_pattern(texts, "\0")
         coded = pieces.flatten().dictionary_encode()
-        known = self._known(coded.dictionary.to_pylist())
+        known = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())  # to_pylist() makes a scalar of each first
         size = np.fromiter(map(len, known), np.int64, len(known)) // 4
         flat, which = np.frombuffer(b"".join(known), "<u4"), coded.indices.to_numpy(zero_copy_only=False)
         n = size[which]

@@ -273,6 +273,25 @@ def test_forest_joins_what_the_edges_join_by_the_least_distances():
         assert sorted(far[at]) == sorted(least)
 
 
+@pytest.mark.parametrize("name,drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_ids_of_words_and_marks(monkeypatch, name, drops):
+    """Chunks with and without marks, letters of other alphabets, marks alone; plain ASCII words need no pattern."""
+    e = tokens.Encoder(tokens.tokenizer_path(name), drops)
+    texts = ["", " ", ".", ",", "a.", "a,", " a.", " .", "..", "a..", "É.", " É,", "ß", "µ", "ª", "A-b", "x\ny.", "  two  b,", "日本.", "A.B.", "ÀB,", "Ġ", "a'b", None, " ,", "I'm.", "<|endoftext|>x."]
+    want = [e.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(2):  # the second time from what is kept
+        ids, at = e.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == want
+
+    class Never:
+        def fullmatch(self, chunk):
+            raise AssertionError(chunk)
+
+    monkeypatch.setattr(tokens, "_PLAIN", Never())
+    ids, _ = e.encode(pa.array(["Plain words only, with marks.\nAnd lines"]))
+    assert ids.tolist() == e.tok.encode("Plain words only, with marks.\nAnd lines", add_special_tokens=False).ids
+
+
 def test_open_pairs_of_a_large_key_in_little_memory():
     """Eight million pairs of one key's members: all are found, a slice at a time."""
     size = 4096
