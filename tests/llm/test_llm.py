@@ -292,6 +292,38 @@ def test_ids_of_words_and_marks(monkeypatch, name, drops):
     assert ids.tolist() == e.tok.encode("Plain words only, with marks.\nAnd lines", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name,drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_words_are_known_whatever_marks_are_behind(monkeypatch, name, drops):
+    """A word that is kept isn't encoded again with other marks behind; slices of an array; what is in many slices stays."""
+    e = tokens.Encoder(tokens.tokenizer_path(name), drops)
+    whole = e._whole
+    marks = ["", ".", ",", "!?", "%%%,", "...", ")(", "-", "_`~", "$$$"]
+    words = ["alpha", "béta", "Ñandú", "delta"]
+    texts = [" ".join(w + m for w in words) + "\n" + words[0] + m for m in marks] + ["x's", "x.'s", "x'.", "x.y", "x\u0301.", "x.\u0338", "", "<|endoftext|>.", "a  b.\r\n", "\x1c a.", "  ", "n" * 99 + "!"]
+    want = [e.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for x in (pa.array(["before", *texts]).slice(1), pa.array(["É" * 9, None, *texts]).slice(2), pa.array(texts).slice(0)):
+        ids, at = e.encode(x)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == want
+    assert len(e.keys) == len(e.size) == len(e.uses) and len(e.flat) == e.size.sum() and max(map(len, e.keys.to_pylist())) <= tokens.CHUNK_CHARS
+
+    asked = []
+    monkeypatch.setattr(e, "_whole", lambda t: asked.extend(t) or whole(t))
+    monkeypatch.setattr(e, "model", None)  # no word is new
+    text = " ".join(w + "#%" for w in words) + "\n" + words[0] + "#%"
+    ids, _ = e.encode(pa.array([text]))
+    assert ids.tolist() == e.tok.encode(text, add_special_tokens=False).ids and asked == ["#%"]
+    monkeypatch.undo()
+
+    e.kept = 50
+    for i in range(40):
+        ids, _ = e.encode(pa.array([text + "".join(f" q{chr(97 + i % 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" * 2 for j in range(60))]))
+        assert len(e.keys) <= 100
+    assert {w.lower() for w in words} <= {k.strip().lower() for k in e.keys.to_pylist()}
+    assert e.encode(pa.array([text]))[0].tolist() == e.tok.encode(text, add_special_tokens=False).ids
+    e.forget()
+    assert e.encode(pa.array([text]))[0].tolist() == e.tok.encode(text, add_special_tokens=False).ids and e.encode(pa.array([], pa.string()))[1].tolist() == [0]
+
+
 def test_open_pairs_of_a_large_key_in_little_memory():
     """Eight million pairs of one key's members: all are found, a slice at a time."""
     size = 4096
